@@ -1,0 +1,234 @@
+"""Consensus of several annotators by a community confusion model.
+
+Annotators belong to a few types; a type has one confusion matrix, and an annotator's own
+matrix is drawn around the type's. Variational updates alternate between the items' answer
+probabilities (distributed, one pass over the votes per round), the annotators' types and the
+matrices. An annotator with few votes is pulled to the type, one with many follows their own.
+
+Per round the driver receives expected counts per annotator and pair of answers: annotators x
+answers², whatever the number of items or votes. The number of annotators is checked first.
+
+Defined results: rows with a null item or annotator are ignored, practice rows too; an
+annotator's latest row per item counts (equal times: the larger id); an invalid answer is no
+vote; an item without any valid vote for a field gets the answer that is most common overall.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.session import durable
+
+#: The driver holds annotators x answers² numbers: at this many, 16 answers make 8 MB a field.
+MAX_ANNOTATORS = 4096
+
+
+def digamma(x: np.ndarray) -> np.ndarray:
+    """The derivative of log gamma for positive x, by recurrence and asymptotic series."""
+    x = np.asarray(x, dtype=float).copy()
+    out = np.zeros_like(x)
+    for _ in range(6):
+        low = x < 6
+        out -= np.where(low, 1 / x, 0)
+        x = np.where(low, x + 1, x)
+    f = 1 / (x * x)
+    return out + np.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f / 252))
+
+
+@dataclass
+class FieldModel:
+    """Parameters of one field: ``log_votes[a, truth, vote]`` and ``log_truth[truth]`` are expected logarithms."""
+
+    log_truth: np.ndarray
+    log_votes: np.ndarray
+    types: np.ndarray
+    matrices: np.ndarray
+    share: np.ndarray
+
+
+def latest_votes(df: DataFrame, item: str, annotator: str, when: str, row_id: str, practice: Column, answers: dict[str, Column]) -> DataFrame:
+    """item, annotator and one column per field: each annotator's latest row per item."""
+    fields = [a.alias(f"f_{n}") for n, a in answers.items()]
+    rows = df.filter(~F.coalesce(practice, F.lit(False))).select(F.col(item).alias("item"), F.trim(F.col(annotator)).alias("annotator"), F.col(when).alias("_at"), F.col(row_id).alias("_id"), *fields)
+    rows = rows.filter("item is not null and annotator is not null and annotator <> ''")
+    last = rows.groupBy("item", "annotator").agg(F.max(F.struct("_at", "_id", *[f"f_{n}" for n in answers])).alias("_last"))
+    return last.select("item", "annotator", *[F.col(f"_last.f_{n}").alias(n) for n in answers])
+
+
+def vote_lists(votes: DataFrame, answers: dict[str, list[str]], names: list[str], settles: str) -> DataFrame:
+    """item, field, labelers, settled, a, v: a row per item and field with its votes as index lists.
+
+    ``labelers`` counts the item's annotators but for ``settles``; ``settled`` is that one's answer.
+    Lists are bounded by the number of annotators.
+    """
+    annotators = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)]) if names else F.create_map(F.lit(""), F.lit(0))
+    cases = F.array(*[F.struct(F.lit(f).alias("field"), F.try_element_at(F.create_map(*[F.lit(x) for i, o in enumerate(options) for x in (o, i)]), F.col(f)).alias("v")) for f, options in answers.items()])
+    long = votes.select("item", "annotator", F.explode(cases).alias("c")).select("item", "annotator", "c.field", "c.v")
+    labeler = F.col("annotator") != settles
+    voted = labeler & F.col("v").isNotNull()
+    return long.groupBy("item", "field").agg(
+        F.count(F.when(labeler, 1)).alias("labelers"),
+        F.max(F.when(~labeler, F.col("v"))).alias("settled"),
+        F.collect_list(F.when(voted, F.struct(F.try_element_at(annotators, F.col("annotator")).alias("a"), "v"))).alias("_pairs"),
+    ).select("item", "field", "labelers", "settled", F.col("_pairs.a").alias("a"), F.col("_pairs.v").alias("v"))
+
+
+def _posterior(pdf: pd.DataFrame, model: FieldModel | None, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Answer probabilities per row; and row, annotator and answer of every vote."""
+    counts = pdf["a"].map(len).to_numpy()
+    row = np.repeat(np.arange(len(pdf)), counts)
+    a = np.concatenate([*pdf["a"], np.empty(0, int)]).astype(int)
+    v = np.concatenate([*pdf["v"], np.empty(0, int)]).astype(int)
+    if model is None:
+        q = np.full((len(pdf), size), 0.01)
+        np.add.at(q, (row, v), 1.0)
+    else:
+        log = np.tile(model.log_truth, (len(pdf), 1))
+        np.add.at(log, row, model.log_votes[a, :, v])
+        q = np.exp(log - log.max(axis=1, keepdims=True))
+    q /= q.sum(axis=1, keepdims=True)
+    settled = pdf["settled"].to_numpy(dtype=float, na_value=np.nan)
+    fixed = ~np.isnan(settled)
+    q[fixed] = 0
+    q[np.flatnonzero(fixed), settled[fixed].astype(int)] = 1
+    return q, row, a, v
+
+
+def _expected_counts(lists: DataFrame, models: dict[str, FieldModel | None], sizes: dict[str, int], annotators: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Per field: expected counts [annotator, truth, vote], and expected answers [truth]."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        votes = {f: np.zeros((annotators, k, k)) for f, k in sizes.items()}
+        truth = {f: np.zeros(k) for f, k in sizes.items()}
+        for pdf in batches:
+            for f, part in pdf.groupby("field"):
+                q, row, a, v = _posterior(part, models[f], sizes[f])
+                truth[f] += q.sum(axis=0)
+                for k in range(sizes[f]):
+                    np.add.at(votes[f], (a, k, v), q[row, k])
+        for f, k in sizes.items():
+            a, t, v = np.nonzero(votes[f])
+            yield pd.DataFrame({"field": f, "a": np.r_[a, np.full(k, -1)], "t": np.r_[t, np.arange(k)], "v": np.r_[v, np.zeros(k, int)], "n": np.r_[votes[f][a, t, v], truth[f]]})
+
+    sums = lists.select("field", "settled", "a", "v").mapInPandas(partial, "field string, a int, t int, v int, n double").groupBy("field", "a", "t", "v").agg(F.sum("n").alias("n")).toPandas()
+    out = {}
+    for f, k in sizes.items():
+        votes, truth = np.zeros((annotators, k, k)), np.zeros(k)
+        part = sums[sums["field"] == f]
+        own = part["a"].to_numpy() >= 0
+        votes[part["a"][own], part["t"][own], part["v"][own]] = part["n"][own]
+        truth[part["t"][~own]] = part["n"][~own]
+        out[f] = votes, truth
+    return out
+
+
+def update_field(votes: np.ndarray, truth: np.ndarray, old: FieldModel | None, types: int, strength: float) -> FieldModel:
+    """One variational update of types, shared matrices and annotators' matrices from expected counts."""
+    size = len(truth)
+    prior = np.full((size, size), 0.3 / size) + np.eye(size) * 1.5
+    if old is None:
+        right = np.trace(votes, axis1=1, axis2=2) / np.maximum(votes.sum(axis=(1, 2)), 1e-9)
+        rank = np.argsort(np.argsort(-right, kind="stable"), kind="stable")
+        r = np.full((len(votes), types), 0.1 / types)
+        r[np.arange(len(votes)), np.minimum(rank * types // max(len(votes), 1), types - 1)] += 0.9
+    else:
+        dirichlet = old.matrices
+        log_type = digamma(dirichlet) - digamma(dirichlet.sum(axis=2, keepdims=True))
+        log = np.einsum("akv,mkv->am", votes, log_type) + np.log(old.types.mean(axis=0) + 1e-9 if len(old.types) else 1)
+        r = np.exp(log - log.max(axis=1, keepdims=True)) if len(log) else log
+    r = r / np.maximum(r.sum(axis=1, keepdims=True), 1e-300)
+    matrices = prior + np.einsum("am,akv->mkv", r, votes)
+    shared = np.einsum("am,mkv->akv", r, matrices / matrices.sum(axis=2, keepdims=True))
+    own = strength * shared + votes
+    log_votes = digamma(np.maximum(own, 1e-6)) - digamma(own.sum(axis=2, keepdims=True))
+    weight = truth + 1.0
+    return FieldModel(digamma(weight) - digamma(weight.sum()), log_votes, r, matrices, own / own.sum(axis=2, keepdims=True))
+
+
+@dataclass
+class Consensus:
+    """A fitted model: ``answers`` (item, field, labelers, answer, probability, votes, agreement) and ``reliability``."""
+
+    lists: DataFrame
+    names: list[str]
+    options: dict[str, list[str]]
+    models: dict[str, FieldModel]
+    counts: dict[str, tuple[np.ndarray, np.ndarray]]
+    rounds: int
+
+    def answers(self) -> DataFrame:
+        """The best supported answer of every item and field, and how far its votes agree with it."""
+        models, options = self.models, self.options
+
+        def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for f, part in pdf.groupby("field"):
+                    q, row, _, v = _posterior(part, models[f], len(options[f]))
+                    best = q.argmax(axis=1)
+                    agree = np.bincount(row, weights=(v == best[row]), minlength=len(part))
+                    n = np.bincount(row, minlength=len(part))
+                    same = np.zeros(len(part))
+                    table = np.zeros((len(part), len(options[f])))
+                    np.add.at(table, (row, v), 1)
+                    same = (table * (table - 1)).sum(axis=1)
+                    pairs = np.where(n > 1, same / np.maximum(n * (n - 1), 1), np.nan)
+                    yield pd.DataFrame({
+                        "item": part["item"], "field": f, "labelers": part["labelers"], "answer": [options[f][b] for b in best], "probability": q[np.arange(len(part)), best],
+                        "votes": n, "support": np.where(n > 0, agree / np.maximum(n, 1), np.nan), "pair_agreement": pairs,
+                    })
+
+        kind = self.lists.schema["item"].dataType.simpleString()
+        out = self.lists.mapInPandas(decide, f"item {kind}, field string, labelers bigint, answer string, probability double, votes bigint, support double, pair_agreement double")
+        return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("support", "pair_agreement")})
+
+    def reliability(self) -> DataFrame:
+        """annotator, field, votes, raw (share equal to the consensus), reliability (expected, stabilised), type."""
+        rows = []
+        for f, model in self.models.items():
+            votes, truth = self.counts[f]
+            share = truth / max(truth.sum(), 1e-9)
+            for i, name in enumerate(self.names):
+                n = float(votes[i].sum())
+                rows.append((name, f, round(n), float(np.trace(votes[i]) / n) if n else None, float((share * np.diag(model.share[i])).sum()), int(model.types[i].argmax())))
+        return self.lists.sparkSession.createDataFrame(rows, "annotator string, field string, votes bigint, raw double, reliability double, type int")
+
+
+def fit_consensus(votes: DataFrame, options: dict[str, list[str]], settles: str, types: int = 3, strength: float = 20.0, rounds: int = 15, tolerance: float = 1e-4) -> Consensus:
+    """Fit the model to ``votes`` (item, annotator, one column per field of ``options``).
+
+    ``strength``: how many votes per answer the type's matrix weighs in an annotator's own.
+    """
+    names = sorted(r[0] for r in votes.filter(F.col("annotator") != settles).select("annotator").distinct().limit(MAX_ANNOTATORS + 1).collect())
+    if len(names) > MAX_ANNOTATORS:
+        raise ValueError(f"more than {MAX_ANNOTATORS} annotators; their matrices would not stay small on the driver")
+    lists = durable(vote_lists(votes, options, names, settles))
+    sizes = {f: len(o) for f, o in options.items()}
+    models: dict[str, FieldModel | None] = dict.fromkeys(options)
+    before, done = None, 0
+    for done in range(1, rounds + 1):  # noqa: B007
+        counts = _expected_counts(lists, models, sizes, len(names))
+        models = {f: update_field(*counts[f], models[f], types, strength) for f in options}
+        now = {f: np.r_[counts[f][0].ravel(), counts[f][1]] for f in options}
+        if before is not None and max(np.abs(now[f] - before[f]).sum() / max(now[f].sum(), 1) for f in options) < tolerance:
+            break
+        before = now
+    return Consensus(lists, names, options, models, counts, done)
+
+
+def nominal_alpha(votes: DataFrame, fields: list[str], settles: str) -> DataFrame:
+    """field, items, votes, observed, expected, alpha: Krippendorff's alpha over items with two votes or more."""
+    cases = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("v")) for f in fields])
+    long = votes.filter(F.col("annotator") != settles).select("item", F.explode(cases).alias("c")).select("item", "c.field", "c.v").filter("v is not null")
+    cells = long.groupBy("item", "field", "v").agg(F.count("*").alias("n"))
+    items = cells.groupBy("item", "field").agg(F.sum("n").alias("m"), F.sum(F.col("n") * (F.col("n") - 1)).alias("same")).filter("m > 1")
+    shared = cells.join(items.select("item", "field"), ["item", "field"], "left_semi").groupBy("field", "v").agg(F.sum("n").alias("n"))
+    chance = shared.groupBy("field").agg((F.sum(F.col("n") * (F.col("n") - 1)) / (F.sum("n") * (F.sum("n") - 1))).alias("expected"))
+    seen = items.groupBy("field").agg(F.count("*").alias("items"), F.sum("m").alias("votes"), (F.sum(F.col("same") / (F.col("m") - 1)) / F.sum("m")).alias("observed"))
+    alpha = F.when(F.col("expected") < 1, 1 - (1 - F.col("observed")) / (1 - F.col("expected")))
+    return seen.join(chance, "field").select("field", "items", "votes", "observed", "expected", alpha.alias("alpha"))
