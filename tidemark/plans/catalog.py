@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tidemark.plans import problems
+from tidemark.plans import point_in_time, problems, relational
 from tidemark.plans.registry import Query
 
+MODULES = (problems, relational, point_in_time)
+
 
 def all_queries() -> dict[str, Query]:
     """Queries by name, from all modules of plans."""
     found: dict[str, Query] = {}
-    for module in (problems,):
+    for module in MODULES:
         found |= module.REGISTRY.items
     return found

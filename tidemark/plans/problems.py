@@ -68,7 +68,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weeks of a site's span without a reading."""
-    return p2_grid(spark, sf_dir).filter("status = 'missing'").select("site_id", day_text("week_end"))
+    return p2_grid(spark, sf_dir).filter("status = 'missing' and value is not null").select("site_id", day_text("week_end"))
 
 
 @REGISTRY.query("p2_grid")
