@@ -124,9 +124,9 @@ def strict_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SLICES = REV + f"""
-    , asof as (select d.as_of, r.geo, r.time, r.value from {_DATES} d join (select *, lead(issue) over (partition by geo, time order by issue) as upto from rev) r on r.issue <= d.as_of and (r.upto is null or d.as_of < r.upto)),
+    , held as (select d.as_of, r.geo, r.time, r.value from {_DATES} d join (select *, lead(issue) over (partition by geo, time order by issue) as upto from rev) r on r.issue <= d.as_of and (r.upto is null or d.as_of < r.upto)),
     slots as (select g.geo, d.as_of, l.lag::int as lag, (d.as_of + ((6 - dayofweek(d.as_of)) % 7)::integer - (7 * l.lag)::integer)::date as time from (select distinct geo from rev) g cross join {_DATES} d cross join (select unnest(range(0, 9)) as lag) l),
-    grid as (select s.geo, s.time, s.as_of, s.lag, case when s.time <= s.as_of then a.value end as value from slots s left join asof a on a.as_of = s.as_of and a.geo = s.geo and a.time = s.time)"""
+    grid as (select s.geo, s.time, s.as_of, s.lag, case when s.time <= s.as_of then a.value end as value from slots s left join held a on a.as_of = s.as_of and a.geo = s.geo and a.time = s.time)"""
 
 
 def slices(spark: SparkSession, sf_dir: str) -> DataFrame:

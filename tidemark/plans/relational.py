@@ -250,7 +250,7 @@ def window_first_and_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("window_lags", """
     with w as (select distinct site_id, week_end, ed_resp_final as v from county_week where ed_resp_final is not null)
-    select site_id, week_end, round(ln(greatest(v, 0.05)) - ln(greatest(lag(v) over (partition by site_id order by week_end), 0.05)), 6) as d1,
+    select site_id, week_end, round(ln(greatest(v, 0.05)) - case when lag(v) over (partition by site_id order by week_end) is not null then ln(greatest(lag(v) over (partition by site_id order by week_end), 0.05)) end, 6) as d1,
            lag(v, 2) over (partition by site_id order by week_end) as lag2, lag(v, 3) over (partition by site_id order by week_end) as lag3 from w
     """)
 def window_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -381,10 +381,10 @@ def set_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").filter("c_acctbal > 9000").select(F.col("c_nationkey").alias("k")).intersect(table(spark, sf_dir, "supplier").select("s_nationkey"))
 
 
-@query("set_except", "select p_partkey as k from part except select l_partkey from lineitem where l_quantity > 20")
+@query("set_except", "select p_partkey as k from part except select l_partkey from lineitem where l_quantity > 49")
 def set_except(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of one set that are not in another."""
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).subtract(table(spark, sf_dir, "lineitem").filter("l_quantity > 20").select("l_partkey"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).subtract(table(spark, sf_dir, "lineitem").filter("l_quantity > 49").select("l_partkey"))
 
 
 @query("set_union_distinct", "select c_nationkey as k from customer union select s_nationkey from supplier")
