@@ -16,6 +16,8 @@ COMMON_WORDS = frozenset(
     """.split()
 )
 
+_is_common = COMMON_WORDS.__contains__
+
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _TAG = re.compile(r"<[^<>]*>")
 _BULLET = re.compile(r"^(?:[-*•·–—▪◦‣]|\(?\d{1,3}[.)]|[a-zA-Z][.)])\s+")
@@ -32,40 +34,48 @@ def lines_of(text: str) -> list[str]:
     return [x.strip("\ufeff \t\u00a0").strip() for x in text.splitlines()]
 
 
-def running(line: str) -> bool:
-    """Whether a line by itself reads as running sentences."""
+def words_of(line: str) -> list[str]:
+    """The words of a line in lower case."""
+    return WORD.findall(line.lower())
+
+
+def running(line: str, words: list[str]) -> bool:
+    """Whether a line with its words reads, by itself, as running sentences."""
+    if len(words) < MIN_WORDS:
+        return False
     bare = _QUOTE.sub("", line)
     item = _BULLET.match(bare)
     if item:
         bare = bare[item.end() :]
         if not _STOP.search(bare):
             return False
-    words = WORD.findall(_TAG.sub(" ", bare))
-    if len(words) < MIN_WORDS:
-        return False
+    if bare is not line or "<" in line:
+        words = words_of(_TAG.sub(" ", bare))
+        if len(words) < MIN_WORDS:
+            return False
     plain = sum(map(len, words)) + bare.count(" ")
     if plain < PLAIN_SHARE * len(bare):
         return False
-    common = sum(w.lower() in COMMON_WORDS for w in words)
+    common = sum(map(_is_common, words))
     return common >= COMMON_SHARE * len(words) and common >= 1
 
 
-def prose_chars(lines: list[str]) -> tuple[int, int]:
+def prose_chars(lines: list[str], words: list[list[str]]) -> tuple[int, int]:
     """Characters in running sentences, and characters of all lines, white space around lines not counted.
 
     A short or bare line goes with a running line before it that breaks off in mid-sentence.
     """
     inside = total = 0
     open_before = False
-    for line in lines:
+    for line, own in zip(lines, words, strict=True):
         n = len(line)
         if not n:
             open_before = False
             continue
         total += n
-        yes = running(line)
+        yes = running(line, own)
         if not yes and open_before:
-            plain = sum(len(w) for w in WORD.findall(line)) + line.count(" ")
+            plain = sum(map(len, own)) + line.count(" ")
             follows = line[0].islower() or bool(_STOP.search(line)) and not _BULLET.match(line)
             yes = follows and plain >= 0.6 * n
         if yes:
@@ -80,14 +90,13 @@ STATISTICS = ("words", "mean_word_length", "symbol_ratio", "digit_ratio", "lines
 def statistics(text: str | None) -> list[float]:
     """The values of STATISTICS; null and empty texts have zeros."""
     text = text or ""
-    words = WORD.findall(text)
     lines = [x for x in lines_of(text) if x]
-    lengths = [len(w) for w in words]
-    letters = sum(lengths)
-    solid = len("".join(text.split()))
-    digits = sum(text.count(d) for d in "0123456789")
-    inside, total = prose_chars(lines)
-    n, m = len(words), len(lines)
+    by_line = [words_of(x) for x in lines]
+    lengths = [len(w) for ws in by_line for w in ws]
+    letters, n, m = sum(lengths), len(lengths), len(lines)
+    solid = sum(map(len, text.split()))
+    digits = sum(map(text.count, "0123456789"))
+    inside, total = prose_chars(lines, by_line)
     return [
         float(n),
         letters / n if n else 0.0,
@@ -95,7 +104,7 @@ def statistics(text: str | None) -> list[float]:
         digits / solid if solid else 0.0,
         float(m),
         sum(bool(_END.search(x)) for x in lines) / m if m else 0.0,
-        sum(w.lower() in COMMON_WORDS for w in words) / n if n else 0.0,
+        sum(sum(map(_is_common, ws)) for ws in by_line) / n if n else 0.0,
         sum(len(x) < 40 for x in lines) / m if m else 0.0,
         float(max(lengths, default=0)),
         inside / total if total else 0.0,
