@@ -69,7 +69,10 @@ def normal_tail(z: Column) -> Column:
 
 
 def wilcoxon(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
-    """by, n, w, z, p of the paired signed-rank test; zeros dropped, ties corrected, normal approximation; all ties give p = 1."""
+    """by, n, m, w, z, p of the paired signed-rank test per group (one column at least).
+
+    Zeros are dropped, ties corrected, the normal approximation used; all ties give p = 1.
+    """
     d = df.select(*by, F.round(F.col(a) - F.col(b), 6).alias("_d")).filter("_d is not null")
     signed = d.filter("_d <> 0").withColumn("_a", F.abs("_d"))
     ranked = average_ranks(signed, by, "_a", "_rank")
@@ -78,7 +81,7 @@ def wilcoxon(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     var = m * (m + 1) * (2 * m + 1) / 24 - F.col("t") / 48
     z = (F.col("w") - m * (m + 1) / 4) / F.sqrt(F.when(var > 0, var))
     whole = d.groupBy(*by).agg(F.count("*").alias("n"))
-    joined = whole.join(sums, by, "left") if by else whole.crossJoin(sums)  # one row each without groups
+    joined = whole.join(sums, by, "left")
     return joined.select(*by, "n", F.coalesce("m", F.lit(0)).alias("m"), "w", z.alias("z"), F.coalesce(normal_tail(z), F.lit(1.0)).alias("p"))
 
 
@@ -114,29 +117,39 @@ def confusion(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.groupBy(F.coalesce(F.col(a).cast("string"), F.lit("(none)")).alias("a"), F.coalesce(F.col(b).cast("string"), F.lit("(none)")).alias("b")).agg(F.count("*").alias("n"))
 
 
+def _expected_equal(cells: DataFrame) -> float:
+    """Sum over categories of the products of their marginal counts: one number."""
+    left, right = cells.groupBy("a").agg(F.sum("n").alias("na")), cells.groupBy(F.col("b").alias("a")).agg(F.sum("n").alias("nb"))
+    return float(left.join(right, "a").agg(F.sum(F.col("na") * F.col("nb").cast("double"))).first()[0] or 0.0)
+
+
 def cohen_kappa(df: DataFrame, a: str, b: str, weights: str = "none") -> DataFrame:
     """n, observed, expected disagreement and kappa of two numeric or, unweighted, any ratings.
 
-    From moments alone for 'linear' and 'quadratic': disagreement |a-b| or (a-b)^2. Only pairs
-    without nulls count when weighted. Kappa is null if chance leaves no disagreement.
+    Disagreement is 0 or 1 ('none'), |a - b| ('linear') or (a - b)^2 ('quadratic'). What chance
+    leaves follows from marginal counts, moments or distribution functions, so categories are
+    never paired. Only pairs without nulls count when weighted. Kappa is null if chance leaves
+    no disagreement.
     """
     if weights == "none":
         cells = confusion(df, a, b)
-        left, right = cells.groupBy("a").agg(F.sum("n").alias("na")), cells.groupBy(F.col("b").alias("a")).agg(F.sum("n").alias("nb"))
-        same = left.join(right, "a").agg(F.sum(F.col("na") * F.col("nb")).alias("s"))
+        equal = _expected_equal(cells)
         seen = cells.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("a") != F.col("b"), F.col("n")).otherwise(0)).alias("o"))
-        one = seen.join(same, F.lit(True))  # two single rows
-        observed, expected = F.col("o") / F.col("n"), 1 - F.coalesce("s", F.lit(0)) / (F.col("n") * F.col("n"))
+        observed, expected = F.col("o") / F.col("n"), 1 - F.lit(equal) / (F.col("n") * F.col("n"))
     else:
-        cells = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
+        both = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).filter("a is not null and b is not null")
         distance = F.abs(F.col("a") - F.col("b")) if weights == "linear" else (F.col("a") - F.col("b")) ** 2
-        seen = cells.agg(F.sum("n").alias("n"), F.sum(distance * F.col("n")).alias("o"))
-        left, right = cells.groupBy("a").agg(F.sum("n").alias("na")), cells.groupBy("b").agg(F.sum("n").alias("nb"))
-        chance = left.join(right, F.lit(True)).agg(F.sum(distance * F.col("na") * F.col("nb")).alias("s"))  # categories, a handful each
-        one = seen.join(chance, F.lit(True))
-        observed, expected = F.col("o") / F.col("n"), F.col("s") / (F.col("n") * F.col("n"))
-    done = one.select("n", observed.alias("observed"), expected.alias("expected"))
-    return done.withColumn("kappa", F.when(F.col("expected") > 0, 1 - F.col("observed") / F.col("expected")))
+        seen = both.agg(F.count("*").alias("n"), F.avg(distance).alias("o"), (F.avg(F.col("a") ** 2) + F.avg(F.col("b") ** 2) - 2 * F.avg("a") * F.avg("b")).alias("e"))
+        observed, expected = F.col("o"), F.col("e")
+        if weights == "linear":
+            sides = both.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("p"), F.lit(0).alias("q")), F.struct(F.col("b").alias("x"), F.lit(0).alias("p"), F.lit(1).alias("q")))).alias("s"))
+            steps = sides.groupBy(F.col("s.x").alias("x")).agg(F.sum("s.p").alias("p"), F.sum("s.q").alias("q"))  # a row per category
+            w = Window.partitionBy(F.lit(1)).orderBy("x")
+            upto = steps.select((F.lead("x").over(w) - F.col("x")).alias("gap"), F.sum("p").over(w).alias("p"), F.sum("q").over(w).alias("q"), F.sum("p").over(Window.partitionBy(F.lit(1))).alias("n"))
+            fa, fb = F.col("p") / F.col("n"), F.col("q") / F.col("n")
+            expected = F.lit(float(upto.agg(F.sum(F.col("gap") * (fa * (1 - fb) + fb * (1 - fa)))).first()[0] or 0.0))
+    done = seen.select("n", observed.alias("observed"), expected.alias("expected"))
+    return done.withColumn("kappa", F.when(F.col("expected") > 0, 1 - F.col("observed") / F.when(F.col("expected") > 0, F.col("expected"))))
 
 
 def precision_recall(df: DataFrame, pred: str, truth: str) -> DataFrame:
@@ -163,5 +176,5 @@ def bootstrap_mean(df: DataFrame, key: str, value: str, reps: int = 200, alpha:
     weight = sum(steps[1:], steps[0])
     drawn = df.filter(F.col(value).isNotNull()).select(key, value, F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("_rep")).withColumn("_w", weight)
     means = drawn.groupBy("_rep").agg((F.sum(F.col("_w") * F.col(value)) / F.when(F.sum("_w") > 0, F.sum("_w"))).alias("m"))
-    interval = means.agg(F.percentile("m", alpha / 2).alias("low"), F.percentile("m", 1 - alpha / 2).alias("high"))
-    return df.agg(F.count(value).alias("n"), F.avg(value).alias("mean")).join(interval, F.lit(True))  # two single rows
+    low, high = means.agg(F.percentile("m", alpha / 2), F.percentile("m", 1 - alpha / 2)).first()  # one row
+    return df.agg(F.count(value).alias("n"), F.avg(value).alias("mean")).select("n", "mean", F.lit(low).cast("double").alias("low"), F.lit(high).cast("double").alias("high"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.plans import point_in_time, problems, relational
+from tidemark.plans import analysis, point_in_time, problems, questions, relational, text_calendar
 from tidemark.plans.registry import Query
 
-MODULES = (problems, relational, point_in_time)
+MODULES = (problems, relational, point_in_time, text_calendar, analysis, questions)
 
 
 def all_queries() -> dict[str, Query]:
