@@ -134,6 +134,9 @@ def _pack_round(items: DataFrame, capacities: dict[str, int], limits: Limits, se
         pdf["container"] = fill_containers(demands, limits.vector(int(pdf["capacity"].iloc[0])))
         return pdf
 
+    # As many tasks as blocks, up to the session's shuffle partitions: items are small, so sizes in bytes would leave too few.
+    tasks = min(sum(blocks.values()) or 1, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = placed.repartition(tasks, "pack", "block")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema)
     return placed.groupBy("pack", "block").applyInPandas(pack, fields + ", container bigint")
 
