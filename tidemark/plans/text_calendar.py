@@ -203,10 +203,10 @@ def number_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("finding_id", tx.first_number(F.nullif(F.regexp_extract("claim", r"([0-9]+\.[0-9]+)%", 1), F.lit(""))).alias("pct"))
 
 
-@query("number_formats", "select p_partkey, printf('%.1f%%', p_retailprice / 100) as pct, printf('%+.1f pts', p_size - 25.0) as pts from part")
+@query("number_formats", "select p_partkey, printf('%.1f%%', p_retailprice / 100 + 0.0007) as pct, printf('%+.1f pts', p_size - 25.0) as pts from part")
 def number_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentages and signed points as text."""
-    return table(spark, sf_dir, "part").select("p_partkey", F.format_string("%.1f%%", F.col("p_retailprice") / 100).alias("pct"), F.format_string("%+.1f pts", F.col("p_size") - F.lit(25.0)).alias("pts"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.format_string("%.1f%%", F.col("p_retailprice") / 100 + 0.0007).alias("pct"), F.format_string("%+.1f pts", F.col("p_size") - F.lit(25.0)).alias("pts"))
 
 
 @query("number_floored_log", "select s_suppkey, round(ln(greatest(s_acctbal, 0.05)), 6) as log, round(round_even(s_acctbal / 100 * 0.45 / 52, 0), 6) as cases from supplier")
@@ -255,16 +255,26 @@ def quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.join(d, "article_id").select("label_id", "doc_id", "text", F.when(F.col("label_id") % 2 == 0, own).otherwise(F.col("quote")).alias("quote"))
 
 
-@query("quote_tiers", """
+def _plain(x: str) -> str:
+    """Typographic signs unified and blanks squeezed, in DuckDB."""
+    x = f"regexp_replace(regexp_replace(regexp_replace(replace({x}, '…', '...'), '[‘’‚‛′]', chr(39), 'g'), '[“”„″]', chr(34), 'g'), '[‐‑‒–—―−]', '-', 'g')"
+    return f"lower(trim(regexp_replace(regexp_replace(replace({x}, chr(173), ''), '[.]\\s*[.]\\s*[.]', '...', 'g'), '\\s+', ' ', 'g')))"
+
+
+def _bare(x: str) -> str:
+    """Words only, in DuckDB."""
+    return f"trim(regexp_replace(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}_' || chr(39) || ']', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+_TIERS = f"""
     with q as (select h.label_id, d.doc_id, d.text, case when h.label_id % 2 = 0 then substr(d.text, 11, 60) else h.quote end as quote from (select distinct label_id, article_id, quote from human_labels) h
                join documents d on d.article_id = h.article_id where d.text is not null),
-    n as (select label_id, doc_id, trim(coalesce(quote, '')) = '' as blank,
-          trim(lower(trim(regexp_replace(regexp_replace(translate(replace(quote, '…', '...'), '‘’‚‛′“”„″‐‑‒–—―−' || chr(173), '''''''''''""""-------'), '\\.\\s*\\.\\s*\\.', '...', 'g'), '\\s+', ' ', 'g'))), ' "''') as q,
-          lower(trim(regexp_replace(regexp_replace(translate(replace(text, '…', '...'), '‘’‚‛′“”„″‐‑‒–—―−' || chr(173), '''''''''''""""-------'), '\\.\\s*\\.\\s*\\.', '...', 'g'), '\\s+', ' ', 'g'))) as t from q)
-    select label_id, doc_id, case when blank then 'missing' when len(string_split(trim(regexp_replace(regexp_replace(replace(q, '...', ' '), '[^\\p{L}\\p{N}_'']', ' ', 'g'), '\\s+', ' ', 'g')), ' ')) < 4 then 'too_short'
-           when contains(t, rtrim(q, '.')) then 'exact'
-           when contains(trim(regexp_replace(regexp_replace(t, '[^\\p{L}\\p{N}_'']', ' ', 'g'), '\\s+', ' ', 'g')), trim(regexp_replace(regexp_replace(q, '[^\\p{L}\\p{N}_'']', ' ', 'g'), '\\s+', ' ', 'g'))) then 'nopunct' else 'not_found' end as method from n
-    """)
+    n as (select label_id, doc_id, trim(coalesce(quote, '')) = '' as blank, trim({_plain('quote')}, ' ' || chr(34) || chr(39)) as q, {_plain('text')} as t from q)
+    select label_id, doc_id, case when blank then 'missing' when len(string_split({_bare("replace(q, '...', ' ')")}, ' ')) < 4 then 'too_short' when contains(t, rtrim(q, '.')) then 'exact'
+           when contains({_bare('t')}, {_bare('q')}) then 'nopunct' else 'not_found' end as method from n"""
+
+
+@query("quote_tiers", _TIERS)
 def quote_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether quotes stand in their texts, by the tiers that need no likeness."""
     return grounding.match_quotes(quoted(spark, sf_dir), "quote", "text", fuzzy=False).select("label_id", "doc_id", "method")

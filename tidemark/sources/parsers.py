@@ -126,7 +126,7 @@ def populations(new: DataFrame, old: DataFrame) -> DataFrame:
 
 def article_texts(spark: SparkSession, ids: DataFrame, folder: str) -> DataFrame:
     """article_id, body: the text file named after each id; a missing file is an empty body."""
-    files = spark.read.option("wholetext", True).text(f"{folder}/*.txt").select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("article_id"), F.col("value").alias("body"))
+    files = spark.read.text(f"{folder}/*.txt", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("article_id"), F.col("value").alias("body"))
     return ids.select("article_id").distinct().join(files, "article_id", "left").fillna("", ["body"])
 
 
