@@ -243,6 +243,24 @@ def test_latest_valid_row_counts(spark):
     assert got == [("a", "q", "y"), ("a", "x", None)]
 
 
+def test_consensus_of_nothing(spark):
+    votes = spark.createDataFrame([], "item long, annotator string, relevant string")
+    fit = consensus.fit_consensus(votes, {"relevant": ["n", "y"]}, "adjudicated")
+    assert fit.answers().collect() == [] and fit.reliability().collect() == []
+    alone = spark.createDataFrame([(1, "adjudicated", "y"), (2, "adjudicated", None)], votes.schema)
+    got = {r.item: (r.answer, r.labelers) for r in consensus.fit_consensus(alone, {"relevant": ["n", "y"]}, "adjudicated").answers().collect()}
+    assert got == {1: ("y", 0), 2: ("y", 0)}
+
+
+def test_asof_join_keeps_event_columns_of_any_name(spark):
+    e = spark.createDataFrame([(1, "k", D(2025, 1, 2), "kept")], "id long, k string, t date, known string")
+    v = spark.createDataFrame([("k", D(2025, 1, 1), 5, 0.5)], "k string, known date, fid long, label double")
+    with pytest.raises(ValueError):
+        asof.asof_join(e.withColumnRenamed("known", "version"), v, ["k"], "t", "id", "known", "fid", ["label"])
+    r = asof.asof_join(e, v, ["k"], "t", "id", "known", "fid", ["label"], out="found").first()
+    assert r.known == "kept" and r.found.label == 0.5
+
+
 def test_digamma():
     import numpy as np
 

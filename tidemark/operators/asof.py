@@ -31,11 +31,12 @@ def asof_join(
     version_order: str,
     carry: list[str],
     shard_rows: int = SHARD_ROWS,
+    out: str = "version",
 ) -> DataFrame:
     """All rows of ``events`` with the latest version of their keys at or before ``event_time``.
 
-    Adds ``valid_from``, ``version_order`` and the ``carry`` columns as one struct ``version``,
-    null where there is none. Versions of one moment: the largest ``version_order`` counts.
+    Adds valid_from, order and the ``carry`` columns as one struct ``out``, null where there is
+    none. Versions of one moment: the largest ``version_order`` counts.
 
     Hot keys are cut into time ranges; each range gets the last version before it as carry-in,
     and ranges whose events share few moments are spread by a hash of ``event_id``, with the
@@ -43,8 +44,10 @@ def asof_join(
 
     Defined results: null keys or null event times match nothing; versions with a null time
     never count; repeated versions count once, repeated events stay; empty tables are fine;
-    event columns may have any names, as they travel inside one struct.
+    event columns may have any names but ``out``, as they travel inside one struct.
     """
+    if out in events.columns:
+        raise ValueError(f"events have a column {out} of their own; choose another name")
     cols = [f"_k{i}" for i in range(len(keys))]
     e = events.select(F.struct("*").alias("_event"), *[F.col(k).alias(c) for k, c in zip(keys, cols, strict=True)], F.col(event_time).alias("_t"), F.xxhash64(event_id).alias("_h"))
     v = versions.select(*[F.col(k).alias(c) for k, c in zip(keys, cols, strict=True)], F.col(version_time).alias("_t"), F.struct(F.col(version_order).alias("order"), *carry).alias("_v"))
@@ -72,4 +75,4 @@ def asof_join(
     merge = Window.partitionBy(*cols, "_shard", "_salt").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     matched = merged.withColumn("_m", F.last("_v", ignorenulls=True).over(merge)).filter("_kind = 1")
     found = F.when(usable, F.struct(F.col("_m.valid_from").alias("valid_from"), F.col("_m._v.order").alias("order"), *[F.col(f"_m._v.{c}").alias(c) for c in carry]))
-    return matched.select("_event.*", F.when(F.col("_m").isNotNull(), found).alias("version"))
+    return matched.select("_event.*", F.when(F.col("_m").isNotNull(), found).alias(out))
