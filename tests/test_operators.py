@@ -362,3 +362,30 @@ def test_populations(spark):
     new = spark.createDataFrame([("050", "1", "1", 10), ("040", "1", "0", 99)], schema)
     old = spark.createDataFrame([("050", "1", "1", 8), ("050", "1", "3", 7)], schema)
     assert rows(parsers.populations(new, old)) == [("01001", 10), ("01003", 7)]
+
+
+# Pages and model answers
+
+
+@pytest.mark.parametrize(("html", "day", "source"), [
+    ('<script type="application/ld+json">{"@graph":[{"datePublished":"2025-01-30T02:30:00Z"}]}</script><meta name="date" content="2024-01-01">', D(2025, 1, 29), "jsonld"),
+    ('<script>{"datePublished": "soon"}</script><meta content="2025-02-03T10:00:00-0500" property="article:published_time">', D(2025, 2, 3), "meta:article:published_time"),
+    ('<meta name="date" content="2025-03-01"><meta name="pubdate" content="2025-02-28">', D(2025, 2, 28), "meta:pubdate"),
+    ('<span itemprop="datePublished" content="2025-04-01">x</span>', D(2025, 4, 1), "itemprop"),
+    ('<time datetime="2025-05-01T23:00">May</time>', D(2025, 5, 1), "time_tag"),
+    ("<p>1999</p>", None, "none"), ("", None, "none"), ('<time datetime="1850-01-01">', None, "none"),
+])
+def test_publication_dates(spark, html, day, source):
+    from tidemark.functions import pages
+
+    r = spark.createDataFrame([(html,)], "h string").select(pages.published("h").alias("x")).first()["x"]
+    assert (r.day, r.source) == (day, source)
+
+
+def test_json_labels(spark):
+    from tidemark.functions import pages
+
+    answers = ['{"relevant": true, "illness": "Flu, RSV", "concern": 2}', '{"relevant": "maybe", "concern": 9}', "no idea", None, '{"relevant": ']
+    df = spark.createDataFrame([(a,) for a in answers], "a string")
+    got = [tuple(r["x"]) for r in df.select(pages.json_label("a").alias("x")).collect()]
+    assert got == [("y", "flu|rsv", "2", None), (None, None, None, None), *[(None, None, None, "not a JSON object")] * 3]

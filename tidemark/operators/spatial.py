@@ -141,3 +141,23 @@ def one_per_group(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
     """The first row of each group in an order, with the group's size."""
     w = Window.partitionBy(group)
     return df.withColumns({"members": F.count("*").over(w), "_rn": F.row_number().over(w.orderBy(*order))}).filter("_rn = 1").drop("_rn")
+
+
+def nice(x: Column) -> Column:
+    """The nearest of 1, 2, 2.5, 5 and 10 times a power of ten, by ratio; at least 0.1, and 0.5 where x is not positive."""
+    power = F.pow(F.lit(10.0), F.floor(F.log10(x)))
+    near = F.array(*[F.struct(F.abs(F.ln(power * m) - F.ln(x)).alias("d"), (power * m).alias("v")) for m in (1.0, 2.0, 2.5, 5.0, 10.0)])
+    return F.when(x > 0, F.greatest(F.array_min(near)["v"], F.lit(0.1))).otherwise(0.5)
+
+
+def change_breaks(values: DataFrame, change: str) -> tuple[float, float]:
+    """The inner and outer break of a symmetric scale of changes, from the 90th percentile of their size: one row."""
+    outer = nice(F.percentile(F.abs(F.col(change)), 0.9) / 2)
+    row = values.agg(outer.alias("a")).select("a", F.least(nice(F.col("a") / 4), F.col("a") / 2).alias("b")).first()
+    return float(row["b"]), float(row["a"])
+
+
+def change_bin(change: str | Column, inner: float, outer: float) -> Column:
+    """-2 to 2: far down, down, about the same, up, far up."""
+    c = F.col(change) if isinstance(change, str) else change
+    return F.when(c < -outer, -2).when(c < -inner, -1).when(c <= inner, 0).when(c <= outer, 1).when(c.isNotNull(), 2)

@@ -134,11 +134,12 @@ def title_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NEAR = """
-    with t as (select min(doc_id) as id, text from documents where text is not null group by text),
-    w as (select id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from t),
-    s as (select id, list_distinct(list_transform(range(0, len(w) - 4), lambda i: array_to_string(w[i + 1:i + 5], ' '))) as s from w where len(w) >= 5),
-    x as (select id, len(s) as n, unnest(s) as h from s), c as (select a.id as a, b.id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as k from x a join x b on a.h = b.h and a.id < b.id group by a.id, b.id)
-    select a, b, round(k / (na + nb - k)::double, 6) as jaccard from c where k / (na + nb - k)::double >= 0.8 - 1e-9"""
+    with t as (select min(doc_id) as id, text from documents where text is not null group by text), l as (select id, regexp_extract_all(lower(text), '[a-z0-9]+') as ws from t),
+    w as (select id, unnest(ws) as w, unnest(range(0, len(ws))) as i from l),
+    r as (select id, w || ' ' || lead(w, 1) over p || ' ' || lead(w, 2) over p || ' ' || lead(w, 3) over p || ' ' || lead(w, 4) over p as h from w window p as (partition by id order by i)),
+    s as (select distinct id, hash(h) as h from r where h is not null), n as (select id, count(*) as n from s group by id),
+    c as (select a.id as a, b.id as b, count(*) as k from s a join s b on a.h = b.h and a.id < b.id group by a.id, b.id)
+    select a, b, round(k / (x.n + y.n - k)::double, 6) as jaccard from c join n x on x.id = a join n y on y.id = b where k / (x.n + y.n - k)::double >= 0.8 - 1e-9"""
 
 
 @query("near_duplicate_pairs", _NEAR)

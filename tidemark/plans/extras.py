@@ -191,3 +191,33 @@ def top_per_site_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = Window.partitionBy("fips")
     out = m.withColumns({"members": F.count("*").over(by), "rn": F.row_number().over(by.orderBy(F.desc("v"), "site_id"))}).filter("rn = 1")
     return r6(out.select("fips", "site_id", "v", "members"), "v")
+
+
+@query("spatial_change_bins", _WEEKLY + """
+    , d as (select a.geo, a.time, a.v - b.v as change from w a join w b on b.geo = a.geo and b.time = a.time - 7), q as (select quantile_cont(abs(change), 0.9) / 2 as x from d),
+    n as (select greatest(arg_min(m * pow(10.0::double, floor(log10(x))), abs(ln(m * pow(10.0::double, floor(log10(x)))) - ln(x))), 0.1) as a from q, (select unnest([1.0, 2.0, 2.5, 5.0, 10.0])::double as m) t),
+    k as (select a, least(greatest(arg_min(m * pow(10.0::double, floor(log10(a / 4))), abs(ln(m * pow(10.0::double, floor(log10(a / 4)))) - ln(a / 4))), 0.1), a / 2) as b from n, (select unnest([1.0, 2.0, 2.5, 5.0, 10.0])::double as m) t group by a)
+    select case when change < -a then -2 when change < -b then -1 when change <= b then 0 when change <= a then 1 else 2 end::int as bin, count(*) as n from d, k group by 1
+    """)
+def spatial_change_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly changes on a symmetric scale whose breaks follow from their spread."""
+    from tidemark.operators import spatial
+
+    w = weekly(spark, sf_dir)
+    before = w.select("geo", F.date_add("time", 7).alias("time"), F.col("v").alias("b"))
+    d = w.join(before, ["geo", "time"]).select((F.col("v") - F.col("b")).alias("change"))
+    inner, outer = spatial.change_breaks(d, "change")
+    return d.groupBy(spatial.change_bin("change", inner, outer).alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("model_boosted_local")
+def model_boosted_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees on all sites' history, then a ridge per metro on what they leave."""
+    features = ["level", "d1", "d2"]
+    d = models.assembled(design(spark, sf_dir), features)
+    early = F.col("time") < F.lit("2025-12-20").cast("date")
+    base = models.tree_model("boosted", "y").fit(d.filter(early)).transform(d).withColumn("left", F.col("y") - F.col("prediction")).drop("_features")
+    fits = models.ridge_fit(base.filter(early), ["metro"], ["d1", "cos1"], "left")
+    scored = models.grouped_predict(base.filter(~early), fits, ["metro"], ["d1", "cos1"])
+    error = lambda p: F.round(F.avg(F.abs(F.col("last") * F.exp(p) - F.col("final"))), 4)
+    return scored.agg(F.count("*").alias("n"), error(F.col("prediction")).alias("base_mae"), error(F.col("prediction") + F.col("pred")).alias("local_mae"))

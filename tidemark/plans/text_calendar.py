@@ -127,8 +127,9 @@ def text_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("text_shingles", """
-    with w as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from documents)
-    select doc_id, case when len(w) >= 6 then len(list_distinct(list_transform(range(0, len(w) - 5), lambda i: array_to_string(w[i + 1:i + 6], ' ')))) else 0 end::int as shingles from w
+    with l as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as ws from documents), w as (select doc_id, unnest(ws) as w, unnest(range(0, len(ws))) as i from l),
+    r as (select doc_id, w || ' ' || lead(w, 1) over p || ' ' || lead(w, 2) over p || ' ' || lead(w, 3) over p || ' ' || lead(w, 4) over p || ' ' || lead(w, 5) over p as h from w window p as (partition by doc_id order by i))
+    select d.doc_id, count(distinct r.h)::int as shingles from documents d left join r on r.doc_id = d.doc_id group by d.doc_id
     """)
 def text_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many distinct runs of six words each text has."""
