@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.skew import prefix_sums
+
 
 def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -52,12 +54,24 @@ def complete_pairs(df: DataFrame, key: list[str], model: str, models: int) -> Da
     return df.join(whole.select(*key), key, "left_semi")
 
 
+#: Value ranges that the ranks of one group are cut into.
+RANK_PIECES = 32
+
+
 def average_ranks(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
-    """Average ranks of ``value`` within ``by``: ranks of distinct values first, so ties never meet in one task."""
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.withColumn(out, F.coalesce(before, F.lit(0)) + (F.col("_n") + 1) / 2).withColumn("_ties", F.col("_n"))
-    return df.join(ranks.drop("_n"), [*by, value]).select(*df.columns, out, "_ties")
+    """``df`` with average ranks of ``value`` within ``by``, and _ties, the rows that share the value.
+
+    Values are counted first, so ties never meet in one task; the running counts of a group are
+    cut into ranges of its approximate quantiles and summed in two levels, so no group is sorted
+    as a whole. The cuts decide only how work is divided.
+    """
+    counts = df.groupBy(*by, value).agg(F.count("*").alias("_ties"))
+    steps = F.array(*[F.lit(i / RANK_PIECES) for i in range(1, RANK_PIECES)])
+    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, steps, 500).alias("_cuts"))
+    placed = counts.join(cuts, by).withColumn("_piece", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    ranks = prefix_sums(placed, by, [value], "_ties", "_upto", "_piece")
+    ranks = ranks.select(*by, value, "_ties", (F.col("_upto") - (F.col("_ties") - 1) / 2).alias(out))
+    return df.join(ranks, [*by, value]).select(*df.columns, out, "_ties")
 
 
 def normal_tail(z: Column) -> Column:
