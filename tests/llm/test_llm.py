@@ -167,6 +167,15 @@ def test_quality_flags(spark):
     assert "longest_word" in out[list(CASES).index("lllffifaagggyyyhhhdddyyffyykkkjgeeguiii" * 9)].tails
 
 
+@pytest.mark.parametrize("share", [0.14, 0.4, 0.8])
+def test_common_junk_is_found_as_well(spark, share):
+    table_page = "\n".join(f"Ward {k} | beds {k * 7} | staff {k * 13}" for k in range(12))
+    data = [(i, table_page + f" | {i}" if i < share * 200 else PROSE + f" It was day {i}.", "en") for i in range(200)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    out = {r.id: r.not_prose for r in quality.quality(df, "doc_id", "text", "lang").collect()}
+    assert [out[i] for i in range(200)] == [i < share * 200 for i in range(200)]
+
+
 def test_quality_of_nothing(spark):
     assert quality.quality(spark.createDataFrame([], "doc_id long, text string, lang string"), "doc_id", "text", "lang").collect() == []
 

@@ -71,8 +71,8 @@ def _wide(levels: DataFrame, prefix: str) -> DataFrame:
 def quality(docs: DataFrame, doc_id: str, text: str, lang: str, tail: float = 3.5, least: int = 50) -> DataFrame:
     """id, lang, the statistics, z_ of each in the language, tails (names beyond ``tail``), and not_prose.
 
-    ``not_prose`` marks documents in a tail of some statistic that hold no word at all, or of
-    whose characters more than half are outside running sentences.
+    ``not_prose`` marks documents that hold no word at all, or of whose characters more than half
+    are outside running sentences, whatever their tails: spreads widen with the share of junk.
     """
     stats = durable(text_statistics(docs, doc_id, text, lang))
     levels = durable(quantiles(language_sketches(stats)))
@@ -91,5 +91,5 @@ def quality(docs: DataFrame, doc_id: str, text: str, lang: str, tail: float = 3.
         beyond.append(F.when((F.abs(used) > tail) | (F.abs(of_all) > tail), F.lit(s)))
     tails = F.when(F.col("words") > 0, F.array_compact(F.array(*beyond))).otherwise(F.array(F.lit("words")))
     out = joined.withColumns(z | {"tails": tails})
-    junk = (F.size("tails") > 0) & ((F.col("words") == 0) | (F.col("prose_share") < 0.5))
+    junk = (F.col("words") == 0) | (F.col("prose_share") < 0.5)
     return out.select("id", "lang", *STATISTICS, *z, "tails", junk.alias("not_prose"))
