@@ -30,3 +30,25 @@ def test_other_dates_give_other_slices(spark, tmp_path):
         years = {r[0] for r in QUERIES[name].build(spark, str(tmp_path)).select(F.year("as_of")).distinct().collect()}
         assert years and min(years) >= 2030, name
     assert QUERIES["settled_every"].build(spark, str(tmp_path)).agg(F.max("origin")).first()[0].year >= 2030
+
+
+def test_articles_are_dated_in_all_formats_by_local_day(spark, tmp_path):
+    texts = ["2025-12-20", "2025-12-21T03:00:00Z", "20251220", "12/20/2025", "Dec 20, 2025 9:30 pm", "20 de diciembre de 2025", "1766268000", "Sat, 20 Dec 2025 23:30:00 -0500", "soon", None, "2025-12-20 23:59"]
+    rows = [(f"a{i}", "ash" if i % 2 else "nowhere", t, "True", "") for i, t in enumerate(texts)] + [("z", "ash", "2025-12-21T03:00:00Z", "True", "")]
+    spark.createDataFrame(rows, "article_id string, metro string, published string, fetched_ok string, dup_of string").write.parquet(f"{tmp_path}/articles.parquet")
+    spark.createDataFrame([("ash", "America/Chicago")], "metro string, tz string").write.parquet(f"{tmp_path}/metros.parquet")
+    spark.createDataFrame([(r[0], "2", "y") for r in rows], "article_id string, concern string, relevant string").write.parquet(f"{tmp_path}/human_labels.parquet")
+    day = {r.article_id: str(r.day) for r in QUERIES["page_published_every"].build(spark, str(tmp_path)).collect()}
+    assert len(day) == len(rows) and day["a8"] == day["a9"] == "None"
+    assert {k for k, d in day.items() if d == "2025-12-20"} == set(day) - {"a8", "a9"}
+    news = {(r.metro, str(r.week)): (r.articles, r.concern) for r in QUERIES["region_news_every"].build(spark, str(tmp_path)).collect()}
+    assert sum(n for n, _ in news.values()) == len(rows) and news["ash", "None"] == (1, 2.0) and news["nowhere", "None"] == (1, 2.0)
+    assert {r.article_id for r in QUERIES["region_cited_every"].build(spark, str(tmp_path)).collect()} == {k for k, d in day.items() if d != "None"}
+
+
+def test_every_readable_date_is_used(spark, sf_small):
+    """As many articles have a day as p4 finds instants for."""
+    days = QUERIES["page_published_every"].build(spark, sf_small).filter("day is not null").select("article_id").distinct().count()
+    found = QUERIES["p4_found"].build(spark, sf_small).filter("field = 'published'").select("article_id").distinct().count()
+    plain = QUERIES["page_published"].build(spark, sf_small).count()
+    assert days >= found > plain

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import week_end
 from tidemark.operators import questions as ask
+from tidemark.operators import timestamps
 from tidemark.operators.asof import known_day
 from tidemark.plans.registry import Registry
 from tidemark.plans.relational import SAT, r6
@@ -118,10 +119,7 @@ def region_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """)
 def region_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relevant articles published by a date, by metro and week: count and mean concern."""
-    from tidemark.functions import labels
-
-    h = table(spark, sf_dir, "human_labels").distinct()
-    scored = h.groupBy("article_id").agg(F.avg(labels.concern_answer("concern").cast("double")).alias("concern"), F.avg(F.when(labels.relevant_answer("relevant") == "y", 1.0).when(labels.relevant_answer("relevant") == "n", 0.0)).alias("relevant"))
+    scored = relevant_scores(spark, sf_dir)
     a = table(spark, sf_dir, "articles").select("article_id", "metro", F.try_to_date(F.nullif(F.regexp_extract(F.trim("published"), r"^(20\d{2}-\d{2}-\d{2})", 1), F.lit("")), "yyyy-MM-dd").alias("day")).distinct()
     joined = a.filter("day <= date '2025-12-31'").join(scored.filter("relevant > 0.5"), "article_id")
     return r6(joined.groupBy("metro", week_end("day").alias("week")).agg(F.count("*").alias("articles"), F.avg("concern").alias("concern")), "concern")
@@ -139,6 +137,53 @@ def region_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.filter("day between date '2025-12-14' and date '2025-12-27'").withColumn("place", place).filter("place <= 6").select("metro", "article_id", "day", "place")
 
 
+# The same over every article whose date can be read in any of the formats of p4, by the day where it was published.
+# No SQL: DuckDB cannot read the formats. The two queries above keep plain ISO dates only, as their SQL does.
+
+
+def dated_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All distinct articles with day, the local day of ``published`` in the metro's zone, and the pattern that read it; null where it denotes none.
+
+    Without a zone of the metro, the day is the one written, or that of the instant in UTC.
+    """
+    a = table(spark, sf_dir, "articles").distinct()
+    zones = timestamps.usable_zones(spark, table(spark, sf_dir, "metros"), "metro", "tz")
+    zoned = a.join(zones.withColumnRenamed("zone_key", "metro"), "metro", "left").withColumn("_zone", F.coalesce("zone", F.lit("UTC")))
+    read = timestamps.utc_seconds(zoned, "published", "_zone")
+    day = F.to_date(F.from_utc_timestamp(F.timestamp_seconds("utc_seconds"), F.col("_zone")))
+    return read.select(*a.columns, day.alias("day"), F.when(day.isNotNull(), F.col("pattern")).alias("pattern"))
+
+
+def relevant_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """article_id, concern and relevant: means over the labels of an article."""
+    from tidemark.functions import labels
+
+    h = table(spark, sf_dir, "human_labels").distinct()
+    return h.groupBy("article_id").agg(F.avg(labels.concern_answer("concern").cast("double")).alias("concern"), F.avg(F.when(labels.relevant_answer("relevant") == "y", 1.0).when(labels.relevant_answer("relevant") == "n", 0.0)).alias("relevant"))
+
+
+@query("region_news_every")
+def region_news_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relevant articles by metro and week, dates of all formats: count and mean concern; week is null for articles without a readable date."""
+    a = dated_articles(spark, sf_dir).select("article_id", "metro", "day").filter("day is null or day <= date '2025-12-31'")
+    joined = a.join(relevant_scores(spark, sf_dir).filter("relevant > 0.5"), "article_id")
+    return r6(joined.groupBy("metro", week_end("day").alias("week")).agg(F.count("*").alias("articles"), F.avg("concern").alias("concern")), "concern")
+
+
+@query("region_cited_every")
+def region_cited_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six newest eligible articles per metro in two weeks, dates of all formats."""
+    a = parsers.eligible(dated_articles(spark, sf_dir).fillna("", ["fetched_ok"]).filter("fetched_ok = 'True'")).select("article_id", "metro", "day").distinct()
+    place = F.row_number().over(Window.partitionBy("metro").orderBy(F.desc("day"), "article_id"))
+    return a.filter("day between date '2025-12-14' and date '2025-12-27'").withColumn("place", place).filter("place <= 6").select("metro", "article_id", "day", "place")
+
+
+@query("page_published_every")
+def page_published_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every article with its publication day and the format it was read from; null where it has no readable date."""
+    return dated_articles(spark, sf_dir).select("article_id", "day", "pattern")
+
+
 # Sources, on lines and arrays made from tables
 
 
