@@ -52,3 +52,15 @@ def test_every_readable_date_is_used(spark, sf_small):
     found = QUERIES["p4_found"].build(spark, sf_small).filter("field = 'published'").select("article_id").distinct().count()
     plain = QUERIES["page_published"].build(spark, sf_small).count()
     assert days >= found > plain
+
+
+def test_labels_of_any_labelers_count(spark, tmp_path):
+    """A feed without human_b and human_k: two of three agree, one differs; a fourth stands alone."""
+    rows = [(k, f"a{k // 3}", who, f"2025-12-0{k % 3 + 1}", rel, con, "") for k, (who, rel, con) in enumerate([("x", "y", "2"), ("y", "yes", "2"), ("z", "n", None)] * 4)] + [(99, "b", "w", "2025-12-01", "y", "1", "")]
+    spark.createDataFrame(rows, "label_id long, article_id string, labeler string, labeled_at string, relevant string, concern string, is_example string").withColumns({"labeled_at": F.col("labeled_at").cast("timestamp"), "illness": F.lit("none")}).write.parquet(f"{tmp_path}/human_labels.parquet")
+    run = lambda name: QUERIES[name].build(spark, str(tmp_path)).collect()
+    assert run("label_confusion") == [] and run("label_disagreements") == []
+    assert {(r.labeler, r.a, r.b): r.n for r in run("label_confusion_every")} == {("x", "y", "y"): 4, ("x", "y", "n"): 4, ("y", "y", "y"): 4, ("y", "y", "n"): 4, ("z", "n", "y"): 8}
+    assert {r.labeler: (r.n, r.relevant, r.concern) for r in run("label_percent_agreement_every")} == {"x": (8, 0.5, 0.5), "y": (8, 0.5, 0.5), "z": (8, 0.0, 0.0)}
+    assert sorted((r.article_id, r.labelers, r.relevant, r.concern) for r in run("label_disagreements_every")) == [(f"a{i}", 3, True, True) for i in range(4)]
+    assert {r.labeler: r.kappa for r in run("label_kappa_every")}["z"] == 0.0

@@ -176,6 +176,35 @@ def precision_recall(df: DataFrame, pred: str, truth: str) -> DataFrame:
     return per.select("cls", "support", precision.alias("precision"), recall.alias("recall"), F.when(F.col("hits") > 0, 2 * F.col("hits") / (F.col("claimed") + F.col("support"))).otherwise(0.0).alias("f1"))
 
 
+def grouped_kappa(cells: DataFrame, by: list[str], a: str, b: str, n: str, weights: str = "none") -> DataFrame:
+    """by, n, observed, expected disagreement and kappa per group of ratings counted in ``n``; as cohen_kappa, 'none' or 'quadratic'."""
+    if weights == "none":
+        named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(none)"))
+        both = cells.groupBy(*by, named(a).alias("_a"), named(b).alias("_b")).agg(F.sum(n).alias("_n"))
+        left, right = both.groupBy(*by, "_a").agg(F.sum("_n").alias("_na")), both.groupBy(*by, F.col("_b").alias("_a")).agg(F.sum("_n").alias("_nb"))
+        equal = left.join(right, [*by, "_a"]).groupBy(*by).agg(F.sum(F.col("_na") * F.col("_nb").cast("double")).alias("_equal"))
+        seen = both.groupBy(*by).agg(F.sum("_n").alias("n"), F.sum(F.when(F.col("_a") != F.col("_b"), F.col("_n")).otherwise(0)).alias("_o")).join(equal, by, "left")
+        observed, expected = F.col("_o") / F.col("n"), 1 - F.coalesce("_equal", F.lit(0.0)) / (F.col("n") * F.col("n").cast("double"))
+    else:
+        both = cells.select(*by, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"), F.col(n).alias("_n")).filter("_a is not null and _b is not null")
+        mean = lambda x: F.sum(F.col("_n") * x) / F.sum("_n")
+        x, y = F.col("_a"), F.col("_b")
+        seen = both.groupBy(*by).agg(F.sum("_n").alias("n"), mean((x - y) ** 2).alias("_o"), (mean(x * x) + mean(y * y) - 2 * mean(x) * mean(y)).alias("_e"))
+        observed, expected = F.col("_o"), F.col("_e")
+    done = seen.select(*by, "n", observed.alias("observed"), expected.alias("expected"))
+    return done.withColumn("kappa", F.when(F.col("expected") > 0, 1 - F.col("observed") / F.when(F.col("expected") > 0, F.col("expected"))))
+
+
+def grouped_precision_recall(cells: DataFrame, by: list[str], pred: str, truth: str, n: str) -> DataFrame:
+    """by, cls, support, precision, recall, f1 per group of ratings counted in ``n``."""
+    zero = F.lit(0).cast("long")
+    hit = F.when(F.col(pred) == F.col(truth), F.col(n)).otherwise(zero)
+    sides = F.array(F.struct(F.col(truth).cast("string").alias("cls"), F.col(n).alias("s"), zero.alias("c"), hit.alias("h")), F.struct(F.col(pred).cast("string").alias("cls"), zero.alias("s"), F.col(n).alias("c"), zero.alias("h")))
+    per = cells.select(*by, F.explode(sides).alias("x")).select(*by, "x.*").filter("cls is not null").groupBy(*by, "cls").agg(F.sum("s").alias("support"), F.sum("c").alias("claimed"), F.sum("h").alias("hits"))
+    precision, recall = F.col("hits") / F.when(F.col("claimed") > 0, F.col("claimed")), F.col("hits") / F.when(F.col("support") > 0, F.col("support"))
+    return per.select(*by, "cls", "support", precision.alias("precision"), recall.alias("recall"), F.when(F.col("hits") > 0, 2 * F.col("hits") / (F.col("claimed") + F.col("support"))).otherwise(0.0).alias("f1"))
+
+
 def bootstrap_mean(df: DataFrame, key: str, value: str, reps: int = 200, alpha: float = 0.05) -> DataFrame:
     """n, mean and a percentile interval of it from a Poisson bootstrap whose weights follow from a hash of key and repetition.
 

@@ -15,7 +15,7 @@ from tidemark.sources.tables import table
 REGISTRY = Registry()
 query = REGISTRY.query
 
-# Two ratings of one article: human_b against the others' majority on relevant and concern.
+# Two ratings of one article: human_b against human_k on relevant and concern. All labelers are in the queries named 'every'.
 
 _VOTES = """
     with picked as (
@@ -106,6 +106,83 @@ def label_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.join(settled, "item", "left").groupBy(F.col("annotator").alias("labeler")).agg(F.count("*").alias("articles"), F.count("relevant").alias("answered"), F.count("s").alias("settled"))
 
 
+# Every labeler against all others of the same articles: a rating is one vote and one other vote on its article. Votes
+# are counted per article and answer first, so labelers are never paired.
+
+_RATINGS = _VOTES + """
+    , ratings as (select a.labeler, a.article_id, a.rel as ra, b.rel as rb, a.con as ca, b.con as cb from votes a join votes b on a.article_id = b.article_id and a.labeler <> b.labeler)"""
+
+
+def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """labeler, a_rel, b_rel, a_con, b_con, n: answers of each labeler and how many votes of others on its articles gave the other pair."""
+    v = label_votes(spark, sf_dir).select("item", F.col("annotator").alias("labeler"), F.col("relevant").alias("rel"), F.col("concern").cast("int").alias("con"))
+    answers = v.groupBy("item", "rel", "con").agg(F.count("*").alias("n"))  # at most 3 x 5 per article
+    given = answers.groupBy("item").agg(F.collect_list(F.struct("rel", "con", "n")).alias("others"))
+    each = v.join(given, "item").select("labeler", F.col("rel").alias("ra"), F.col("con").alias("ca"), F.explode("others").alias("o"))
+    own = F.col("ra").eqNullSafe(F.col("o.rel")) & F.col("ca").eqNullSafe(F.col("o.con"))
+    left = each.select("labeler", "ra", "ca", F.col("o.rel").alias("rb"), F.col("o.con").alias("cb"), (F.col("o.n") - own.cast("int")).alias("n"))
+    return left.filter("n > 0").groupBy("labeler", "ra", "ca", "rb", "cb").agg(F.sum("n").alias("n"))
+
+
+@query("label_confusion_every", _RATINGS + " select labeler, coalesce(ra, '(none)') as a, coalesce(rb, '(none)') as b, count(*) as n from ratings group by all")
+def label_confusion_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each labeler's answers against those of all others."""
+    named = lambda c: F.coalesce(F.col(c), F.lit("(none)"))
+    return ratings(spark, sf_dir).groupBy("labeler", named("ra").alias("a"), named("rb").alias("b")).agg(F.sum("n").alias("n"))
+
+
+@query("label_kappa_every", _RATINGS + """
+    , j as (select labeler, coalesce(ra, '-') as a, coalesce(rb, '-') as b, count(*) as n from ratings group by all), t as (select labeler, sum(n) as n, coalesce(sum(n) filter (a <> b), 0) as o from j group by labeler),
+    e as (select x.labeler, sum(x.n * y.n) as s from (select labeler, a, sum(n) as n from j group by all) x join (select labeler, b, sum(n) as n from j group by all) y on x.labeler = y.labeler and x.a = y.b group by x.labeler)
+    select t.labeler, t.n::bigint as n, round(o / t.n::double, 6) as observed, round(1 - coalesce(s, 0) / (t.n * t.n)::double, 6) as expected,
+           round(1 - (o / t.n::double) / nullif(1 - coalesce(s, 0) / (t.n * t.n)::double, 0), 6) as kappa from t left join e on t.labeler = e.labeler
+    """)
+def label_kappa_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unweighted kappa of each labeler against all others; a missing answer is a category."""
+    return r6(stats.grouped_kappa(ratings(spark, sf_dir), ["labeler"], "ra", "rb", "n"), "observed", "expected", "kappa")
+
+
+@query("label_kappa_quadratic_every", _RATINGS + """
+    , p as (select * from ratings where ca is not null and cb is not null), m as (select labeler, count(*) as n, sum((ca - cb) * (ca - cb)) as o from p group by labeler),
+    e as (select x.labeler, sum((x.ca - y.cb) * (x.ca - y.cb) * x.n * y.n) as s from (select labeler, ca, count(*) as n from p group by all) x join (select labeler, cb, count(*) as n from p group by all) y on x.labeler = y.labeler group by x.labeler)
+    select m.labeler, n, round(o / n::double, 6) as observed, round(s / (n * n)::double, 6) as expected, round(1 - (o / n::double) / nullif(s / (n * n)::double, 0), 6) as kappa from m join e on m.labeler = e.labeler
+    """)
+def label_kappa_quadratic_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quadratically weighted kappa of an ordered answer, of each labeler against all others."""
+    return r6(stats.grouped_kappa(ratings(spark, sf_dir), ["labeler"], "ca", "cb", "n", "quadratic"), "observed", "expected", "kappa")
+
+
+@query("label_percent_agreement_every", _RATINGS + " select labeler, count(*) as n, round(avg((ra is not distinct from rb)::int), 6) as relevant, round(avg((ca is not distinct from cb)::int), 6) as concern from ratings group by labeler")
+def label_percent_agreement_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of equal answers of each labeler and all others, nulls equal to nulls."""
+    same = lambda a, b: F.round(F.sum(F.when(F.col(a).eqNullSafe(F.col(b)), F.col("n")).otherwise(0)) / F.sum("n"), 6)
+    return ratings(spark, sf_dir).groupBy("labeler").agg(F.sum("n").alias("n"), same("ra", "rb").alias("relevant"), same("ca", "cb").alias("concern"))
+
+
+@query("label_precision_recall_every", _RATINGS + """
+    , k as (select labeler, ca as cls from ratings where ca is not null union select labeler, cb from ratings where cb is not null)
+    select k.labeler, k.cls::varchar as cls, count(*) filter (cb = k.cls) as support, round(count(*) filter (ca = k.cls and cb = k.cls) / nullif(count(*) filter (ca = k.cls), 0)::double, 6) as precision,
+           round(count(*) filter (ca = k.cls and cb = k.cls) / nullif(count(*) filter (cb = k.cls), 0)::double, 6) as recall,
+           round(2 * count(*) filter (ca = k.cls and cb = k.cls) / (count(*) filter (ca = k.cls) + count(*) filter (cb = k.cls))::double, 6) as f1 from k join ratings r on k.labeler = r.labeler group by k.labeler, k.cls
+    """)
+def label_precision_recall_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision, recall and F1 per class of each labeler against all others."""
+    return r6(stats.grouped_precision_recall(ratings(spark, sf_dir), ["labeler"], "ca", "cb", "n"), "precision", "recall", "f1")
+
+
+@query("label_disagreements_every", _VOTES + """
+    select article_id, count(*) as labelers, count(distinct coalesce(rel, '-')) > 1 as relevant, case when bool_or(coalesce(rel = 'y', false)) then count(distinct coalesce(con, -1)) > 1 end as concern from votes group by article_id having count(*) > 1
+    """)
+def label_disagreements_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields in which any of an article's labelers differ; concern only counts where one found the article relevant."""
+    differ = lambda c, none: F.min(F.coalesce(c, none)) < F.max(F.coalesce(c, none))
+    v = label_votes(spark, sf_dir).groupBy(F.col("item").alias("article_id")).agg(
+        F.count("*").alias("labelers"), differ(F.col("relevant"), F.lit("-")).alias("relevant"),
+        F.when(F.max(F.coalesce(F.col("relevant") == "y", F.lit(False))), differ(F.col("concern").cast("int"), F.lit(-1))).alias("concern"),
+    )
+    return v.filter("labelers > 1")
+
+
 # Catalogue and duplicates
 
 
