@@ -64,3 +64,12 @@ def test_labels_of_any_labelers_count(spark, tmp_path):
     assert {r.labeler: (r.n, r.relevant, r.concern) for r in run("label_percent_agreement_every")} == {"x": (8, 0.5, 0.5), "y": (8, 0.5, 0.5), "z": (8, 0.0, 0.0)}
     assert sorted((r.article_id, r.labelers, r.relevant, r.concern) for r in run("label_disagreements_every")) == [(f"a{i}", 3, True, True) for i in range(4)]
     assert {r.labeler: r.kappa for r in run("label_kappa_every")}["z"] == 0.0
+
+
+def test_each_rung_is_tested_against_the_first_and_the_one_below(spark, sf_small):
+    rows = QUERIES["ladder_tests"].build(spark, sf_small).collect()
+    metros = {r.metro for r in rows}
+    assert metros and {(r.metro, r.model, r.vs) for r in rows} == {(m, *t) for m in metros for t in (("drift", "naive"), ("mean3", "naive"), ("mean3", "drift"))}
+    naive = {(r.metro): (r.n, r.m, r.w) for r in rows if (r.model, r.vs) == ("mean3", "naive")}
+    assert naive == {r.metro: (r.n, r.m, r.w) for r in QUERIES["paired_wilcoxon"].build(spark, sf_small).collect()}
+    assert all(r.p <= r.p_holm <= 1 for r in rows)

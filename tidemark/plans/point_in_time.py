@@ -450,13 +450,19 @@ def paired_wilcoxon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.wilcoxon(wide, ["metro"], "mean3", "naive").select("metro", "n", "m", "w", F.round("z", 6).alias("z"))
 
 
+#: The models from the simplest up; each is tested against the first and against the one before it.
+LADDER = ("naive", "drift", "mean3")
+
+
 @query("ladder_tests")
 def ladder_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every model against the naive one per metro, with Holm's adjustment within each metro."""
+    """Every model against the naive one and against the rung below it per metro, with Holm's adjustment over all tests of a metro."""
     p = predictions(spark, sf_dir).withColumn("e", F.abs(F.col("pred") - F.col("final")))
-    base = p.filter("model = 'naive'").select("geo", "time", F.col("e").alias("base"))
-    pairs = p.filter("model <> 'naive'").join(base, ["geo", "time"])
-    return stats.holm(stats.wilcoxon(pairs, ["metro", "model"], "e", "base"), ["metro"], "p", "model")
+    wide = p.groupBy("metro", "geo", "time").agg(*[F.max(F.when(F.col("model") == m, F.col("e"))).alias(m) for m in LADDER])
+    tests = [(m, vs) for below, m in zip(LADDER, LADDER[1:]) for vs in dict.fromkeys((LADDER[0], below))]
+    rows = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(vs).alias("vs"), F.col(m).alias("e"), F.col(vs).alias("base")) for m, vs in tests])
+    tested = stats.wilcoxon(wide.select("metro", F.explode(rows).alias("r")).select("metro", "r.*"), ["metro", "model", "vs"], "e", "base")
+    return stats.holm(tested.withColumn("_test", F.concat_ws("|", "model", "vs")), ["metro"], "p", "_test").drop("_test")
 
 
 _P = "with t as (select p_partkey as k, p_brand as fam, case when p_partkey % 97 = 0 then null else 1.0::double / (p_partkey % 1000 + 2) * (1 + p_size) / 60 end as p from part)"
