@@ -34,6 +34,8 @@ MAX_SOURCES = 10_000
 SHARD_TEXTS = 100_000
 #: Passes that fill the gap below the demand with smaller texts.
 FILL_PASSES = 3
+#: The part of its demand and of its target share that a source must reach to be reported as met.
+MET = 0.99
 
 
 @dataclass(frozen=True)
@@ -161,11 +163,17 @@ def mix_sources(docs: DataFrame, targets: dict[str, tuple[float, int]], tilt: fl
 
 
 def share_report(mixture: Mixture) -> DataFrame:
-    """Per listed source: target and actual share, texts and tokens there and used, most repeats, and a note."""
+    """Per listed source: target and actual share, texts and tokens there and used, most repeats, and a note.
+
+    The note is 'no text', 'not used' (texts, but none placed), 'short' (less than MET of the tokens
+    wanted or of the target share) or 'met'.
+    """
     per = mixture.placed.groupBy("source").agg(F.sum("tokens").alias("tokens_used"), F.countDistinct("id").alias("texts_used"), F.max("copy").alias("most_repeats"))
     total = mixture.placed.agg(F.sum("tokens")).first()[0] or 0
     rows = [(s.source, s.target, s.weight, s.max_repeats, s.texts, s.supply, s.demand) for s in mixture.shares]
     plan = mixture.placed.sparkSession.createDataFrame(rows, "source string, target_share double, feasible_share double, max_repeats int, texts bigint, tokens_available bigint, tokens_wanted bigint")
-    note = F.when(F.col("tokens_available") == 0, "no text").otherwise("met")
     filled = plan.join(per, "source", "left").fillna(0, ["tokens_used", "texts_used", "most_repeats"])
-    return filled.withColumns({"actual_share": F.col("tokens_used") / F.lit(float(max(total, 1))), "note": note})
+    shared = filled.withColumn("actual_share", F.col("tokens_used") / F.lit(float(max(total, 1))))
+    short = (F.col("tokens_used") < MET * F.col("tokens_wanted")) | (F.col("actual_share") < MET * F.col("target_share") / F.lit(max(sum(s.target for s in mixture.shares), 1.0)))
+    note = F.when(F.col("tokens_available") == 0, "no text").when(F.col("tokens_used") == 0, "not used").when(short, "short").otherwise("met")
+    return shared.withColumn("note", note)
