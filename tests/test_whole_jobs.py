@@ -3,8 +3,10 @@
 import importlib
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
+from tidemark.operators import spatial
 from tidemark.plans.catalog import all_queries
 from tidemark.plans.point_in_time import SIGNALS
 from tidemark.sources.tables import table
@@ -73,3 +75,13 @@ def test_each_rung_is_tested_against_the_first_and_the_one_below(spark, sf_small
     naive = {(r.metro): (r.n, r.m, r.w) for r in rows if (r.model, r.vs) == ("mean3", "naive")}
     assert naive == {r.metro: (r.n, r.m, r.w) for r in QUERIES["paired_wilcoxon"].build(spark, sf_small).collect()}
     assert all(r.p <= r.p_holm <= 1 for r in rows)
+
+
+def test_permutations_draw_from_the_whole_map(spark):
+    """p is that of draws from all of 30,000 values, in the order of the cells' hashes."""
+    v = spark.range(30_000).select(F.col("id").alias("k"), (F.col("id") * 1.0).alias("v"))
+    edges = spark.createDataFrame([(1, 25_000)], "src long, dst long")
+    p = spatial.permutation_p(v, edges, "k", "v").first()["p"]
+    order = np.array([r[0] for r in v.orderBy(F.xxhash64("k", F.lit(4109)), "k").select("v").collect()])
+    draws = order[np.random.default_rng(4110).choice(30_000, size=(999, 1))].mean(axis=1)
+    assert p == min(1.0, 2 * (min((draws >= 25_000).sum(), (draws <= 25_000).sum()) + 1) / 1000)

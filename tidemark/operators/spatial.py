@@ -66,21 +66,28 @@ def local_moran(values: DataFrame, edges: DataFrame, key: str, value: str) -> Da
 def permutation_p(values: DataFrame, edges: DataFrame, key: str, value: str, rounds: int = 999, seed: int = 4109) -> DataFrame:
     """key, observed, p: conditional permutation test of the neighbours' mean.
 
-    Neighbour values are redrawn from a fixed sample of the map of at most ``POOL`` values, the
-    same for every cell, so cells are tested independently in Arrow batches. Maps of up to POOL
-    cells use all their values.
+    Neighbour values are redrawn from the whole map, the same draws for every cell of as many
+    neighbours, so cells are tested independently in Arrow batches. Only the values at the drawn
+    ranks reach the driver: ``rounds`` x n for each number n of neighbours that occurs.
     """
     v = values.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).filter("v is not null")
-    pool = np.array([r[0] for r in v.orderBy(F.xxhash64("k", F.lit(seed))).limit(POOL).select("v").collect()])
     links = edges.select(F.col("src").alias("k"), F.col("dst").alias("j")).distinct().filter("k <> j")
     seen = links.join(v.select(F.col("k").alias("j"), F.col("v").alias("vj")), "j").groupBy("k").agg(F.avg("vj").alias("observed"), F.count("*").alias("n")).join(v, "k")
 
+    cells = v.count()
+    ranks = {r[0]: np.random.default_rng(seed + r[0]).choice(cells, size=(rounds, r[0])) for r in seen.select("n").distinct().collect()}
+    needed = np.unique(np.concatenate([x.ravel() for x in ranks.values()])) if ranks else np.array([], dtype=np.int64)
+    wanted = set(needed.tolist())
+    placed = v.orderBy(F.xxhash64("k", F.lit(seed)), "k").select("v").rdd.zipWithIndex()
+    at = dict(placed.filter(lambda x: x[1] in wanted).map(lambda x: (x[1], x[0][0])).collect())
+    drawn = np.array([at[k] for k in needed.tolist()])
+    means = {n: np.sort(drawn[np.searchsorted(needed, x)].mean(axis=1)) for n, x in ranks.items()}
+
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = np.empty(len(pdf))
             for n, part in pdf.groupby("n"):
-                draws = np.random.default_rng(seed + int(n)).choice(pool, size=(rounds, int(n))).mean(axis=1)
-                draws.sort()
+                draws = means[int(n)]
                 above = rounds - np.searchsorted(draws, part["observed"].to_numpy(), side="left")
                 below = np.searchsorted(draws, part["observed"].to_numpy(), side="right")
                 out[pdf.index.get_indexer(part.index)] = np.minimum(1.0, 2 * (np.minimum(above, below) + 1) / (rounds + 1))
@@ -89,10 +96,6 @@ def permutation_p(values: DataFrame, edges: DataFrame, key: str, value: str, rou
     return seen.mapInPandas(test, f"k {v.schema['k'].dataType.simpleString()}, observed double, p double").withColumnRenamed("k", key)
 
 
-#: Values that permutations draw from.
-POOL = 20_000
-
-
 def nearest(points: DataFrame, key: str, x: str, y: str, at: tuple[float, float], k: int) -> DataFrame:
     """The ``k`` points nearest to a place, by squared degrees: a top-k, not a sort."""
     d2 = (F.col(x) - at[0]) ** 2 + (F.col(y) - at[1]) ** 2
