@@ -1 +1 @@
-"""Preparation of training text: packing, mixing and quality statistics."""
+"""Label consensus, and preparation of training text: packing, mixing and quality statistics."""
