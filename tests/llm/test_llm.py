@@ -14,7 +14,7 @@ PATH = f"{tokens.VOCABULARY_DIR}/{tokens.VOCABULARY}"
 # Tokens
 
 
-@pytest.mark.parametrize("text", ["", "Hello there, it's 10 o'clock.\n\nTwo   blanks", "ñandú " * 9000, "a" * 30000, "x y " * 20000, "1\t2\r\n" * 8000])
+@pytest.mark.parametrize("text", ["", "Hello there, it's 10 o'clock.\n\nTwo   blanks", "ñandú " * 9000, "a" * 30000, "x y " * 20000, "1\t2\r\n" * 8000, "information|" * 100_000, "because," * 150_000, "_a b_" * 9000])
 def test_counting_in_pieces_adds_up(text):
     assert "".join(tokens.pieces(text)) == text
     assert tokens.count_tokens(text, PATH) == len(tokens.encoding(PATH).encode_ordinary(text))

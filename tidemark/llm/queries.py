@@ -81,7 +81,7 @@ def p6_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     sized = with_token_counts(docs, "text", "tokens", "prompt").select("id", "tokens", "prompt")
-    sizes = {r["pack_name"]: r["capacity_tokens"] for r in table(spark, sf_dir, "pack_sizes").limit(1000).collect()}  # a fixed handful
+    sizes = {r["pack_name"]: r["capacity_tokens"] for r in table(spark, sf_dir, "pack_sizes").collect()}  # a fixed table
     return packing.pack_texts(sized, sizes, LIMITS)
 
 
