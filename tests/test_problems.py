@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import labels
-from tidemark.operators import asof, consensus, late_events, regular_grid, skew, snapshot_changes, spikes, timestamps
+from tidemark.operators import asof, late_events, regular_grid, skew, snapshot_changes, spikes, timestamps, votes
 
 D = dt.date
 
@@ -201,7 +201,7 @@ def test_late_events_of_an_empty_table(spark):
     assert late_events.corrected_periods(read5(spark.createDataFrame([], SCHEMA5))).collect() == []
 
 
-# 6. Consensus
+# Votes
 
 
 def test_answers_are_normalised(spark):
@@ -211,47 +211,14 @@ def test_answers_are_normalised(spark):
     assert [r[0] for r in df.select(labels.concern_answer("c")).collect()] == ["2", "1", None, None, "3", None, None]
 
 
-def test_consensus_beats_majority_with_bad_annotators(spark):
-    rng = random.Random(11)
-    good = {f"g{i}": 0.95 for i in range(3)} | {f"b{i}": 0.3 for i in range(5)} | {"rare": 0.95}
-    data, truth = [], {}
-    for item in range(600):
-        truth[item] = rng.choice("yn")
-        for a in rng.sample(sorted(good), 5):
-            if a == "rare" and item > 20:
-                continue
-            said = truth[item] if rng.random() < good[a] else ("y" if truth[item] == "n" else "n")
-            data.append((item, a, said))
-    data += [(0, "adjudicated", "y" if truth[0] == "n" else "n"), (7000, "g0", None)]
-    votes = spark.createDataFrame(data, "item long, annotator string, relevant string")
-    fit = consensus.fit_consensus(votes, {"relevant": ["n", "y"]}, "adjudicated")
-    got = {r.item: r for r in fit.answers().collect()}
-    right = sum(got[i].answer == truth[i] for i in range(1, 600)) / 599
-    majority = sum(max("ny", key=lambda v: sum(1 for it, _, s in data if it == i and s == v)) == truth[i] for i in range(1, 600)) / 599
-    assert right > 0.93 and right > majority + 0.1
-    assert got[0].answer != truth[0] and got[7000].votes == 0 and got[7000].support is None
-    rel = {r.annotator: r.reliability for r in fit.reliability().collect()}
-    assert min(rel["g0"], rel["g1"], rel["g2"]) > 0.85 > 0.5 > max(rel[f"b{i}"] for i in range(5))
-    assert 0.6 < rel["rare"] <= 1
-
-
 def test_latest_valid_row_counts(spark):
     t = dt.datetime(2025, 1, 1)
     data = [("a", "x", t, 1, "0", "y"), ("a", "x", t + dt.timedelta(1), 2, "0", None), ("a", "z", t, 3, "1", "y"), ("a", " q ", t, 4, None, "n"), ("a", "q", t, 5, "0", "y"), (None, "q", t, 6, "0", "y"), ("a", None, t, 7, "0", "y")]
     df = spark.createDataFrame(data, "i string, l string, at timestamp, id long, ex string, r string")
-    got = rows(consensus.latest_votes(df, "i", "l", "at", "id", F.col("ex") == "1", {"r": F.col("r")}))
+    got = rows(votes.latest_votes(df, "i", "l", "at", "id", F.col("ex") == "1", {"r": F.col("r")}))
     assert got == [("a", "q", "y"), ("a", "x", None)]
 
 
-def test_consensus_of_nothing(spark):
-    votes = spark.createDataFrame([], "item long, annotator string, relevant string")
-    fit = consensus.fit_consensus(votes, {"relevant": ["n", "y"]}, "adjudicated")
-    assert fit.answers().collect() == [] and fit.reliability().collect() == []
-    alone = spark.createDataFrame([(1, "adjudicated", "y"), (2, "adjudicated", None)], votes.schema)
-    got = {r.item: (r.answer, r.labelers) for r in consensus.fit_consensus(alone, {"relevant": ["n", "y"]}, "adjudicated").answers().collect()}
-    assert got == {1: ("y", 0), 2: ("y", 0)}
-
-
 def test_asof_join_keeps_event_columns_of_any_name(spark):
     e = spark.createDataFrame([(1, "k", D(2025, 1, 2), "kept")], "id long, k string, t date, known string")
     v = spark.createDataFrame([("k", D(2025, 1, 1), 5, 0.5)], "k string, known date, fid long, label double")
@@ -261,12 +228,6 @@ def test_asof_join_keeps_event_columns_of_any_name(spark):
     assert r.known == "kept" and r.found.label == 0.5
 
 
-def test_digamma():
-    import numpy as np
-
-    assert consensus.digamma(np.array([1.0, 0.5, 10.0])) == pytest.approx([-0.5772156649, -1.9635100260, 2.2517525890], abs=1e-8)
-
-
 # 7. Implausible readings
 
 

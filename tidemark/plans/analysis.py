@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import dedupe, models, sampling, spatial, stats
+from tidemark.functions import labels
+from tidemark.operators import dedupe, models, sampling, spatial, stats, votes
 from tidemark.plans.point_in_time import _EXAMPLES, examples, weekly
-from tidemark.plans.problems import label_votes
 from tidemark.plans.registry import Registry
 from tidemark.plans.relational import r6
 from tidemark.sources.tables import table
@@ -15,6 +15,14 @@ from tidemark.sources.tables import table
 REGISTRY = Registry()
 query = REGISTRY.query
 
+
+def label_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item, annotator, relevant, illness, concern: each labeler's latest valid answers per article."""
+    answers = {"relevant": labels.relevant_answer("relevant"), "illness": labels.illness_answer("illness"), "concern": labels.concern_answer("concern")}
+    practice = F.trim("is_example").isin("1", "1.0")
+    return votes.latest_votes(table(spark, sf_dir, "human_labels"), "article_id", "labeler", "labeled_at", "label_id", practice, answers)
+
+
 # Two ratings of one article: human_b against human_k on relevant and concern. All labelers are in the queries named 'every'.
 
 _VOTES = """

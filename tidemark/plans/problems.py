@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import labels
-from tidemark.operators import asof, consensus, late_events, regular_grid, snapshot_changes, spikes, timestamps
+from tidemark.operators import asof, late_events, regular_grid, snapshot_changes, spikes, timestamps
 from tidemark.plans.registry import Registry
 from tidemark.sources.tables import fips_text, table
 
@@ -174,67 +173,6 @@ def p5_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.withColumnsRenamed({"key": "site_id", "period": "week_end"}).withColumns({c: F.round(c, 6) for c in ("mean", "median")})
 
 
-def label_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each labeler's latest valid answers per article."""
-    answers = {"relevant": labels.relevant_answer("relevant"), "illness": labels.illness_answer("illness"), "concern": labels.concern_answer("concern")}
-    practice = F.trim("is_example").isin("1", "1.0")
-    return consensus.latest_votes(table(spark, sf_dir, "human_labels"), "article_id", "labeler", "labeled_at", "label_id", practice, answers)
-
-
-def fitted_consensus(spark: SparkSession, sf_dir: str) -> consensus.Consensus:
-    return consensus.fit_consensus(label_votes(spark, sf_dir), labels.ANSWERS, "adjudicated")
-
-
-@REGISTRY.query("p6_found")
-def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consensus answers of the articles with three labelers or more."""
-    return fitted_consensus(spark, sf_dir).answers().filter("labelers >= 3").select(F.col("item").alias("article_id"), "field", "answer")
-
-
-@REGISTRY.query("p6_answers")
-def p6_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consensus of every article with its probability and the agreement of its votes."""
-    return fitted_consensus(spark, sf_dir).answers().withColumnRenamed("item", "article_id")
-
-
-@REGISTRY.query("p6_reliability")
-def p6_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each labeler's expected reliability per field, stabilised by their type."""
-    return fitted_consensus(spark, sf_dir).reliability().withColumnRenamed("annotator", "labeler")
-
-
-_P6 = """
-    with picked as (
-        select distinct article_id, trim(labeler) as labeler, labeled_at, label_id, lower(trim(relevant)) as r, lower(illness) as i, trim(concern) as c
-        from human_labels where coalesce(trim(is_example), '') not in ('1', '1.0') and article_id is not null and labeler is not null and trim(labeler) not in ('', 'adjudicated')
-    ), last_row as (
-        select * from (select *, row_number() over (partition by article_id, labeler order by labeled_at desc nulls last, label_id desc) as rn from picked) where rn = 1
-    ), parts as (
-        select *, list_sort(list_distinct(list_filter(list_transform(string_split(regexp_replace(i, '[,;]', '|', 'g'), '|'), lambda p: trim(p)), lambda p: p <> ''))) as p from last_row
-    ), wide as (
-        select article_id, case when r in ('y', 'yes', 'true', '1', 't') then 'y' when r in ('n', 'no', 'false', '0', 'f') then 'n' end as relevant,
-               case when p = ['none'] then 'none' when len(p) > 0 and len(list_filter(p, lambda x: x not in ('covid', 'flu', 'rsv', 'respiratory_general'))) = 0 then array_to_string(p, '|') end as illness,
-               nullif(regexp_extract(c, '^[+]?0*([0-3])([.]0*)?$', 1), '') as concern
-        from parts
-    ), votes as (
-        select article_id, 'relevant' as field, relevant as v from wide union all select article_id, 'illness', illness from wide union all select article_id, 'concern', concern from wide
-    ), cells as (select article_id, field, v, count(*) as n from votes where v is not null group by all),
-    items as (select article_id, field, sum(n) as m, sum(n * (n - 1)) as same from cells group by all having sum(n) > 1),
-    shared as (select c.field, c.v, sum(c.n) as n from cells c join items i on c.article_id = i.article_id and c.field = i.field group by all),
-    chance as (select field, sum(n * (n - 1))::double / (sum(n) * (sum(n) - 1))::double as expected from shared group by field),
-    seen as (select field, count(*) as items, sum(m)::bigint as votes, sum(same::double / (m - 1)::double) / sum(m)::double as observed from items group by field)
-    select s.field, s.items, s.votes, round(s.observed, 6) as observed, round(c.expected, 6) as expected, round(1 - (1 - s.observed) / (1 - c.expected), 6) as alpha
-    from seen s join chance c on s.field = c.field
-"""
-
-
-@REGISTRY.query("p6_agreement", _P6)
-def p6_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Krippendorff's alpha of each field over the labelers' votes."""
-    alpha = consensus.nominal_alpha(label_votes(spark, sf_dir), list(labels.ANSWERS), "adjudicated")
-    return alpha.withColumns({c: F.round(c, 6) for c in ("observed", "expected", "alpha")})
-
-
 def flagged_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spikes.implausible_readings(table(spark, sf_dir, "ed_readings"), "site_id", "week_end", "reading_id", "ed_resp")
 
