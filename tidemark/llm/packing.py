@@ -51,52 +51,40 @@ class Limits:
 def fill_containers(demands: np.ndarray, limits: np.ndarray) -> np.ndarray:
     """Container numbers, from 0, of items with ``demands`` (items x dimensions).
 
-    Equal items are one type with a count. An item beyond a limit in another dimension than
-    the first still gets a container, of its own.
+    Equal items are one type with a count. Types are in the order of their first demand, largest
+    first, so those that fit a container's remaining space are a suffix, and ties of the dot
+    product go to the larger item. An item beyond a limit in another dimension than the first
+    still gets a container, of its own.
     """
-    kinds, kind_of = np.unique(demands, axis=0, return_inverse=True)
-    kind_of = kind_of.ravel()
-    counts = np.bincount(kind_of, minlength=len(kinds))
-    # Largest first, so that ties of the dot product go to the larger item.
-    order = np.argsort(-kinds[:, 0], kind="stable")
-    kinds, counts = kinds[order], counts[order]
-    unit = kinds / limits
+    kinds, kind_of, counts = np.unique(-demands, axis=0, return_inverse=True, return_counts=True)
+    unit = -kinds / limits
+    members = np.split(np.argsort(kind_of.ravel(), kind="stable"), np.cumsum(counts)[:-1])
     weight = demands.mean(axis=0) / limits if len(demands) else np.ones(demands.shape[1])
-    weighted = unit * weight
-    members: list[list[int]] = [[] for _ in kinds]
-    for i, k in enumerate(np.argsort(order)[kind_of]):
-        members[k].append(i)
-    out = np.zeros(len(demands), dtype=np.int64)
-    alive = np.flatnonzero(counts > 0)
-    container = 0
-    while len(alive):
-        left = np.ones(unit.shape[1])
-        took = False
-        while True:
-            rest = unit[alive]
-            fits = (rest <= left + 1e-12).all(axis=1)
-            if not fits.any():
-                if not took:  # beyond a limit by itself
-                    k = alive[0]
-                    out[members[k].pop()] = container
-                    counts[k] -= 1
-                    if counts[k] == 0:
-                        alive = alive[counts[alive] > 0]
-                break
-            score = np.where(fits, weighted[alive] @ left, -1.0)
-            k = alive[int(score.argmax())]
-            # An item that leaves exactly nothing is better than any other.
-            exact = fits & (np.abs(left[0] - rest[:, 0]) < 1e-12)
-            if exact.any():
-                k = alive[int(exact.argmax())]
-            out[members[k].pop()] = container
-            counts[k] -= 1
-            left = left - unit[k]
-            took = True
-            if counts[k] == 0:
-                alive = alive[counts[alive] > 0]
-                if not len(alive):
+    weighted, number = unit * weight, np.arange(len(unit))
+    left_of, out = counts.copy(), np.zeros(len(demands), dtype=np.int64)
+    keep, rest_dims, container, open_items, dead = -unit[:, 0], range(1, unit.shape[1]), 0, len(demands), 0
+    while open_items:
+        left, took = np.ones(unit.shape[1]), False
+        while open_items:
+            first = int(np.searchsorted(keep, -left[0] - 1e-12))
+            score = weighted[first:] @ left
+            for d in rest_dims:
+                score[unit[first:, d] > left[d] + 1e-12] = -1.0
+            k = first + int(score.argmax()) if len(score) else -1
+            if k < 0 or score[k - first] < 0:
+                if took:
                     break
+                k = int(np.flatnonzero(left_of[number] > 0)[0])  # beyond a limit by itself
+            kind = number[k]
+            left_of[kind] -= 1
+            out[members[kind][left_of[kind]]] = container
+            left, took, open_items = left - unit[k], True, open_items - 1
+            if not left_of[kind]:
+                unit[k, -1] = np.inf  # never fits again
+                weighted[k], dead = 0.0, dead + 1
+                if dead > 64 and dead * 2 > len(number):
+                    alive = left_of[number] > 0
+                    unit, weighted, number, keep, dead = unit[alive], weighted[alive], number[alive], keep[alive], 0
         container += 1
     return out
 
