@@ -261,6 +261,54 @@ def test_planted_readings_are_found_at_any_cut(spark, shard_rows):
     assert got == planted
 
 
+def test_details_decide_and_are_scaled_by_each_sites_scatter(spark, monkeypatch):
+    """The same departure is a spike where scatter is small, and none where it is usual; without details nothing departs."""
+    rng = random.Random(8)
+    data = [(s * 1000 + k, s, dt.datetime(2025, 1, 1) + dt.timedelta(days=4 * k), 5 * (2.0 if k == 30 else 1) * 2.718 ** (sd * rng.gauss(0, 1))) for s, sd in ((1, 0.05), (2, 0.6)) for k in range(80)]
+    data += [(3000 + k, 3, dt.datetime(2025, 1, 1) + dt.timedelta(days=4 * k), (4.0 if k < 40 else 9.0) * 2.718 ** (0.03 * rng.gauss(0, 1))) for k in range(80)]
+    df = spark.createDataFrame(data, "id long, s long, at timestamp_ntz, v double")
+    found = {r.reading_id: r.score for r in spikes.implausible_readings(df, "s", "at", "id", "v").collect()}
+    assert set(found) == {1030} and found[1030] > 5
+    coded = {r.id: r for r in spikes.details(df.select(F.col("s").alias("source"), "at", "id", F.col("v").alias("value")), 0, 100).collect()}
+    assert coded[1030].single == pytest.approx(min(abs(coded[1030].fine), abs(coded[1031].fine)) / spikes.FINE_NORM, rel=0.4) and coded[3040].single == 0
+    monkeypatch.setattr(spikes, "departure", lambda *a, **k: F.lit(0.0))
+    assert spikes.implausible_readings(df, "s", "at", "id", "v").collect() == []
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 10**6])
+def test_shards_are_assigned_alike_with_and_without_broadcast(spark, broadcast_rows):
+    rng = random.Random(6)
+    data = [(1 if rng.random() < 0.5 else rng.randint(2, 40), D(2025, 1, 1) + dt.timedelta(days=rng.randint(0, 300)), i) for i in range(2000)]
+    df = spark.createDataFrame(data, "k long, t date, i long")
+    plan = skew.plan_shards(df, ["k"], "t", 100)
+    out = plan.assign(df, "t", broadcast_rows).collect()
+    assert len(out) == len(data)
+    spans = defaultdict(list)
+    for r in out:
+        assert (r._shard > 0) == (r.k == 1)
+        spans[r._shard].append(r.t)
+    spans.pop(0)
+    assert 7 <= len(spans) <= 12 and max(map(len, spans.values())) < 200
+    ordered = [spans[s] for s in sorted(spans)]
+    assert all(max(a) < min(b) for a, b in zip(ordered, ordered[1:]))
+
+
+def test_halos_reach_over_shards_without_wanted_rows(spark):
+    data = [(1, k, k % 10 == 0 and not 30 <= k < 60) for k in range(100)]
+    df = spark.createDataFrame(data, "k long, t long, w boolean")
+    plan = skew.plan_shards(df, ["k"], "t", 7)
+    placed = plan.assign(df, "t").drop("_salts")
+    wanted = [t for _, t, w in data if w]
+    shards = defaultdict(list)
+    for r in placed.collect():
+        shards[r._shard].append(r.t)
+    got = defaultdict(set)
+    for r in skew.halo_rows(placed, plan, ["t"], 3, F.col("w")).collect():
+        got[r._shard].add(r.t)
+    for s, own in shards.items():
+        assert got[s] == set([t for t in wanted if t < min(own)][-3:] + [t for t in wanted if t > max(own)][:3])
+
+
 def test_no_readings(spark):
     df = spark.createDataFrame([(1, 1, dt.datetime(2025, 1, 1), None)], "id long, s long, at timestamp_ntz, v double")
     assert spikes.implausible_readings(df, "s", "at", "id", "v").collect() == []

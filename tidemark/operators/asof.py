@@ -56,14 +56,15 @@ def asof_join(
         usable = usable & F.col(c).isNotNull()
     # One version per moment before anything is shuffled further: versions per key are then bounded by its moments.
     v = v.filter(usable).groupBy(*cols, "_t").agg(F.max("_v").alias("_v")).withColumn("_v", F.struct(F.col("_t").alias("valid_from"), "_v"))
-    counts = e.filter(usable).groupBy(*cols, "_t").agg(F.count("*").alias("_n")).unionByName(v.select(*cols, "_t", F.lit(1).cast("long").alias("_n")))
-    plan = plan_shards(counts, cols, "_t", shard_rows)
+    plan = plan_shards(e.filter(usable).select(*cols, "_t").unionByName(v.select(*cols, "_t")), cols, "_t", shard_rows)
     e = plan.assign(e, "_t")
-    e = e.withColumn("_salt", F.when(F.col("_salts") > 1, F.pmod("_h", F.col("_salts")).cast("int")).otherwise(0))
+    # Events that can match nothing are spread over as many pieces as they are, and never meet.
+    salt = F.when(~usable, F.pmod("_h", F.lit(1 << 30))).when(F.col("_salts") > 1, F.pmod("_h", F.col("_salts"))).otherwise(0)
+    e = e.withColumn("_salt", salt.cast("int"))
     v = plan.assign(v, "_t")
     if not plan.empty:
         last = v.filter("_shard > 0").groupBy(*cols, "_shard").agg(F.max("_v").alias("_last"))
-        ranges = plan.rows.select(*cols, "_shard", "_lo", "_salts").join(last, [*cols, "_shard"], "left")
+        ranges = plan.rows.select(*cols, "_shard", "_salts").join(last, [*cols, "_shard"], "left")
         earlier = Window.partitionBy(*cols).orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
         carried = ranges.withColumn("_v", F.last("_last", ignorenulls=True).over(earlier)).filter("_v is not null")
         v = v.unionByName(carried.select(*cols, F.col("_v.valid_from").alias("_t"), "_v", "_shard", "_salts"))
