@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import statistics
 from collections import defaultdict
 from zoneinfo import ZoneInfo
 
@@ -185,16 +186,31 @@ def test_lateness_against_brute_force(spark):
     assert got == brute_verdicts(usable) and len(got) > 20
 
 
-def test_multiset_state_in_batches_equals_one_pass(spark):
-    df = spark.createDataFrame(arrivals(spark), SCHEMA5)
-    judged = late_events.verdicts(read5(df)).filter("verdict is null or verdict = 'late'").drop("verdict")
-    whole = rows(late_events.multiset_aggregates(late_events.merge_counts(None, late_events.unit_deltas(judged)[0])))
-    state = held = None
-    for part in range(3):
-        batch = judged.filter(F.col("id") % 3 == part)
-        deltas, held = late_events.unit_deltas(batch, held)
-        state = late_events.merge_counts(state, deltas)
-    assert [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows(late_events.multiset_aggregates(state))] == [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in whole]
+def test_records_pass_through_the_state_in_batches(spark, monkeypatch):
+    """Verdicts and aggregates come out of the state: values are taken out, closed periods leave it, and without it the verdicts are wrong."""
+    data = arrivals(spark)
+    df = spark.createDataFrame(data, SCHEMA5)
+    usable = [r for r in data if (r[2] - r[3].date()).days <= 6]
+    want = brute_verdicts(usable)
+    state = late_events.replay(read5(df), batch_days=14)
+    assert len(state.numbers) > 4 and {r.id: r.verdict for r in state.judged().collect() if r.verdict} == want
+    assert spark.read.parquet(f"{state.root}/gen-{state.done}/moves").filter("goes is not null").count() > 0
+    last = {}
+    for r in sorted(usable, key=lambda r: (r[3], r[0])):
+        if want.get(r[0]) != "dropped":
+            last[r[1], r[2], r[4]] = r[5]
+    values = defaultdict(list)
+    for (k, w, _), v in last.items():
+        values[k, w].append(v)
+    got = {(r.key, r.period): r for r in state.periods().collect()}
+    assert got.keys() == values.keys()
+    for key, vs in values.items():
+        assert (got[key].n, got[key].median, got[key].distinct_values, got[key].highest) == (len(vs), pytest.approx(statistics.median(vs)), len(set(vs)), max(vs))
+    closed = state._read(state.done, "counts").filter("open").groupBy("key").agg(F.datediff(F.max("period"), F.min("period")).alias("span"))
+    assert closed.agg(F.max("span")).first()[0] <= 28
+    monkeypatch.setattr(late_events.LateState, "horizon", lambda self: self._read(self.done, "counts").select("key", F.lit("1970-01-03").cast("date").alias("top")).distinct() if self.numbers else None)
+    blind = late_events.replay(read5(df), batch_days=14)
+    assert {r.id: r.verdict for r in blind.judged().collect() if r.verdict} != want
 
 
 def test_late_events_of_an_empty_table(spark):

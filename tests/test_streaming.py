@@ -48,15 +48,40 @@ def test_gaps(spark, tmp_path):
     assert len(got) >= 2
 
 
-def test_late_corrections_batch_by_batch(spark, tmp_path):
-    df = read5(spark.createDataFrame(arrivals(spark), SCHEMA5))
+def batches(spark, df, parts=3):
     order = df.orderBy("at", "id").collect()
-    state = feeds.LateCorrections(spark, str(tmp_path / "late"))
-    for i in range(3):
-        part = order[i * len(order) // 3 : (i + 1) * len(order) // 3]
-        state.apply(spark.createDataFrame(part, df.schema), i)
-    state.apply(df, 2)  # a batch that is delivered again changes nothing
-    whole = late_events.verdicts(df).filter("verdict is null or verdict = 'late'").drop("verdict")
-    want = late_events.multiset_aggregates(late_events.merge_counts(None, late_events.unit_deltas(whole)[0]))
-    tidy = lambda d: [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows(d)]
-    assert tidy(state.periods()) == tidy(want)
+    return [spark.createDataFrame(order[i * len(order) // parts : (i + 1) * len(order) // parts], df.schema) for i in range(parts)]
+
+
+def tidy(df):
+    return [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows(df)]
+
+
+def whole(df):
+    accepted = late_events.verdicts(df).filter("verdict is null or verdict = 'late'").drop("verdict")
+    return late_events.multiset_aggregates(late_events.merge_counts(None, late_events.value_changes(late_events.unit_moves(accepted))))
+
+
+def test_late_corrections_go_on_after_a_restart(spark, tmp_path):
+    """Each batch meets a new object; the second dies half-way and leaves a folder; the third comes twice."""
+    df = read5(spark.createDataFrame(arrivals(spark), SCHEMA5))
+    root = str(tmp_path / "late")
+    parts = batches(spark, df)
+    late_events.LateState(spark, root).apply(parts[0], 0)
+    parts[2].write.parquet(f"{root}/gen-1/judged")
+    assert late_events.LateState(spark, root).done == 0
+    for i in (1, 2, 2):
+        late_events.LateState(spark, root).apply(parts[i], i)
+    state = late_events.LateState(spark, root)
+    assert state.done == 2 and tidy(state.periods()) == tidy(whole(df))
+    assert {r.id: r.verdict for r in state.judged().collect()} == {r.id: r.verdict for r in late_events.verdicts(df).collect()}
+
+
+def test_late_corrections_as_a_stream(spark, tmp_path):
+    df = read5(spark.createDataFrame(arrivals(spark, n=150), SCHEMA5))
+    for part in batches(spark, df):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    feeds.late_corrections(stream, str(tmp_path / "state"), str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination(120)
+    state = late_events.LateState(spark, str(tmp_path / "state"))
+    assert state.done == 2 and tidy(state.periods()) == tidy(whole(df))

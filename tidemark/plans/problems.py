@@ -148,7 +148,7 @@ _P5 = """
 @REGISTRY.query("p5_found", _P5 + " select arrival_id, verdict from judged where verdict is not null")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrivals that were late for their site, and those beyond the cut-off."""
-    return late_events.verdicts(arrival_records(spark, sf_dir)).filter("verdict is not null").select(F.col("id").alias("arrival_id"), "verdict")
+    return late_events.replay(arrival_records(spark, sf_dir)).judged().filter("verdict is not null").select(F.col("id").alias("arrival_id"), "verdict")
 
 
 @REGISTRY.query(

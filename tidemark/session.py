@@ -60,3 +60,15 @@ def durable(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder for a written intermediate table."""
     return f"{shared_root(spark)}/tidemark-{label}-{uuid.uuid4().hex[:12]}"
+
+
+def file_system(spark: SparkSession, root: str):
+    """The Hadoop file system of ``root``, and a maker of its paths."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def remove(spark: SparkSession, root: str) -> None:
+    """Delete a folder of intermediates that nothing reads any more."""
+    fs, path = file_system(spark, root)
+    fs.delete(path(root), True)

@@ -9,7 +9,7 @@ import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import late_events
@@ -55,38 +55,10 @@ def gap_marks(df: DataFrame, key: str, time: str, most_days: int) -> DataFrame:
     return df.select(key, time).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, after date, until date", "last string", "append", "NoTimeout")
 
 
-class LateCorrections:
-    """The multiset state of late events, merged batch by batch in the shared folder.
+def late_corrections(stream: DataFrame, root: str, checkpoint: str, cutoff_days: int = 28):
+    """A writer of :func:`late_events.arrivals` rows into the value-count state under ``root``, batch by batch; start it with ``.start()``.
 
-    ``apply`` is a foreachBatch sink: it judges a batch against the first arrivals seen so far,
-    changes the value counts, and writes the next generation of the state before it drops the
-    name of the last. A batch that was applied before is skipped by its number.
+    The state keeps the number of the batch with what the batch has changed, so that a restart
+    goes on where it was and a batch that comes again changes nothing.
     """
-
-    def __init__(self, spark: SparkSession, root: str, cutoff_days: int = 28) -> None:
-        self.spark, self.root, self.cutoff, self.done = spark, root, cutoff_days, -1
-
-    def _read(self, name: str) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.root}/{name}/{self.done}") if self.done >= 0 else None
-
-    def apply(self, batch: DataFrame, number: int) -> None:
-        """Merge one batch of :func:`late_events.arrivals` rows."""
-        if number <= self.done:
-            return
-        place = F.struct("at", "id")
-        first = batch.groupBy("key", "period").agg(F.min(place).alias("first"))
-        seen = self._read("first")
-        if seen is not None:
-            first = first.unionByName(seen).groupBy("key", "period").agg(F.min("first").alias("first"))
-        first.write.parquet(f"{self.root}/first/{number}")
-        firsts = self.spark.read.parquet(f"{self.root}/first/{number}")
-        known = firsts.select("key", "period", F.col("first.at").alias("at"), F.col("first.id").alias("id"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("unit"))
-        judged = late_events.verdicts(batch.withColumn("own", F.lit(1)).unionByName(known, allowMissingColumns=True), self.cutoff).filter("own = 1").drop("own")
-        deltas, held = late_events.unit_deltas(judged.filter("verdict is null or verdict = 'late'").drop("verdict"), self._read("held"))
-        held.write.parquet(f"{self.root}/held/{number}")
-        late_events.merge_counts(self._read("state"), deltas).write.parquet(f"{self.root}/state/{number}")
-        self.done = number
-
-    def periods(self) -> DataFrame:
-        """The corrected aggregates after the batches so far."""
-        return late_events.multiset_aggregates(self._read("state"))
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, n: late_events.LateState(batch.sparkSession, root, cutoff_days).apply(batch, n))
