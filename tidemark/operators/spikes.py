@@ -46,11 +46,10 @@ REACH = 6
 _WINDOW = "over (partition by source, _shard order by at, id)"
 
 
-def _median(values: list[Column]) -> Column:
-    """The median of those not null; null if all are."""
-    s = F.array_sort(F.array_compact(F.array(*values)))
-    n = F.size(s)
-    return F.when(n > 0, (F.element_at(s, F.floor((n + 1) / 2).cast("int")) + F.element_at(s, F.floor((n + 2) / 2).cast("int"))) / 2)
+def _median(first: Column, second: Column, third: Column) -> Column:
+    """The median of up to three neighbours, nearest first; those beyond the end of the series are null."""
+    middle = F.greatest(F.least(first, second), F.least(F.greatest(first, second), third))
+    return F.when(third.isNotNull(), middle).when(second.isNotNull(), (first + second) / 2).otherwise(first)
 
 
 def departure(values: list[Column], near: tuple[Column, Column], course: tuple[Column, Column], resume: float) -> Column:
@@ -89,11 +88,11 @@ def details(readings: DataFrame, low: float, high: float, floor: float = 0.05, r
     still = F.expr(f"coalesce(cast(value - lag(value) {_WINDOW} = 0 as int), 0)")
     rows = rows.withColumns(near | {"still": still})
     c = {n: F.col(n) for n in ("z", "b1", "b2", "b3", "a1", "a2", "a3", "a4")}
-    left = _median([c["b1"], c["b2"], c["b3"]])
+    left = _median(c["b1"], c["b2"], c["b3"])
     rows = rows.withColumns({
         "fine": c["z"] - c["b1"],
-        "single": departure([c["z"]], (c["b1"], c["a1"]), (left, _median([c["a1"], c["a2"], c["a3"]])), resume),
-        "first_of_two": F.when(c["z"].isNotNull(), F.coalesce(departure([c["z"], c["a1"]], (c["b1"], c["a2"]), (left, _median([c["a2"], c["a3"], c["a4"]])), resume), F.lit(0.0))),
+        "single": departure([c["z"]], (c["b1"], c["a1"]), (left, _median(c["a1"], c["a2"], c["a3"])), resume),
+        "first_of_two": F.when(c["z"].isNotNull(), F.coalesce(departure([c["z"], c["a1"]], (c["b1"], c["a2"]), (left, _median(c["a2"], c["a3"], c["a4"])), resume), F.lit(0.0))),
         # A run ends where the last run - 1 details are zero.
         "ends": F.expr(f"cast(sum(still) over (partition by source, _shard order by at, id rows between {run - 2} preceding and current row) = {run - 1} as int)"),
     })
