@@ -62,9 +62,9 @@ def test_entry_runs(spark):
 
 def test_the_log_is_scanned_once(spark, sf_small):
     """The as-of fan-out reads its log once, whatever the number of dates, and keeps only the columns it needs."""
-    from tidemark.plans.point_in_time import DATES, log
+    from tidemark.plans.point_in_time import log, origin_dates
     from tidemark.operators.vintage import as_of_each
 
-    plan = as_of_each(log(spark, sf_small), DATES)._jdf.queryExecution().executedPlan().toString()
+    plan = as_of_each(log(spark, sf_small), origin_dates(spark, sf_small))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1 and "Join" not in plan
     assert "temp_mean_f" not in plan and "news_n" not in plan

@@ -28,10 +28,10 @@ def test_the_fact_table_has_every_origin_and_signal(spark, sf_small):
 def test_other_dates_give_other_slices(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"copy (select * replace ((as_of + interval 5 year)::date as as_of, (week_end + interval 5 year)::date as week_end) from '/root/testdata/sf0.001/county_week.parquet') to '{tmp_path}/county_week.parquet'")
-    for name in ("county_week_every", "vintage_every_date"):
+    for name in ("county_week_full", "vintage_each_date"):
         years = {r[0] for r in QUERIES[name].build(spark, str(tmp_path)).select(F.year("as_of")).distinct().collect()}
         assert years and min(years) >= 2030, name
-    assert QUERIES["settled_every"].build(spark, str(tmp_path)).agg(F.max("origin")).first()[0].year >= 2030
+    assert QUERIES["settled_pool"].build(spark, str(tmp_path)).agg(F.max("origin")).first()[0].year >= 2030
 
 
 def test_articles_are_dated_in_all_formats_by_local_day(spark, tmp_path):
@@ -40,20 +40,19 @@ def test_articles_are_dated_in_all_formats_by_local_day(spark, tmp_path):
     spark.createDataFrame(rows, "article_id string, metro string, published string, fetched_ok string, dup_of string").write.parquet(f"{tmp_path}/articles.parquet")
     spark.createDataFrame([("ash", "America/Chicago")], "metro string, tz string").write.parquet(f"{tmp_path}/metros.parquet")
     spark.createDataFrame([(r[0], "2", "y") for r in rows], "article_id string, concern string, relevant string").write.parquet(f"{tmp_path}/human_labels.parquet")
-    day = {r.article_id: str(r.day) for r in QUERIES["page_published_every"].build(spark, str(tmp_path)).collect()}
+    day = {r.article_id: str(r.day) for r in QUERIES["article_published"].build(spark, str(tmp_path)).collect()}
     assert len(day) == len(rows) and day["a8"] == day["a9"] == "None"
     assert {k for k, d in day.items() if d == "2025-12-20"} == set(day) - {"a8", "a9"}
-    news = {(r.metro, str(r.week)): (r.articles, r.concern) for r in QUERIES["region_news_every"].build(spark, str(tmp_path)).collect()}
+    news = {(r.metro, str(r.week)): (r.articles, r.concern) for r in QUERIES["region_news"].build(spark, str(tmp_path)).collect()}
     assert sum(n for n, _ in news.values()) == len(rows) and news["ash", "None"] == (1, 2.0) and news["nowhere", "None"] == (1, 2.0)
-    assert {r.article_id for r in QUERIES["region_cited_every"].build(spark, str(tmp_path)).collect()} == {k for k, d in day.items() if d != "None"}
+    assert {r.article_id for r in QUERIES["region_cited"].build(spark, str(tmp_path)).collect()} == {k for k, d in day.items() if d != "None"}
 
 
 def test_every_readable_date_is_used(spark, sf_small):
     """As many articles have a day as p4 finds instants for."""
-    days = QUERIES["page_published_every"].build(spark, sf_small).filter("day is not null").select("article_id").distinct().count()
+    days = QUERIES["article_published"].build(spark, sf_small).filter("day is not null").select("article_id").distinct().count()
     found = QUERIES["p4_found"].build(spark, sf_small).filter("field = 'published'").select("article_id").distinct().count()
-    plain = QUERIES["page_published"].build(spark, sf_small).count()
-    assert days >= found > plain
+    assert days >= found > 0
 
 
 def test_labels_of_any_labelers_count(spark, tmp_path):
@@ -61,11 +60,10 @@ def test_labels_of_any_labelers_count(spark, tmp_path):
     rows = [(k, f"a{k // 3}", who, f"2025-12-0{k % 3 + 1}", rel, con, "") for k, (who, rel, con) in enumerate([("x", "y", "2"), ("y", "yes", "2"), ("z", "n", None)] * 4)] + [(99, "b", "w", "2025-12-01", "y", "1", "")]
     spark.createDataFrame(rows, "label_id long, article_id string, labeler string, labeled_at string, relevant string, concern string, is_example string").withColumns({"labeled_at": F.col("labeled_at").cast("timestamp"), "illness": F.lit("none")}).write.parquet(f"{tmp_path}/human_labels.parquet")
     run = lambda name: QUERIES[name].build(spark, str(tmp_path)).collect()
-    assert run("label_confusion") == [] and run("label_disagreements") == []
-    assert {(r.labeler, r.a, r.b): r.n for r in run("label_confusion_every")} == {("x", "y", "y"): 4, ("x", "y", "n"): 4, ("y", "y", "y"): 4, ("y", "y", "n"): 4, ("z", "n", "y"): 8}
-    assert {r.labeler: (r.n, r.relevant, r.concern) for r in run("label_percent_agreement_every")} == {"x": (8, 0.5, 0.5), "y": (8, 0.5, 0.5), "z": (8, 0.0, 0.0)}
-    assert sorted((r.article_id, r.labelers, r.relevant, r.concern) for r in run("label_disagreements_every")) == [(f"a{i}", 3, True, True) for i in range(4)]
-    assert {r.labeler: r.kappa for r in run("label_kappa_every")}["z"] == 0.0
+    assert {(r.labeler, r.a, r.b): r.n for r in run("label_confusion")} == {("x", "y", "y"): 4, ("x", "y", "n"): 4, ("y", "y", "y"): 4, ("y", "y", "n"): 4, ("z", "n", "y"): 8}
+    assert {r.labeler: (r.n, r.relevant, r.concern) for r in run("label_percent_agreement")} == {"x": (8, 0.5, 0.5), "y": (8, 0.5, 0.5), "z": (8, 0.0, 0.0)}
+    assert sorted((r.article_id, r.labelers, r.relevant, r.concern) for r in run("label_disagreements")) == [(f"a{i}", 3, True, True) for i in range(4)]
+    assert {r.labeler: r.kappa for r in run("label_kappa")}["z"] == 0.0
 
 
 def test_each_rung_is_tested_against_the_first_and_the_one_below(spark, sf_small):

@@ -27,59 +27,89 @@ def title_duplicates(df: DataFrame, item: str, key: str, order: Column, least: i
     return joined.filter(F.col(item) != F.col("m.root")).select(item, F.col("m.root").alias("dup_of"))
 
 
-def _intern(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumn("cls", F.sha2(text, 256))
+def components(links: DataFrame) -> DataFrame:
+    """item, c: the least item that each item of ``links`` (a, b) is connected to.
 
+    Minimum over neighbours and a jump to the neighbour's own minimum, until nothing moves; each
+    round is a join and an aggregate over the links.
+    """
+    edges = durable(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
+    label = durable(edges.select("u").distinct().select("u", F.col("u").alias("c")))
+    while True:
+        heard = edges.join(label.select(F.col("u").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("near"))
+        lower = label.join(heard, "u").select("u", F.least("c", "near").alias("c0"), F.col("c").alias("old"))
+        jump = label.select(F.col("u").alias("c0"), F.col("c").alias("c1"))
+        after = durable(lower.join(jump, "c0", "left").select("u", F.least("c0", F.coalesce("c1", "c0")).alias("c"), "old"))
+        label = after.select(F.col("u"), "c")
+        if after.filter("c <> old").isEmpty():
+            return label.select(F.col("u").alias("item"), "c")
 
-def near_duplicates(df: DataFrame, item: str, text: str, k: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Pairs of distinct texts whose shingle sets have a Jaccard similarity of ``threshold`` or more, and all members.
 
-    Returns ``pairs`` (a, b, jaccard) between representatives, the least item of each exact
-    text, and ``members`` (item, representative) of every item. Exact copies are set aside
-    first, by hash, so they never meet as pairs.
+def _shingle_hashes(rows: DataFrame, k: int) -> DataFrame:
+    """item, s: the distinct hashed shingles of (item, text), where there are any."""
+    hashed = rows.select("item", F.array_distinct(F.transform(shingles("text", k), lambda x: F.xxhash64(x))).alias("s"))
+    return hashed.filter(F.size("s") > 0)
 
-    Prefix filter: the shingles of a text are ordered by rarity over all texts, and two texts can
-    only be similar enough if they share one of their first n - ceil(threshold n) + 1. So common
-    shingles are never looked up, no pair is lost, and candidate lists stay short. Texts shorter
-    than ``k`` words have no shingles and are similar to exact copies only; null texts to none.
-    """
-    rows = df.filter(F.col(text).isNotNull()).select(F.col(item).alias("item"), F.col(text).alias("text"))
-    keyed = _intern(rows, "text").select("item", "text", "cls")
-    reps = durable(keyed.groupBy("cls").agg(F.min(F.struct("item", "text")).alias("m")).select("cls", "m.item", "m.text"))
-    members = keyed.select("item", "cls").join(reps.select("cls", F.col("item").alias("representative")), "cls").select("item", "representative")
-    sets = durable(reps.select("item", F.transform(shingles("text", k), lambda s: F.xxhash64(s)).alias("s")).withColumn("s", F.array_distinct("s")).filter(F.size("s") > 0))
-    tokens = sets.select("item", F.size("s").alias("n"), F.explode("s").alias("h"))
-    common = tokens.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
-    ranked = tokens.join(common, "h")
-    # A shingle that only one text has can match nothing; it stays in the length but leaves the prefix.
-    order = Window.partitionBy("item").orderBy("df", "h")
-    alone = F.col("n") - F.count("*").over(Window.partitionBy("item"))
-    prefix = ranked.withColumn("place", F.row_number().over(order) + alone).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
-    left = prefix.select("h", F.col("item").alias("a"), F.col("n").alias("na"))
-    right = prefix.select("h", F.col("item").alias("b"), F.col("n").alias("nb"))
-    near = left.join(right, "h").filter("a < b").filter((F.col("na") >= F.col("nb") * threshold - 1e-9) & (F.col("nb") >= F.col("na") * threshold - 1e-9)).select("a", "b").distinct()
-    sa, sb = sets.select(F.col("item").alias("a"), F.col("s").alias("sa")), sets.select(F.col("item").alias("b"), F.col("s").alias("sb"))
+
+def _similar(pairs: DataFrame, rows: DataFrame, k: int, threshold: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose shingle sets are similar enough; only their texts are taken apart again."""
+    pairs = durable(pairs)
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct()
+    sets = durable(_shingle_hashes(rows.join(asked, "item", "left_semi"), k))
+    both = pairs.join(sets.select(F.col("item").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("item").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    checked = near.join(sa, "a").join(sb, "b").withColumn("jaccard", shared / (F.size("sa") + F.size("sb") - shared))
-    return checked.filter(F.col("jaccard") >= threshold - 1e-9).select("a", "b", "jaccard"), members
+    return both.filter(shared / (F.size("sa") + F.size("sb") - shared) >= threshold - 1e-9).select("a", "b")
+
 
+def near_duplicates(df: DataFrame, item: str, text: str, k: int = 5, threshold: float = 0.8) -> DataFrame:
+    """item, class_id: texts connected by a Jaccard similarity of their ``k``-word shingles of ``threshold`` or more, under the least item.
 
-def classes(pairs: DataFrame, members: DataFrame, rounds: int = 30) -> DataFrame:
-    """item, class_id: connected texts under the least item among them, by repeated minimum over neighbours and jumps.
+    Exact copies are found by hash and stand for each other; only the least item's text is looked
+    at, and texts are never shuffled for that. Prefix filter: the shingles of a text are ordered by
+    rarity over all texts, and two texts can only be similar enough if they share one of their
+    first n - ceil(threshold n) + 1. Texts that share such a shingle are first compared with the
+    least one of about their length only; connected ones need no more comparison. Then texts of
+    different classes that share one are compared. So a group of m texts that resemble each other
+    costs m comparisons, and no link that would connect two classes is lost.
 
-    Each round is a join and an aggregate over the links; it ends when nothing changes.
+    Texts shorter than ``k`` words have no shingles and are similar to exact copies only; null
+    texts have no row; repeated items count once.
     """
-    edges = durable(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"))))
-    label = durable(edges.select("u").distinct().select("u", F.col("u").alias("c")))
-    for _ in range(rounds):
-        heard = edges.join(label.select(F.col("u").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("near"))
-        lower = label.join(heard, "u").select("u", F.least("c", "near").alias("c0"), F.col("c").alias("old"))
-        jump = label.select(F.col("u").alias("c0"), F.col("c").alias("c1"))
-        after = durable(lower.join(jump, "c0", "left").select("u", F.least("c0", F.coalesce("c1", "c0")).alias("c"), "old"))
-        moved = not after.filter("c <> old").isEmpty()
-        label = after.select("u", "c")
-        if not moved:
-            break
-    else:
-        raise RuntimeError(f"classes did not settle in {rounds} rounds")
-    return members.join(label.select(F.col("u").alias("representative"), "c"), "representative", "left").select("item", F.coalesce("c", "representative").alias("class_id"))
+    rows = df.filter(F.col(text).isNotNull()).select(F.col(item).alias("item"), F.col(text).alias("text"))
+    keyed = durable(rows.select("item", F.sha2("text", 256).alias("cls")).distinct())
+    first = keyed.groupBy("cls").agg(F.min("item").alias("representative"))
+    members = durable(keyed.join(first, "cls").select("item", "representative"))
+    texts = rows.join(members.filter("item = representative").select("item"), "item", "left_semi").dropDuplicates(["item"])
+    tokens = _shingle_hashes(texts, k).select("item", F.size("s").alias("n"), F.explode("s").alias("h"))
+    common = tokens.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    # A shingle that only one text has can match nothing; it stays in the length but leaves the prefix.
+    own = Window.partitionBy("item")
+    place = F.row_number().over(own.orderBy("df", "h")) + F.col("n") - F.count("*").over(own)
+    prefix = tokens.join(common, "h").withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
+    prefix = durable(prefix.select("h", "item", "n"))
+    fits = lambda x, y: (F.col(x) >= F.col(y) * threshold - 1e-9) & (F.col(y) >= F.col(x) * threshold - 1e-9)
+    band = F.floor(F.ln("n") / F.ln(F.lit(1 / threshold)))
+    banded = prefix.withColumn("band", band)
+    least = banded.groupBy("h", "band").agg(F.min(F.struct("item", "n")).alias("m")).select("h", "band", F.col("m.item").alias("a"), F.col("m.n").alias("na"))
+    stars = banded.join(least, ["h", "band"]).filter((F.col("item") != F.col("a")) & fits("n", "na")).select("a", F.col("item").alias("b")).distinct()
+    near = _similar(stars, texts, k, threshold)
+    label = durable(prefix.select("item").distinct().join(components(near), "item", "left").select("item", F.coalesce("c", "item").alias("c")))
+    placed = durable(prefix.join(label, "item"))
+    # Where texts of several classes share a shingle, all but its largest class are compared with the others.
+    sizes = placed.groupBy("h", "c").agg(F.count("*").alias("m"))
+    mixed = sizes.groupBy("h").agg(F.max_by("c", F.struct("m", "c")).alias("most"), F.count("*").alias("classes")).filter("classes > 1").select("h", "most")
+    open_ = durable(placed.join(mixed, "h"))
+    left = open_.filter("c <> most").select("h", F.col("item").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
+    right = open_.select("h", F.col("item").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"))
+    across = left.join(right, "h").filter((F.col("cx") != F.col("cy")) & fits("nx", "ny")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    links = near.unionByName(_similar(across, texts, k, threshold))
+    found = components(links)
+    return members.join(found.select(F.col("item").alias("representative"), "c"), "representative", "left").select("item", F.coalesce("c", "representative").alias("class_id"))
+
+
+def roots(classes: DataFrame, order: DataFrame) -> DataFrame:
+    """item, dup_of: the earliest item of each class by ``order`` (item, at; a null is last, equal times: the lesser item), null for itself."""
+    placed = classes.join(order, "item", "left")
+    earliest = F.min(F.struct(F.col("at").isNull().alias("late"), "at", "item"))
+    first = placed.groupBy("class_id").agg(earliest.alias("m")).select("class_id", F.col("m.item").alias("root"))
+    return classes.join(first, "class_id").select("item", F.when(F.col("item") != F.col("root"), F.col("root")).alias("dup_of"))

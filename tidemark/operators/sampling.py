@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.skew import prefix_sums
+
 
 def hash_order(key: str | Column, seed: int) -> Column:
     """A text that orders rows at random but always in the same way."""
@@ -12,30 +14,49 @@ def hash_order(key: str | Column, seed: int) -> Column:
 
 
 def allocate(sizes: DataFrame, stratum: str, size: str, n: int) -> DataFrame:
-    """stratum, size, take: largest remainders of n over the strata, one at least, never more than there are.
+    """stratum, size, take: ``n`` over the strata in proportion to size; takes add up to n, or to all there are if these are fewer.
 
-    One row per stratum; a handful, so their order may use one task.
+    Shares are cut to whole numbers, and raised to one where n covers all strata. What is then
+    missing is given one at a time, over and over, to strata that have more, by largest remainder
+    (equal: the greater name first); what is too much is taken back in the reverse order from
+    strata that keep one. Strata without rows have no row. One row per stratum: windows over
+    strata see as many rows as there are strata.
     """
-    total = F.sum(size).over(Window.partitionBy(F.lit(1)))
-    quota = sizes.select(stratum, size, (F.col(size) * n / total).alias("q"))
-    floored = quota.withColumn("f", F.floor("q"))
-    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(F.col("q") - F.col("f")), stratum))
-    left = F.lit(n) - F.sum("f").over(Window.partitionBy(F.lit(1)))
-    taken = floored.withColumn("t", F.col("f") + F.when(place <= left, 1).otherwise(0))
-    return taken.select(stratum, size, F.least(F.greatest("t", F.lit(1)), size).cast("long").alias("take"))
+    one = Window.partitionBy(F.lit(1))
+    rows = sizes.filter(F.col(size) > 0).select(stratum, F.col(size).cast("long").alias("size"))
+    rows = rows.withColumns({"total": F.sum("size").over(one), "strata": F.count("*").over(one)}).withColumn("wanted", F.least(F.lit(n), "total"))
+    rows = rows.withColumn("quota", F.col("size") * F.col("wanted") / F.col("total").cast("double"))
+    rows = rows.withColumn("base", F.when(F.col("wanted") >= F.col("strata"), F.greatest(F.floor("quota"), F.lit(1))).otherwise(F.floor("quota")))
+    forward = F.row_number().over(one.orderBy(F.desc(F.col("quota") - F.floor("quota")), F.desc(stratum)))
+    rows = rows.withColumns({"missing": F.col("wanted") - F.sum("base").over(one), "rank": forward})
+    # Each unit that may be given or taken has a round; the first ones, by round and rank, are.
+    room = F.when(F.col("missing") > 0, F.least(F.col("size") - F.col("base"), F.col("missing"))).otherwise(F.least(F.col("base") - 1, -F.col("missing")))
+    units = rows.filter(room > 0).select(stratum, "missing", "rank", F.explode(F.sequence(F.lit(1), room.cast("int"))).alias("round"))
+    turn = F.row_number().over(one.orderBy("round", F.when(F.col("missing") > 0, F.col("rank")).otherwise(-F.col("rank"))))
+    moved = units.withColumn("turn", turn).filter(F.col("turn") <= F.abs("missing")).groupBy(stratum).agg(F.count("*").alias("moved"))
+    done = rows.join(moved, stratum, "left")
+    return done.select(stratum, "size", (F.col("base") + F.signum("missing") * F.coalesce("moved", F.lit(0))).cast("long").alias("take"))
+
 
+def random_share(text: Column) -> Column:
+    """A number in [0, 1) from the MD5 of a text."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
-def systematic(df: DataFrame, stratum: str, takes: DataFrame, order: list[Column]) -> DataFrame:
-    """Evenly spaced rows of each stratum in ``order``, as many as ``takes`` (stratum, size, take) says.
 
-    Ranks come from a window per stratum; with hot strata, pass an order that a preceding
-    aggregate has made unique per row and a stratum split by it.
+def systematic(df: DataFrame, stratum: str, takes: DataFrame, listed: str, key: str, seed: int) -> DataFrame:
+    """Evenly spaced rows of each stratum, as many as ``takes`` (stratum, size, take) says, from a random start.
+
+    Rows are listed by ``listed`` and at random within it. Places in a stratum are sums over
+    pieces of that order, so no stratum is sorted as a whole. Repeated keys take places of their own.
     """
-    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(stratum).orderBy(*order)) - 1)
-    both = ranked.join(takes, stratum)
-    step = F.col("size") / F.col("take")
-    picked = F.floor((F.col("_rn") + 1) / step - 1e-9) > F.floor(F.col("_rn") / step - 1e-9)
-    return both.filter(picked).drop("_rn", "size", "take")
+    rows = df.withColumns({"_h": hash_order(key, seed), "_one": F.lit(1)}).withColumn("_piece", F.struct(F.col(listed), F.substring("_h", 1, 2).alias("h")))
+    placed = prefix_sums(rows, [stratum], [listed, "_h", key], "_one", "_upto", "_piece")
+    both = placed.join(takes.filter("take > 0"), stratum)
+    step = F.col("size") / F.col("take").cast("double")
+    start = random_share(F.concat_ws("|", F.col(stratum), F.lit(str(seed)))) * step
+    taken = lambda x: F.greatest(F.ceil((x - start) / step), F.lit(0))
+    picked = taken(F.col("_upto").cast("double")) > taken((F.col("_upto") - 1).cast("double"))
+    return both.filter(picked).drop("_h", "_one", "_piece", "_upto", "size", "take")
 
 
 def shuffle_within(df: DataFrame, group: str, slot: str, payload: list[str], seed: int) -> DataFrame:
@@ -43,3 +64,15 @@ def shuffle_within(df: DataFrame, group: str, slot: str, payload: list[str], see
     slots = df.withColumn("_i", F.row_number().over(Window.partitionBy(group).orderBy(slot)))
     drawn = df.withColumn("_i", F.row_number().over(Window.partitionBy(group).orderBy(hash_order(F.concat_ws("|", group, F.col(slot).cast("string")), seed)))).select(group, "_i", *payload)
     return slots.drop(*payload).join(drawn, [group, "_i"]).drop("_i")
+
+
+def shuffles_within(df: DataFrame, group: str, slot: str, value: str, seeds: list[int]) -> DataFrame:
+    """``df`` with ``values``: the row's own value, and those that shuffles by each of ``seeds`` within its group put in its place.
+
+    A group's slots are one array in the order of slots: for groups that are bounded, as weeks of a site are.
+    """
+    own = F.array_sort(F.collect_list(F.struct(F.col(slot).alias("s"), F.struct("*").alias("r"))))
+    g = df.groupBy(group).agg(own.alias("_rows"))
+    drawn = [F.transform(F.array_sort(F.transform("_rows", lambda x, k=k: F.struct(hash_order(F.concat_ws("|", F.col(group).cast("string"), x["s"].cast("string")), k).alias("h"), x["r"][value].alias("v")))), lambda y: y["v"]) for k in seeds]
+    made = g.select("_rows", *[d.alias(f"_d{k}") for k, d in zip(seeds, drawn, strict=True)]).select(F.posexplode("_rows").alias("_i", "_x"), *[f"_d{k}" for k in seeds])
+    return made.select("_x.r.*", F.array(F.col(f"_x.r.{value}"), *[F.get(f"_d{k}", F.col("_i")) for k in seeds]).alias("values"))

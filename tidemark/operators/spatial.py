@@ -161,6 +161,9 @@ def change_breaks(values: DataFrame, change: str) -> tuple[float, float]:
 
 
 def change_bin(change: str | Column, inner: float, outer: float) -> Column:
-    """-2 to 2: far down, down, about the same, up, far up."""
+    """-3 to 3 by the breaks -2 outer, -outer, -inner, inner, outer, 2 outer: each class holds its upper break; 0 is about the same."""
     c = F.col(change) if isinstance(change, str) else change
-    return F.when(c < -outer, -2).when(c < -inner, -1).when(c <= inner, 0).when(c <= outer, 1).when(c.isNotNull(), 2)
+    bin_ = F.when(c.isNotNull(), F.lit(3))
+    for value, top in ((2, 2 * outer), (1, outer), (0, inner), (-1, -inner), (-2, -outer), (-3, -2 * outer)):
+        bin_ = F.when(c <= top, F.lit(value)).otherwise(bin_)
+    return bin_

@@ -23,65 +23,13 @@ def label_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return votes.latest_votes(table(spark, sf_dir, "human_labels"), "article_id", "labeler", "labeled_at", "label_id", practice, answers)
 
 
-# Two ratings of one article: human_b against human_k on relevant and concern. All labelers are in the queries named 'every'.
-
 _VOTES = """
     with picked as (
         select distinct article_id, trim(labeler) as labeler, labeled_at, label_id, lower(trim(relevant)) as r, trim(concern) as c from human_labels
         where coalesce(trim(is_example), '') not in ('1', '1.0') and article_id is not null and labeler is not null and trim(labeler) <> ''
     ), last_row as (select * from (select *, row_number() over (partition by article_id, labeler order by labeled_at desc nulls last, label_id desc) as rn from picked) where rn = 1),
     votes as (select article_id, labeler, case when r in ('y', 'yes', 'true', '1', 't') then 'y' when r in ('n', 'no', 'false', '0', 'f') then 'n' end as rel,
-              try_cast(nullif(regexp_extract(c, '^[+]?0*([0-3])([.]0*)?$', 1), '') as int) as con from last_row),
-    pairs as (select a.article_id, a.rel as ra, b.rel as rb, a.con as ca, b.con as cb from votes a join votes b on a.article_id = b.article_id and a.labeler = 'human_b' and b.labeler = 'human_k')"""
-
-
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = label_votes(spark, sf_dir)
-    side = lambda who, s: v.filter(F.col("annotator") == who).select("item", F.col("relevant").alias(f"r{s}"), F.col("concern").cast("int").alias(f"c{s}"))
-    return side("human_b", "a").join(side("human_k", "b"), "item")
-
-
-@query("label_confusion", _VOTES + " select coalesce(ra, '(none)') as a, coalesce(rb, '(none)') as b, count(*) as n from pairs group by all")
-def label_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two labelers' answers against each other."""
-    return stats.confusion(pairs(spark, sf_dir), "ra", "rb")
-
-
-@query("label_kappa", _VOTES + """
-    , j as (select coalesce(ra, '-') as a, coalesce(rb, '-') as b, count(*) as n from pairs group by all), t as (select sum(n) as n, sum(n) filter (a <> b) as o from j),
-    e as (select sum(x.n * y.n) as s from (select a, sum(n) as n from j group by a) x join (select b, sum(n) as n from j group by b) y on x.a = y.b)
-    select t.n::bigint as n, round(coalesce(o, 0) / t.n::double, 6) as observed, round(1 - coalesce(s, 0) / (t.n * t.n)::double, 6) as expected, round(1 - (coalesce(o, 0) / t.n::double) / nullif(1 - coalesce(s, 0) / (t.n * t.n)::double, 0), 6) as kappa from t, e
-    """)
-def label_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unweighted kappa; a missing answer is a category."""
-    return r6(stats.cohen_kappa(pairs(spark, sf_dir), "ra", "rb"), "observed", "expected", "kappa")
-
-
-@query("label_kappa_quadratic", _VOTES + """
-    , p as (select * from pairs where ca is not null and cb is not null), m as (select count(*) as n, sum((ca - cb) * (ca - cb)) as o from p), e as (select sum((x.ca - y.cb) * (x.ca - y.cb) * x.n * y.n) as s from (select ca, count(*) as n from p group by ca) x cross join (select cb, count(*) as n from p group by cb) y)
-    select n, round(o / n::double, 6) as observed, round(s / (n * n)::double, 6) as expected, round(1 - (o / n::double) / nullif(s / (n * n)::double, 0), 6) as kappa from m, e
-    """)
-def label_kappa_quadratic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quadratically weighted kappa of an ordered answer."""
-    return r6(stats.cohen_kappa(pairs(spark, sf_dir), "ca", "cb", "quadratic"), "observed", "expected", "kappa")
-
-
-@query("label_percent_agreement", _VOTES + " select round(avg((ra is not distinct from rb)::int), 6) as relevant, round(avg((ca is not distinct from cb)::int), 6) as concern from pairs")
-def label_percent_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The share of equal answers, nulls equal to nulls."""
-    same = lambda a, b: F.round(F.avg(F.col(a).eqNullSafe(F.col(b)).cast("int")), 6)
-    return pairs(spark, sf_dir).agg(same("ra", "rb").alias("relevant"), same("ca", "cb").alias("concern"))
-
-
-@query("label_precision_recall", _VOTES + """
-    , k as (select ca as cls from pairs where ca is not null union select cb from pairs where cb is not null)
-    select k.cls::varchar as cls, count(*) filter (cb = k.cls) as support, round(count(*) filter (ca = k.cls and cb = k.cls) / nullif(count(*) filter (ca = k.cls), 0)::double, 6) as precision,
-           round(count(*) filter (ca = k.cls and cb = k.cls) / nullif(count(*) filter (cb = k.cls), 0)::double, 6) as recall,
-           round(2 * count(*) filter (ca = k.cls and cb = k.cls) / (count(*) filter (ca = k.cls) + count(*) filter (cb = k.cls))::double, 6) as f1 from k, pairs group by k.cls
-    """)
-def label_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Precision, recall and F1 per class of one labeler against another."""
-    return r6(stats.precision_recall(pairs(spark, sf_dir), "ca", "cb"), "precision", "recall", "f1")
+              try_cast(nullif(regexp_extract(c, '^[+]?0*([0-3])([.]0*)?$', 1), '') as int) as con from last_row)"""
 
 
 @query("label_unanimous", _VOTES + """
@@ -96,16 +44,6 @@ def label_unanimous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_votes(spark, sf_dir).groupBy(F.col("item").alias("article_id")).agg(F.coalesce(F.max(F.when(~own, F.col("relevant"))), agreed).alias("relevant"))
 
 
-@query("label_disagreements", _VOTES + """
-    select article_id, ra is distinct from rb as relevant, case when ra = 'y' or rb = 'y' then ca is distinct from cb end as concern from pairs
-    """)
-def label_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields in which two labelers differ; concern only counts where either found the article relevant."""
-    differs = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
-    either = F.coalesce(F.col("ra") == "y", F.lit(False)) | F.coalesce(F.col("rb") == "y", F.lit(False))
-    return pairs(spark, sf_dir).select(F.col("item").alias("article_id"), differs("ra", "rb").alias("relevant"), F.when(either, differs("ca", "cb")).alias("concern"))
-
-
 @query("label_progress", _VOTES + " select labeler, count(*) as articles, count(rel) as answered, count(*) filter (article_id in (select article_id from votes where labeler = 'adjudicated')) as settled from votes group by labeler")
 def label_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many articles each labeler has done, and how many of these are settled."""
@@ -132,56 +70,56 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.filter("n > 0").groupBy("labeler", "ra", "ca", "rb", "cb").agg(F.sum("n").alias("n"))
 
 
-@query("label_confusion_every", _RATINGS + " select labeler, coalesce(ra, '(none)') as a, coalesce(rb, '(none)') as b, count(*) as n from ratings group by all")
-def label_confusion_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("label_confusion", _RATINGS + " select labeler, coalesce(ra, '(none)') as a, coalesce(rb, '(none)') as b, count(*) as n from ratings group by all")
+def label_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each labeler's answers against those of all others."""
     named = lambda c: F.coalesce(F.col(c), F.lit("(none)"))
     return ratings(spark, sf_dir).groupBy("labeler", named("ra").alias("a"), named("rb").alias("b")).agg(F.sum("n").alias("n"))
 
 
-@query("label_kappa_every", _RATINGS + """
+@query("label_kappa", _RATINGS + """
     , j as (select labeler, coalesce(ra, '-') as a, coalesce(rb, '-') as b, count(*) as n from ratings group by all), t as (select labeler, sum(n) as n, coalesce(sum(n) filter (a <> b), 0) as o from j group by labeler),
     e as (select x.labeler, sum(x.n * y.n) as s from (select labeler, a, sum(n) as n from j group by all) x join (select labeler, b, sum(n) as n from j group by all) y on x.labeler = y.labeler and x.a = y.b group by x.labeler)
     select t.labeler, t.n::bigint as n, round(o / t.n::double, 6) as observed, round(1 - coalesce(s, 0) / (t.n * t.n)::double, 6) as expected,
            round(1 - (o / t.n::double) / nullif(1 - coalesce(s, 0) / (t.n * t.n)::double, 0), 6) as kappa from t left join e on t.labeler = e.labeler
     """)
-def label_kappa_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+def label_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unweighted kappa of each labeler against all others; a missing answer is a category."""
     return r6(stats.grouped_kappa(ratings(spark, sf_dir), ["labeler"], "ra", "rb", "n"), "observed", "expected", "kappa")
 
 
-@query("label_kappa_quadratic_every", _RATINGS + """
+@query("label_kappa_quadratic", _RATINGS + """
     , p as (select * from ratings where ca is not null and cb is not null), m as (select labeler, count(*) as n, sum((ca - cb) * (ca - cb)) as o from p group by labeler),
     e as (select x.labeler, sum((x.ca - y.cb) * (x.ca - y.cb) * x.n * y.n) as s from (select labeler, ca, count(*) as n from p group by all) x join (select labeler, cb, count(*) as n from p group by all) y on x.labeler = y.labeler group by x.labeler)
     select m.labeler, n, round(o / n::double, 6) as observed, round(s / (n * n)::double, 6) as expected, round(1 - (o / n::double) / nullif(s / (n * n)::double, 0), 6) as kappa from m join e on m.labeler = e.labeler
     """)
-def label_kappa_quadratic_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+def label_kappa_quadratic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quadratically weighted kappa of an ordered answer, of each labeler against all others."""
     return r6(stats.grouped_kappa(ratings(spark, sf_dir), ["labeler"], "ca", "cb", "n", "quadratic"), "observed", "expected", "kappa")
 
 
-@query("label_percent_agreement_every", _RATINGS + " select labeler, count(*) as n, round(avg((ra is not distinct from rb)::int), 6) as relevant, round(avg((ca is not distinct from cb)::int), 6) as concern from ratings group by labeler")
-def label_percent_agreement_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("label_percent_agreement", _RATINGS + " select labeler, count(*) as n, round(avg((ra is not distinct from rb)::int), 6) as relevant, round(avg((ca is not distinct from cb)::int), 6) as concern from ratings group by labeler")
+def label_percent_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of equal answers of each labeler and all others, nulls equal to nulls."""
     same = lambda a, b: F.round(F.sum(F.when(F.col(a).eqNullSafe(F.col(b)), F.col("n")).otherwise(0)) / F.sum("n"), 6)
     return ratings(spark, sf_dir).groupBy("labeler").agg(F.sum("n").alias("n"), same("ra", "rb").alias("relevant"), same("ca", "cb").alias("concern"))
 
 
-@query("label_precision_recall_every", _RATINGS + """
+@query("label_precision_recall", _RATINGS + """
     , k as (select labeler, ca as cls from ratings where ca is not null union select labeler, cb from ratings where cb is not null)
     select k.labeler, k.cls::varchar as cls, count(*) filter (cb = k.cls) as support, round(count(*) filter (ca = k.cls and cb = k.cls) / nullif(count(*) filter (ca = k.cls), 0)::double, 6) as precision,
            round(count(*) filter (ca = k.cls and cb = k.cls) / nullif(count(*) filter (cb = k.cls), 0)::double, 6) as recall,
            round(2 * count(*) filter (ca = k.cls and cb = k.cls) / (count(*) filter (ca = k.cls) + count(*) filter (cb = k.cls))::double, 6) as f1 from k join ratings r on k.labeler = r.labeler group by k.labeler, k.cls
     """)
-def label_precision_recall_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+def label_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision, recall and F1 per class of each labeler against all others."""
     return r6(stats.grouped_precision_recall(ratings(spark, sf_dir), ["labeler"], "ca", "cb", "n"), "precision", "recall", "f1")
 
 
-@query("label_disagreements_every", _VOTES + """
+@query("label_disagreements", _VOTES + """
     select article_id, count(*) as labelers, count(distinct coalesce(rel, '-')) > 1 as relevant, case when bool_or(coalesce(rel = 'y', false)) then count(distinct coalesce(con, -1)) > 1 end as concern from votes group by article_id having count(*) > 1
     """)
-def label_disagreements_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+def label_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields in which any of an article's labelers differ; concern only counts where one found the article relevant."""
     differ = lambda c, none: F.min(F.coalesce(c, none)) < F.max(F.coalesce(c, none))
     v = label_votes(spark, sf_dir).groupBy(F.col("item").alias("article_id")).agg(
@@ -219,26 +157,29 @@ def title_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NEAR = """
-    with t as (select min(doc_id) as id, text from documents where text is not null group by text), l as (select id, regexp_extract_all(lower(text), '[a-z0-9]+') as ws from t),
-    w as (select id, unnest(ws) as w, unnest(range(0, len(ws))) as i from l),
+    with recursive d as (select doc_id, fetched_at, text from documents where text is not null), t as (select min(doc_id) as id, text from d group by text),
+    l as (select id, regexp_extract_all(lower(text), '[a-z0-9]+') as ws from t), w as (select id, unnest(ws) as w, unnest(range(0, len(ws))) as i from l),
     r as (select id, w || ' ' || lead(w, 1) over p || ' ' || lead(w, 2) over p || ' ' || lead(w, 3) over p || ' ' || lead(w, 4) over p as h from w window p as (partition by id order by i)),
     s as (select distinct id, hash(h) as h from r where h is not null), n as (select id, count(*) as n from s group by id),
-    c as (select a.id as a, b.id as b, count(*) as k from s a join s b on a.h = b.h and a.id < b.id group by a.id, b.id)
-    select a, b, round(k / (x.n + y.n - k)::double, 6) as jaccard from c join n x on x.id = a join n y on y.id = b where k / (x.n + y.n - k)::double >= 0.8 - 1e-9"""
+    c as (select a.id as a, b.id as b, count(*) as k from s a join s b on a.h = b.h and a.id < b.id group by a.id, b.id),
+    near as (select a, b from c join n x on x.id = a join n y on y.id = b where k / (x.n + y.n - k)::double >= 0.8 - 1e-9),
+    sides as (select a as u, b as v from near union select b, a from near),
+    reach as (select u, v from sides union select r.u, s.v from reach r join sides s on r.v = s.u),
+    low as (select u, least(min(v), u) as c from reach group by u),
+    classes as (select d.doc_id as item, coalesce(low.c, t.id) as class_id, d.fetched_at from d join t on d.text = t.text left join low on low.u = t.id)"""
 
 
-@query("near_duplicate_pairs", _NEAR)
-def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of different texts that share most runs of five words, by their representatives."""
-    found, _ = dedupe.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return r6(found, "jaccard")
+@query("near_duplicate_classes", _NEAR + " select item, class_id from classes")
+def near_duplicate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the class of texts it is connected to by runs of five words."""
+    return dedupe.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query("near_duplicate_classes")
-def near_duplicate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document with the class of texts it is connected to."""
-    found, members = dedupe.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return dedupe.classes(found, members)
+@query("near_duplicate_roots", _NEAR + " select item, case when item <> root then root end as dup_of from (select item, first_value(item) over (partition by class_id order by fetched_at nulls last, item) as root from classes)")
+def near_duplicate_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the earliest fetched one of its class, null for that one itself."""
+    docs = table(spark, sf_dir, "documents")
+    return dedupe.roots(dedupe.near_duplicates(docs, "doc_id", "text"), docs.select(F.col("doc_id").alias("item"), F.col("fetched_at").alias("at")))
 
 
 # Clusters over counties: cells of one degree, and county means of the final share.
@@ -375,11 +316,15 @@ def model_autoregression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(models.ar_differences(weekly(spark, sf_dir), "geo", "time", "v", least=10), "a1", "a2", "last", "forecast")
 
 
+def later_weeks(e: DataFrame, share: float = 0.7):
+    """Whether a row of ``e`` is in the weeks after the first ``share`` of all weeks: a calendar reaches the driver."""
+    weeks = sorted(r[0] for r in e.select("time").distinct().toLocalIterator())
+    return F.col("time") > F.lit(weeks[int(share * (len(weeks) - 1))]) if weeks else F.lit(True)
+
+
 def _scored(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    features = ["level", "d1", "d2"]
-    data = models.assembled(examples(spark, sf_dir), features)
-    cut = data.agg(F.percentile(F.datediff("time", F.lit("2025-01-01").cast("date")), 0.7).alias("c")).first()["c"]
-    late = F.datediff("time", F.lit("2025-01-01").cast("date")) > cut
+    data = models.assembled(examples(spark, sf_dir), ["level", "d1", "d2"])
+    late = later_weeks(data)
     fitted = models.tree_model(kind, "y").fit(data.filter(~late))
     out = fitted.transform(data.filter(late)).withColumn("value", F.col("last") * F.exp("prediction"))
     return out.agg(F.lit(kind).alias("model"), F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("value") - F.col("final"))), 4).alias("mae"), F.round(F.avg(F.abs(F.col("last") - F.col("final"))), 4).alias("naive_mae"))
@@ -399,44 +344,50 @@ def model_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("model_kernel")
 def model_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A kernel machine by random Fourier features and a ridge."""
-    e, names = models.fourier_features(examples(spark, sf_dir), ["level", "d1", "d2"])
-    fit = models.ridge_fit(e.withColumn("grp", F.lit(1)), ["grp"], names, "y")
-    scored = models.grouped_predict(e.withColumn("grp", F.lit(1)), fit, ["grp"], names)
-    return scored.agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("last") * F.exp("pred") - F.col("final"))), 4).alias("mae"))
+    """A kernel machine by random Fourier features and a ridge, fitted on history and scored on later weeks."""
+    e, names = models.fourier_features(examples(spark, sf_dir).withColumn("grp", F.lit(1)), ["level", "d1", "d2"])
+    late = e.withColumn("late", later_weeks(e))
+    scored = models.grouped_predict(late.filter("late"), models.ridge_fit(late.filter("not late"), ["grp"], names, "y"), ["grp"], names)
+    return scored.agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("last") * F.exp("pred") - F.col("final"))), 4).alias("mae"), F.round(F.avg(F.abs(F.col("last") - F.col("final"))), 4).alias("naive_mae"))
 
 
 # Samples
 
 
-@query("sample_allocation", """
-    with s as (select coalesce(stratum, '-') as stratum, count(*) as size from (select distinct * from articles) group by 1), q as (select *, size * 60 / (sum(size) over ())::double as q from s), f as (select *, floor(q)::bigint as f from q),
-    t as (select *, f + case when row_number() over (order by q - f desc, stratum) <= 60 - sum(f) over () then 1 else 0 end as t from f)
-    select stratum, size, least(greatest(t, 1), size)::bigint as take from t
-    """)
+_ALLOCATED = """
+    with a as (select distinct article_id, coalesce(stratum, '-') as stratum, coalesce(metro, '-') as metro from articles), s as (select stratum, count(*) as size from a group by stratum),
+    q as (select *, least(60, sum(size) over ())::bigint as wanted, count(*) over () as strata, size * least(60, sum(size) over ()) / (sum(size) over ())::double as quota from s),
+    f as (select *, case when wanted >= strata then greatest(floor(quota), 1) else floor(quota) end::bigint as base from q),
+    m as (select *, wanted - sum(base) over () as missing, row_number() over (order by quota - floor(quota) desc, stratum desc) as rank from f),
+    u as (select stratum, missing, rank, unnest(range(1, 1 + case when missing > 0 then least(size - base, missing) else least(base - 1, -missing) end::bigint)) as round from m),
+    t as (select stratum, count(*) as moved from (select *, row_number() over (order by round, case when missing > 0 then rank else -rank end) as turn from u) where turn <= abs(missing) group by stratum),
+    takes as (select m.stratum, size, (base + sign(missing) * coalesce(moved, 0))::bigint as take from m left join t on m.stratum = t.stratum)"""
+
+
+@query("sample_allocation", _ALLOCATED + " select stratum, size, take from takes")
 def sample_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """60 articles over the strata by largest remainders."""
-    return allocation(spark, sf_dir)
+    """60 articles over the strata in proportion, one at least of each."""
+    return allocation(strata(spark, sf_dir))
 
 
 def strata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "articles").distinct().withColumn("stratum", F.coalesce("stratum", F.lit("-")))
+    a = table(spark, sf_dir, "articles")
+    return a.select("article_id", F.coalesce("stratum", F.lit("-")).alias("stratum"), F.coalesce("metro", F.lit("-")).alias("metro")).distinct()
 
 
-def allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.allocate(strata(spark, sf_dir).groupBy("stratum").agg(F.count("*").alias("size")), "stratum", "size", 60)
+def allocation(rows: DataFrame) -> DataFrame:
+    return sampling.allocate(rows.groupBy("stratum").agg(F.count("*").alias("size")), "stratum", "size", 60)
 
 
-@query("sample_systematic", """
-    with a as (select distinct article_id, coalesce(stratum, '-') as stratum, metro from articles), s as (select stratum, count(*) as size from a group by 1), q as (select *, size * 60 / (sum(size) over ())::double as q from s), f as (select *, floor(q)::bigint as f from q),
-    t as (select stratum, size, least(greatest(f + case when row_number() over (order by q - f desc, stratum) <= 60 - sum(f) over () then 1 else 0 end, 1), size)::double as take from f),
-    r as (select a.*, row_number() over (partition by a.stratum order by metro, md5(article_id || '|4109'), article_id) - 1 as rn from a)
-    select r.article_id, r.stratum from r join t on r.stratum = t.stratum where floor((rn + 1) / (size / take) - 1e-9) > floor(rn / (size / take) - 1e-9)
+@query("sample_systematic", _ALLOCATED + """
+    , r as (select a.*, row_number() over (partition by stratum order by metro, md5(article_id || '|4109'), article_id)::double as upto from a),
+    p as (select r.*, size / take::double as step, ('0x' || substr(md5(r.stratum || '|4109'), 1, 8))::bigint / 4294967296.0::double * (size / take::double) as start from r join takes t on r.stratum = t.stratum where take > 0)
+    select article_id, stratum from p where greatest(ceil((upto - start) / step), 0) > greatest(ceil((upto - 1 - start) / step), 0)
     """)
 def sample_systematic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evenly spaced articles per stratum, by metro and a seeded order."""
-    picked = sampling.systematic(strata(spark, sf_dir).select("article_id", "stratum", "metro").distinct(), "stratum", allocation(spark, sf_dir), [F.col("metro"), sampling.hash_order("article_id", 4109), F.col("article_id")])
-    return picked.select("article_id", "stratum")
+    """Evenly spaced articles per stratum from a random start, by metro and a seeded order."""
+    rows = strata(spark, sf_dir)
+    return sampling.systematic(rows, "stratum", allocation(rows), "metro", "article_id", 4109).select("article_id", "stratum")
 
 
 @query("sample_shuffle", """

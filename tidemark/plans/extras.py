@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import pages, text
 from tidemark.operators import grounding, models, sampling
+from tidemark.plans.analysis import later_weeks
 from tidemark.plans.point_in_time import _WEEKLY, examples, weekly
 from tidemark.plans.registry import Registry
 from tidemark.plans.relational import r6
@@ -17,16 +18,13 @@ REGISTRY = Registry()
 query = REGISTRY.query
 
 
-@query("page_published", """
-    with a as (select distinct article_id, try_cast(left(trim(published), 10) as date) as day from articles where regexp_full_match(trim(published), '20[0-9]{2}-[0-9]{2}-[0-9]{2}( [0-9]{2}:[0-9]{2})?'))
-    select article_id, day, case when day is null then 'none' when article_id < '8' then 'jsonld' else 'meta:pubdate' end as source from a
-    """)
+@query("page_published")
 def page_published(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Publication days from pages that carry them as structured data or as a meta tag."""
-    a = table(spark, sf_dir, "articles").select("article_id", F.trim("published").alias("p")).distinct().filter(F.col("p").rlike(r"^20[0-9]{2}-[0-9]{2}-[0-9]{2}( [0-9]{2}:[0-9]{2})?$"))
+    """Publication days from a page per article that carries what the catalog has, as structured data or as a meta tag; none where that is no ISO time."""
+    a = table(spark, sf_dir, "articles").select("article_id", F.coalesce(F.trim("published"), F.lit("")).alias("p")).distinct()
     linked = F.concat(F.lit('<script type="application/ld+json">{"@graph":[{"datePublished": "'), "p", F.lit('"}]}</script>'))
     tag = F.concat(F.lit('<meta name="pubdate" content="'), "p", F.lit('">'))
-    page = F.when(F.col("article_id") < "8", linked).otherwise(tag)
+    page = F.when(F.crc32(F.col("article_id").cast("binary")) % 2 == 0, linked).otherwise(tag)
     return a.select("article_id", pages.published(page).alias("x")).select("article_id", "x.day", "x.source")
 
 
@@ -49,7 +47,7 @@ def label_prompt_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.groupBy("labeler", F.substring(F.sha2(F.to_json(F.struct("labeler")), 256), 1, 16).alias("hash")).agg(F.count("*").alias("n"))
 
 
-@query("quote_summary", _TIERS.replace("select label_id, doc_id, case", "select method, count(*) as n from (select label_id, doc_id, case") + ") group by method")
+@query("quote_summary", _TIERS.replace("select label_id, doc_id, case when told", "select method, count(*) as n from (select label_id, doc_id, case when told") + ") group by method")
 def quote_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many quotes each tier settles."""
     return grounding.match_quotes(quoted(spark, sf_dir), "quote", "text", fuzzy=False).groupBy("method").agg(F.count("*").alias("n"))
@@ -114,7 +112,7 @@ def model_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each metro predicted by a model that has not seen it: rows go to the fits of all other metros."""
     d = design(spark, sf_dir)
-    metros = sorted(r[0] for r in d.select("metro").distinct().limit(1000).collect())  # a fixed handful
+    metros = sorted(r[0] for r in d.select("metro").filter("metro is not null").distinct().collect())  # a fixed table
     others = F.filter(F.array(*[F.lit(m) for m in metros]), lambda m: m != F.col("metro"))
     fits = models.ridge_fit(d.withColumn("holdout", F.explode(others)), ["holdout"], VARIANTS["full"], "y")
     scored = models.grouped_predict(d.withColumn("holdout", F.col("metro")), fits, ["holdout"], VARIANTS["full"])
@@ -124,15 +122,17 @@ def model_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("model_placebo")
 def model_placebo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Is momentum worth its error? Its gain against gains with momentum shuffled within sites: p = (1 + as good) / (runs + 1)."""
+    """Is momentum worth its error on later weeks? Its gain against gains with momentum shuffled within sites: p = (1 + as good) / (runs + 1).
+
+    Rows carry the shuffled values of all runs, so the table is read once.
+    """
     runs = 9
     d = design(spark, sf_dir).select("geo", "time", "y", "level", "d1")
-    real = d.withColumn("run", F.lit(0))
-    for k in range(1, runs + 1):
-        fake = sampling.shuffle_within(d, "geo", "time", ["d1"], k).withColumn("run", F.lit(k))
-        real = real.unionByName(fake)
-    fits = models.ridge_fit(real, ["run"], ["level", "d1"], "y")
-    scored = models.grouped_predict(real, fits, ["run"], ["level", "d1"]).groupBy("run").agg(F.avg(F.abs(F.col("pred") - F.col("y"))).alias("e"))
+    d = d.withColumn("late", later_weeks(d))
+    values = sampling.shuffles_within(d, "geo", "time", "d1", list(range(1, runs + 1)))
+    each = values.select("late", "y", "level", F.posexplode("values").alias("run", "d1"))
+    fits = models.ridge_fit(each.filter("not late"), ["run"], ["level", "d1"], "y")
+    scored = models.grouped_predict(each.filter("late"), fits, ["run"], ["level", "d1"]).groupBy("run").agg(F.avg(F.abs(F.col("pred") - F.col("y"))).alias("e"))
     first = F.max(F.when(F.col("run") == 0, F.col("e")))
     one = scored.agg(first.alias("real"), F.collect_list(F.when(F.col("run") > 0, F.col("e"))).alias("fakes"))  # a handful of runs
     better = F.size(F.filter("fakes", lambda x: x <= F.col("real")))
@@ -197,7 +197,7 @@ def top_per_site_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     , d as (select a.geo, a.time, a.v - b.v as change from w a join w b on b.geo = a.geo and b.time = a.time - 7), q as (select quantile_cont(abs(change), 0.9) / 2 as x from d),
     n as (select greatest(arg_min(m * pow(10.0::double, floor(log10(x))), abs(ln(m * pow(10.0::double, floor(log10(x)))) - ln(x))), 0.1) as a from q, (select unnest([1.0, 2.0, 2.5, 5.0, 10.0])::double as m) t),
     k as (select a, least(greatest(arg_min(m * pow(10.0::double, floor(log10(a / 4))), abs(ln(m * pow(10.0::double, floor(log10(a / 4)))) - ln(a / 4))), 0.1), a / 2) as b from n, (select unnest([1.0, 2.0, 2.5, 5.0, 10.0])::double as m) t group by a)
-    select case when change < -a then -2 when change < -b then -1 when change <= b then 0 when change <= a then 1 else 2 end::int as bin, count(*) as n from d, k group by 1
+    select case when change <= -2 * a then -3 when change <= -a then -2 when change <= -b then -1 when change <= b then 0 when change <= a then 1 when change <= 2 * a then 2 else 3 end::int as bin, count(*) as n from d, k group by 1
     """)
 def spatial_change_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly changes on a symmetric scale whose breaks follow from their spread."""

@@ -23,9 +23,6 @@ REV = """
             select site_id, week_end, as_of, case when not isnan(ed_resp) then ed_resp end as v, ed_covid as covid, ed_flu as flu, ed_rsv as rsv,
                    row_number() over (partition by site_id, week_end, as_of order by loaded_at desc nulls last, ed_resp desc nulls last) as rn from county_week)
         where rn = 1)"""
-#: The as-of dates of the fan-out queries whose SQL names them: Saturdays. The queries named 'every' take all dates of the table.
-DATES = [dt.date(2025, 11, 1) + dt.timedelta(weeks=2 * k) for k in range(6)]
-_DATES = "(select unnest(generate_series(date '2025-11-01', date '2026-01-10', interval 14 day))::date as as_of)"
 
 
 def revision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,12 +63,6 @@ def vintage_first_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(vintage.first_print_within(log(spark, sf_dir), 28), "value")
 
 
-@query("vintage_each_date", REV + f" select d.as_of, r.geo, r.time, r.issue, round(r.value, 6) as value from {_DATES} d join (select *, lead(issue) over (partition by geo, time order by issue) as upto from rev) r on r.issue <= d.as_of and (r.upto is null or d.as_of < r.upto)")
-def vintage_each_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What was known on each of several dates, from one pass over the log."""
-    return r6(vintage.as_of_each(log(spark, sf_dir), DATES), "value")
-
-
 @query("vintage_validity", REV + " select geo, time, issue, lead(issue) over (partition by geo, time order by issue) as valid_to from rev")
 def vintage_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log with the span in which each row was the newest."""
@@ -123,48 +114,17 @@ def strict_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revision_log(spark, sf_dir).select("geo", "time", "issue", F.round(F.col("covid") + F.col("flu") + F.col("rsv"), 6).alias("total"))
 
 
-_SLICES = REV + f"""
-    , held as (select d.as_of, r.geo, r.time, r.value from {_DATES} d join (select *, lead(issue) over (partition by geo, time order by issue) as upto from rev) r on r.issue <= d.as_of and (r.upto is null or d.as_of < r.upto)),
-    slots as (select g.geo, d.as_of, l.lag::int as lag, (d.as_of + ((6 - dayofweek(d.as_of)) % 7)::integer - (7 * l.lag)::integer)::date as time from (select distinct geo from rev) g cross join {_DATES} d cross join (select unnest(range(0, 9)) as lag) l),
-    grid as (select s.geo, s.time, s.as_of, s.lag, case when s.time <= s.as_of then a.value end as value from slots s left join held a on a.as_of = s.as_of and a.geo = s.geo and a.time = s.time)"""
-
-
-def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = log(spark, sf_dir)
-    return vintage.grid_slices(r, r.select("geo").distinct(), DATES, 8, ["value"])
-
-
-@query("county_week_slice", _SLICES + " select geo, time, as_of, lag, round(value, 6) as value from grid")
-def county_week_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The grid of sites, dates and lags with the value known on each date."""
-    return r6(slices(spark, sf_dir), "value")
-
-
-@query("county_week_full", _SLICES + """
-    , key as (select geo, time, arg_max(struct_pack(v := value), issue).v as final, arg_min(struct_pack(v := value), issue).v as first from rev group by all),
-    site as (select site_id, max(metro) as metro, max(fips) as fips from county_week group by site_id)
-    select g.geo, s.fips, s.metro, g.time, g.as_of, g.lag, round(g.value, 6) as value, round(k.final, 6) as final, round(k.first, 6) as first
-    from grid g left join key k on g.geo = k.geo and g.time = k.time left join site s on s.site_id = g.geo
-    """)
-def county_week_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fact table: the grid with labels and places joined last."""
-    sites = table(spark, sf_dir, "county_week").groupBy(F.col("site_id").alias("geo")).agg(F.max("fips").alias("fips"), F.max("metro").alias("metro"))
-    full = slices(spark, sf_dir).join(vintage.label_columns(log(spark, sf_dir)), ["geo", "time"], "left").join(sites, "geo", "left")
-    return r6(full.select("geo", "fips", "metro", "time", "as_of", "lag", "value", "final", "first"), "value", "final", "first")
-
-
-# The whole job: every date on which the table was published, and every signal. The queries above show six dates and
-# ed_resp, as their SQL does.
+# Every date on which the table was published, and every signal.
 
 SIGNALS = ("ed_covid", "ed_flu", "ed_rsv", "ed_resp", "temp_mean_f", "ww_flu", "news_n", "news_concern")
-_EVERY = "(select distinct as_of from county_week where as_of is not null)"
-_EVERY_REV = f"""
+_DATES = "(select distinct as_of from county_week where as_of is not null)"
+_SIGNALS = f"""
     with clean as (select site_id as geo, week_end as time, as_of as issue, loaded_at, {", ".join(f"case when not isnan({s}) then {s} end as {s}" for s in SIGNALS)} from county_week),
     rev as (select * exclude (loaded_at, rn) from (
         select *, row_number() over (partition by geo, time, issue order by loaded_at desc nulls last, {", ".join(f"{s} desc nulls last" for s in ("ed_resp", *[s for s in SIGNALS if s != "ed_resp"]))}) as rn from clean) where rn = 1)"""
-_EVERY_SLICES = _EVERY_REV + f"""
-    , held as (select d.as_of, r.* from {_EVERY} d join (select *, lead(issue) over (partition by geo, time order by issue) as upto from rev) r on r.issue <= d.as_of and (r.upto is null or d.as_of < r.upto)),
-    slots as (select g.geo, d.as_of, l.lag::int as lag, (d.as_of + ((6 - dayofweek(d.as_of)) % 7)::integer - (7 * l.lag)::integer)::date as time from (select distinct geo from rev) g cross join {_EVERY} d cross join (select unnest(range(0, 9)) as lag) l),
+_SLICES = _SIGNALS + f"""
+    , held as (select d.as_of, r.* from {_DATES} d join (select *, lead(issue) over (partition by geo, time order by issue) as upto from rev) r on r.issue <= d.as_of and (r.upto is null or d.as_of < r.upto)),
+    slots as (select g.geo, d.as_of, l.lag::int as lag, (d.as_of + ((6 - dayofweek(d.as_of)) % 7)::integer - (7 * l.lag)::integer)::date as time from (select distinct geo from rev) g cross join {_DATES} d cross join (select unnest(range(0, 9)) as lag) l),
     grid as (select s.geo, s.time, s.as_of, s.lag, {", ".join(f"case when s.time <= s.as_of then a.{s} end as {s}" for s in SIGNALS)} from slots s left join held a on a.as_of = s.as_of and a.geo = s.geo and a.time = s.time)"""
 _ROUNDED = ", ".join(f"round(g.{s}, 6) as {s}" for s in SIGNALS)
 
@@ -182,33 +142,33 @@ def signal_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("geo", "time", "issue", *[f"_t.{s}" for s in SIGNALS])
 
 
-def every_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = signal_log(spark, sf_dir)
     return vintage.grid_slices(r, r.select("geo").distinct(), origin_dates(spark, sf_dir), 8, list(SIGNALS))
 
 
-@query("vintage_every_date", _EVERY_REV + f" select d.as_of, r.geo, r.time, r.issue, round(r.ed_resp, 6) as value from {_EVERY} d join (select *, lead(issue) over (partition by geo, time order by issue) as upto from rev) r on r.issue <= d.as_of and (r.upto is null or d.as_of < r.upto)")
-def vintage_every_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("vintage_each_date", _SIGNALS + f" select d.as_of, r.geo, r.time, r.issue, round(r.ed_resp, 6) as value from {_DATES} d join (select *, lead(issue) over (partition by geo, time order by issue) as upto from rev) r on r.issue <= d.as_of and (r.upto is null or d.as_of < r.upto)")
+def vintage_each_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was known on each date of the table, from one pass over the log."""
     return r6(vintage.as_of_each(log(spark, sf_dir), origin_dates(spark, sf_dir)), "value")
 
 
-@query("county_week_every_slice", _EVERY_SLICES + f" select geo, time, as_of, lag, {_ROUNDED} from grid g")
-def county_week_every_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("county_week_slice", _SLICES + f" select geo, time, as_of, lag, {_ROUNDED} from grid g")
+def county_week_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The grid of sites, all dates of the table and lags with every signal as known on each date."""
-    return r6(every_slice(spark, sf_dir), *SIGNALS)
+    return r6(slices(spark, sf_dir), *SIGNALS)
 
 
-@query("county_week_every", _EVERY_SLICES + f"""
+@query("county_week_full", _SLICES + f"""
     , key as (select geo, time, arg_max(struct_pack(v := ed_resp), issue).v as final, arg_min(struct_pack(v := ed_resp), issue).v as first from rev group by all),
     site as (select site_id, max(metro) as metro, max(fips) as fips from county_week group by site_id)
     select g.geo, s.fips, s.metro, g.time, g.as_of, g.lag, {_ROUNDED}, round(k.final, 6) as final, round(k.first, 6) as first
     from grid g left join key k on g.geo = k.geo and g.time = k.time left join site s on s.site_id = g.geo
     """)
-def county_week_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+def county_week_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fact table of all origins and signals, with labels and places joined last."""
     sites = table(spark, sf_dir, "county_week").groupBy(F.col("site_id").alias("geo")).agg(F.max("fips").alias("fips"), F.max("metro").alias("metro"))
-    full = every_slice(spark, sf_dir).join(vintage.label_columns(log(spark, sf_dir)), ["geo", "time"], "left").join(sites, "geo", "left")
+    full = slices(spark, sf_dir).join(vintage.label_columns(log(spark, sf_dir)), ["geo", "time"], "left").join(sites, "geo", "left")
     return r6(full.select("geo", "fips", "metro", "time", "as_of", "lag", *SIGNALS, "final", "first"), *SIGNALS, "final", "first")
 
 
@@ -314,16 +274,6 @@ def history_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(examples(spark, sf_dir).select("geo", "time", "level", "d1", "d2", "y", h["sin1"].alias("sin1"), h["cos1"].alias("cos1")), "level", "d1", "d2", "y", "sin1", "cos1")
 
 
-@query("honest_training_set", _SLICES + """
-    , lab as (select geo, as_of as origin, time, value as label from grid where value is not null), last_known as (select geo, time, arg_min(value, lag) as last from grid where false group by all),
-    feat as (select geo, issue as time, max(value) filter ((issue - time) // 7 = 1) as y1, max(value) filter ((issue - time) // 7 = 2) as y2 from rev group by geo, issue)
-    select l.origin, l.geo, l.time, round(l.label, 6) as label, round(f.y1, 6) as y1, round(f.y2, 6) as y2 from lab l join feat f on f.geo = l.geo and f.time = l.time where l.origin - l.time between 14 and 56
-    """)
-def honest_training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For the origins of DATES at once: labels visible by then, with the features of the example's own date."""
-    return training_set(spark, sf_dir, slices(spark, sf_dir))
-
-
 def training_set(spark: SparkSession, sf_dir: str, grid: DataFrame) -> DataFrame:
     """The examples of all origins of ``grid``."""
     labels = grid.filter("value is not null").select("geo", F.col("as_of").alias("origin"), "time", F.col("value").alias("label"))
@@ -332,53 +282,50 @@ def training_set(spark: SparkSession, sf_dir: str, grid: DataFrame) -> DataFrame
     return r6(vintage.honest_examples(feats, labels, 14, 56).select("origin", "geo", "time", "label", "y1", "y2"), "label", "y1", "y2")
 
 
-@query("honest_training_every", _EVERY_SLICES + """
+@query("honest_training_set", _SLICES + """
     , lab as (select geo, as_of as origin, time, ed_resp as label from grid where ed_resp is not null),
     feat as (select geo, issue as time, max(ed_resp) filter ((issue - time) // 7 = 1) as y1, max(ed_resp) filter ((issue - time) // 7 = 2) as y2 from rev group by geo, issue)
     select l.origin, l.geo, l.time, round(l.label, 6) as label, round(f.y1, 6) as y1, round(f.y2, 6) as y2 from lab l join feat f on f.geo = l.geo and f.time = l.time where l.origin - l.time between 14 and 56
     """)
-def honest_training_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+def honest_training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The training set for every origin of the table."""
     r = log(spark, sf_dir)
     grid = vintage.grid_slices(r, r.select("geo").distinct(), origin_dates(spark, sf_dir), 8, ["value"])
     return training_set(spark, sf_dir, grid)
 
 
-@query("settled_pool", _WEEKLY + f" select d.as_of as origin, count(*) as examples, round(avg(v), 6) as mean from w join {_DATES} d on w.time <= d.as_of - 56 group by all")
-def settled_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many settled weeks each origin may train on."""
-    return settled(spark, sf_dir, DATES)
-
-
 def settled(spark: SparkSession, sf_dir: str, dates: list[dt.date]) -> DataFrame:
     days = F.array(*[F.lit(d).cast("date") for d in dates])
     pool = weekly(spark, sf_dir).select("v", F.explode(F.filter(days, lambda d: F.col("time") <= F.date_sub(d, 56))).alias("origin"))
     return r6(pool.groupBy("origin").agg(F.count("*").alias("examples"), F.avg("v").alias("mean")), "mean")
 
 
-@query("settled_every", _WEEKLY + f" select d.as_of as origin, count(*) as examples, round(avg(v), 6) as mean from w join {_EVERY} d on w.time <= d.as_of - 56 group by all")
-def settled_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("settled_pool", _WEEKLY + f" select d.as_of as origin, count(*) as examples, round(avg(v), 6) as mean from w join {_DATES} d on w.time <= d.as_of - 56 group by all")
+def settled_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many settled weeks every origin of the table may train on."""
     return settled(spark, sf_dir, origin_dates(spark, sf_dir))
 
 
 # Predictions: last value, seasonal drift and mean of the last three, scored against final.
 
-_PRED = _WEEKLY + """
-    , l as (select geo, time, v as final, lag(v, 1) over s as a, lag(v, 2) over s as b, lag(v, 3) over s as c from w window s as (partition by geo order by time)),
-    p as (select geo, time, final, a as first, 'naive' as model, a as pred from l where c is not null union all select geo, time, final, a, 'drift', greatest(a + (a - b) / 2, 0) from l where c is not null
-          union all select geo, time, final, a, 'mean3', (a + b + c) / 3 from l where c is not null),
+_PRED = """
+    with w as (select site_id as geo, week_end as time, max(ed_resp_final) as v, max(ed_resp_first) as f from county_week where ed_resp_final is not null group by all),
+    l as (select geo, time, v as final, f as first, lag(v, 1) over s as a, lag(v, 2) over s as b, lag(v, 3) over s as c from w window s as (partition by geo order by time)),
+    p as (select geo, time, final, first, 'naive' as model, a as pred from l where c is not null union all select geo, time, final, first, 'drift', greatest(a + (a - b) / 2, 0) from l where c is not null
+          union all select geo, time, final, first, 'mean3', (a + b + c) / 3 from l where c is not null),
     site as (select site_id as geo, max(metro) as metro, bool_or(home) as home from county_week group by site_id)"""
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """geo, metro, home, time, model, pred, first, final: three simple models of the next week."""
+    """geo, metro, home, time, model, pred, first, final: three simple models of the next week, with the first print and the final value."""
     by = Window.partitionBy("geo").orderBy("time")
-    l = weekly(spark, sf_dir).select("geo", "time", F.col("v").alias("final"), *[F.lag("v", k).over(by).alias(n) for n, k in (("a", 1), ("b", 2), ("c", 3))]).filter("c is not null")  # noqa: E741
+    t = table(spark, sf_dir, "county_week").filter("ed_resp_final is not null")
+    w = t.groupBy(F.col("site_id").alias("geo"), F.col("week_end").alias("time")).agg(F.max("ed_resp_final").alias("final"), F.max("ed_resp_first").alias("first"))
+    l = w.withColumns({n: F.lag("final", k).over(by) for n, k in (("a", 1), ("b", 2), ("c", 3))}).filter("c is not null")  # noqa: E741
     a, b, c = F.col("a"), F.col("b"), F.col("c")
     models = F.array(*[F.struct(F.lit(n).alias("model"), x.alias("pred")) for n, x in (("naive", a), ("drift", F.greatest(a + (a - b) / 2, F.lit(0.0))), ("mean3", (a + b + c) / 3))])
     sites = table(spark, sf_dir, "county_week").groupBy(F.col("site_id").alias("geo")).agg(F.max("metro").alias("metro"), F.bool_or("home").alias("home"))
-    return l.select("geo", "time", "final", a.alias("first"), F.explode(models).alias("m")).select("geo", "time", "final", "first", "m.model", "m.pred").join(sites, "geo")
+    return l.select("geo", "time", "final", "first", F.explode(models).alias("m")).select("geo", "time", "final", "first", "m.model", "m.pred").join(sites, "geo")
 
 
 _METRICS = """count(pred - final) as n, round(avg(abs(pred - final)), 6) as mae, round(sqrt(avg((pred - final) * (pred - final))), 6) as rmse,

@@ -111,34 +111,8 @@ def region_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ask.gate(f, "claim", "day", F.lit("2025-12-31").cast("date")).select("finding_id", "ok", "reason")
 
 
-@query("region_news", f"""
-    with h as (select article_id, avg(c) as concern, avg(r) as relevant from (select article_id, try_cast(nullif(regexp_extract(trim(concern), '^([0-3])([.]0*)?$', 1), '') as double) as c,
-               case when lower(trim(relevant)) in ('y', 'yes', 'true', '1', 't') then 1.0::double when lower(trim(relevant)) in ('n', 'no', 'false', '0', 'f') then 0.0::double end as r from (select distinct * from human_labels)) group by article_id),
-    a as (select distinct article_id, metro, try_cast(left(trim(published), 10) as date) as day from articles where regexp_matches(trim(published), '^20[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}'))
-    select metro, {SAT.format('day')} as week, count(*) as articles, round(avg(concern), 6) as concern from a join h on a.article_id = h.article_id where relevant > 0.5 and day <= date '2025-12-31' group by all
-    """)
-def region_news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relevant articles published by a date, by metro and week: count and mean concern."""
-    scored = relevant_scores(spark, sf_dir)
-    a = table(spark, sf_dir, "articles").select("article_id", "metro", F.try_to_date(F.nullif(F.regexp_extract(F.trim("published"), r"^(20\d{2}-\d{2}-\d{2})", 1), F.lit("")), "yyyy-MM-dd").alias("day")).distinct()
-    joined = a.filter("day <= date '2025-12-31'").join(scored.filter("relevant > 0.5"), "article_id")
-    return r6(joined.groupBy("metro", week_end("day").alias("week")).agg(F.count("*").alias("articles"), F.avg("concern").alias("concern")), "concern")
-
-
-@query("region_cited", """
-    with a as (select distinct article_id, metro, title, try_cast(left(trim(published), 10) as date) as day from articles where regexp_matches(trim(published), '^20[0-9]{2}-[0-9]{2}-[0-9]{2}') and fetched_ok = 'True' and coalesce(trim(dup_of), '') = '')
-    select metro, article_id, day, place from (select *, row_number() over (partition by metro order by day desc, article_id)::int as place from a where day between date '2025-12-14' and date '2025-12-27') where place <= 6
-    """)
-def region_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The six newest eligible articles per metro in two weeks: the report is the feature."""
-    a = parsers.eligible(table(spark, sf_dir, "articles").distinct().fillna("", ["fetched_ok"]).filter("fetched_ok = 'True'"))
-    a = a.select("article_id", "metro", F.try_to_date(F.nullif(F.regexp_extract(F.trim("published"), r"^(20\d{2}-\d{2}-\d{2})", 1), F.lit("")), "yyyy-MM-dd").alias("day")).distinct()
-    place = F.row_number().over(Window.partitionBy("metro").orderBy(F.desc("day"), "article_id"))
-    return a.filter("day between date '2025-12-14' and date '2025-12-27'").withColumn("place", place).filter("place <= 6").select("metro", "article_id", "day", "place")
-
-
-# The same over every article whose date can be read in any of the formats of p4, by the day where it was published.
-# No SQL: DuckDB cannot read the formats. The two queries above keep plain ISO dates only, as their SQL does.
+# Every article whose date can be read in any of the formats of p4, by the day where it was published. No SQL: DuckDB
+# cannot read the formats.
 
 
 def dated_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,24 +136,24 @@ def relevant_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.groupBy("article_id").agg(F.avg(labels.concern_answer("concern").cast("double")).alias("concern"), F.avg(F.when(labels.relevant_answer("relevant") == "y", 1.0).when(labels.relevant_answer("relevant") == "n", 0.0)).alias("relevant"))
 
 
-@query("region_news_every")
-def region_news_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("region_news")
+def region_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relevant articles by metro and week, dates of all formats: count and mean concern; week is null for articles without a readable date."""
     a = dated_articles(spark, sf_dir).select("article_id", "metro", "day").filter("day is null or day <= date '2025-12-31'")
     joined = a.join(relevant_scores(spark, sf_dir).filter("relevant > 0.5"), "article_id")
     return r6(joined.groupBy("metro", week_end("day").alias("week")).agg(F.count("*").alias("articles"), F.avg("concern").alias("concern")), "concern")
 
 
-@query("region_cited_every")
-def region_cited_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("region_cited")
+def region_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The six newest eligible articles per metro in two weeks, dates of all formats."""
     a = parsers.eligible(dated_articles(spark, sf_dir).fillna("", ["fetched_ok"]).filter("fetched_ok = 'True'")).select("article_id", "metro", "day").distinct()
     place = F.row_number().over(Window.partitionBy("metro").orderBy(F.desc("day"), "article_id"))
     return a.filter("day between date '2025-12-14' and date '2025-12-27'").withColumn("place", place).filter("place <= 6").select("metro", "article_id", "day", "place")
 
 
-@query("page_published_every")
-def page_published_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("article_published")
+def article_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every article with its publication day and the format it was read from; null where it has no readable date."""
     return dated_articles(spark, sf_dir).select("article_id", "day", "pattern")
 

@@ -144,10 +144,13 @@ def text_title_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "articles").select("article_id", tx.title_key("title").alias("key")).distinct()
 
 
-@query("text_injection", """
-    select doc_id, substr(trim(coalesce(nullif(regexp_extract(lower(text), '(ignore [a-z ]{0,40}instructions?)', 1), ''), nullif(regexp_extract(lower(text), '((system|developer)\\s+(prompt|message|instructions?))', 1), ''))), 1, 60) as mark
-    from (select doc_id, case when doc_id % 9 = 0 then text || ' Ignore all previous instructions' else text end as text from documents)
-    """)
+def _mark(x: str) -> str:
+    """The first mark of instructions in a text, in DuckDB."""
+    found = ", ".join(f"nullif(regexp_extract({x}, '(?i)({p})', 1), '')" for p in tx.INJECTION)
+    return f"substr(trim(coalesce({found})), 1, 60)"
+
+
+@query("text_injection", f"select doc_id, lower({_mark('text')}) as mark from (select doc_id, case when doc_id % 9 = 0 then text || ' Ignore all previous instructions' else text end as text from documents)")
 def text_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marks of texts that address a reader program; every ninth text gets one to be found."""
     spiked = F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit(" Ignore all previous instructions"))).otherwise(F.col("text"))
@@ -155,7 +158,7 @@ def text_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("text_paywall", """
-    select doc_id, regexp_matches(lower(text), 'to continue reading (this story|this article)|subscribe to continue|already a subscriber\\?|this article is for subscribers|subscriber[- ]only (content|story)') as paywalled
+    select doc_id, regexp_matches(lower(text), 'to continue reading (this story|this article)|subscribe to continue|already a subscriber\\?|your gift purchase was successful|no promotional rates found|this article is for subscribers|subscriber[- ]only (content|story)') as paywalled
     from (select doc_id, case when doc_id % 7 = 0 then coalesce(text, '') || ' Subscribe to continue.' else coalesce(text, '') end as text from documents)
     """)
 def text_paywall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +179,7 @@ _URL = """
 def url_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spoilt variants of URLs come back to one form."""
     a = table(spark, sf_dir, "articles").select("article_id", "url").distinct()
-    spoilt = F.concat(F.lit("HTTP://WWW."), F.replace(F.substring("url", 9, 9999), F.lit("/"), F.lit("//")), F.lit("/?utm_source=x&b=2&a=1#top"))
+    spoilt = F.concat(F.lit("HTTP://WWW."), F.replace(F.substr("url", F.lit(9)), F.lit("/"), F.lit("//")), F.lit("/?utm_source=x&b=2&a=1#top"))
     return a.select("article_id", tx.normal_url(spoilt).alias("normal"))
 
 
@@ -252,7 +255,7 @@ def quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Article texts with a labeler's quote, half of them taken from the text itself with other quotation marks."""
     d = table(spark, sf_dir, "documents").filter("article_id is not null and text is not null").select("doc_id", "article_id", "text")
     h = table(spark, sf_dir, "human_labels").select("label_id", "article_id", "quote").distinct()
-    own = F.substring("text", 11, 60)
+    own = F.substr("text", (F.lit(1) + F.col("label_id") * 37 % F.greatest(F.length("text") - 60, F.lit(1))).cast("int"), F.lit(60))  # from all over the text
     return h.join(d, "article_id").select("label_id", "doc_id", "text", F.when(F.col("label_id") % 2 == 0, own).otherwise(F.col("quote")).alias("quote"))
 
 
@@ -268,11 +271,12 @@ def _bare(x: str) -> str:
 
 
 _TIERS = f"""
-    with q as (select h.label_id, d.doc_id, d.text, case when h.label_id % 2 = 0 then substr(d.text, 11, 60) else h.quote end as quote from (select distinct label_id, article_id, quote from human_labels) h
+    with q as (select h.label_id, d.doc_id, d.text, case when h.label_id % 2 = 0 then substr(d.text, 1 + h.label_id * 37 % greatest(length(d.text) - 60, 1), 60) else h.quote end as quote from (select distinct label_id, article_id, quote from human_labels) h
                join documents d on d.article_id = h.article_id where d.text is not null),
-    n as (select label_id, doc_id, trim(coalesce(quote, '')) = '' as blank, trim({_plain('quote')}, ' ' || chr(34) || chr(39)) as q, {_plain('text')} as t from q)
-    select label_id, doc_id, case when blank then 'missing' when len(string_split({_bare("replace(q, '...', ' ')")}, ' ')) < 4 then 'too_short' when contains(t, rtrim(q, '.')) then 'exact'
-           when contains({_bare('t')}, {_bare('q')}) then 'nopunct' else 'not_found' end as method from n"""
+    n as (select label_id, doc_id, trim(coalesce(quote, '')) = '' as blank, trim({_plain('quote')}, ' ' || chr(34) || chr(39)) as q, {_plain('text')} as t, {_mark('quote')} is not null as told from q),
+    m as (select *, case when blank then 'missing' when len(string_split({_bare("replace(q, '...', ' ')")}, ' ')) < 4 then 'too_short' when contains(t, rtrim(q, '.')) then 'exact'
+           when contains({_bare('t')}, {_bare('q')}) then 'nopunct' else 'not_found' end as tier from n)
+    select label_id, doc_id, case when told and tier in ('exact', 'nopunct') then 'injection' else tier end as method from m"""
 
 
 @query("quote_tiers", _TIERS)
