@@ -159,30 +159,54 @@ CASES = {
 
 def test_prose_share():
     for text, junk in CASES.items():
-        s = dict(zip(prose.STATISTICS, prose.statistics(text), strict=True))
-        assert (s["words"] == 0 or s["prose_share"] < 0.5) == junk, text[:60]
-        assert all(v >= 0 for v in s.values())
-    assert prose.statistics(None) == prose.statistics("")
+        assert (not prose.words_of(text) or prose.prose_share(text) < 0.5) == junk, text[:60]
+
+
+def exact(text):
+    return not prose.words_of(text or "") or prose.prose_share(text or "") < 0.5
+
+
+def ordinary(k):
+    return PROSE + f" It was day {k}, and {['nurses', 'doctors', 'neighbours'][k % 3]} had {k % 17} questions about the {['wave', 'season', 'shots'][k % 3]}."
+
+
+TABLE = "\n".join(f"Ward {k} | beds {k * 7} | staff {k * 13}" for k in range(12))
 
 
 def test_quality_flags(spark):
-    data = [(i, t, "en" if i % 2 else None) for i, t in enumerate(CASES)] + [(100 + i, PROSE + f" It was day {i}.", "en") for i in range(80)] + [(999, None, "en"), (998, PROSE * 3000, "es")]
+    data = [(i, t, "en" if i % 2 else None) for i, t in enumerate(CASES)] + [(100 + i, ordinary(i), "en") for i in range(80)] + [(999, None, "en"), (998, PROSE * 3000, "es")]
     df = spark.createDataFrame(data, "doc_id long, text string, lang string")
     out = {r.id: r for r in quality.quality(df, "doc_id", "text", "lang").collect()}
     assert len(out) == len(data)
-    for i, junk in enumerate(CASES.values()):
-        assert out[i].not_prose == junk, i
-    assert out[999].not_prose and not out[998].not_prose and not any(out[100 + i].not_prose for i in range(80))
+    assert all(out[i].not_prose == exact(t) for i, t, _ in data)
     assert "longest_word" in out[list(CASES).index("lllffifaagggyyyhhhdddyyffyykkkjgeeguiii" * 9)].tails
+    assert all((r.prose_share is None) == (r.decided_by == "tails") for r in out.values())
 
 
 @pytest.mark.parametrize("share", [0.14, 0.4, 0.8])
 def test_common_junk_is_found_as_well(spark, share):
-    table_page = "\n".join(f"Ward {k} | beds {k * 7} | staff {k * 13}" for k in range(12))
-    data = [(i, table_page + f" | {i}" if i < share * 200 else PROSE + f" It was day {i}.", "en") for i in range(200)]
+    data = [(i, TABLE + f" | {i}" if i < share * 1000 else ordinary(i), "en") for i in range(1000)]
     df = spark.createDataFrame(data, "doc_id long, text string, lang string")
-    out = {r.id: r.not_prose for r in quality.quality(df, "doc_id", "text", "lang").collect()}
-    assert [out[i] for i in range(200)] == [i < share * 200 for i in range(200)]
+    out = quality.quality(df, "doc_id", "text", "lang").collect()
+    assert {r.id: r.not_prose for r in out} == {i: i < share * 1000 for i in range(1000)}
+    assert sum(r.decided_by == "tails" for r in out) > 900
+
+
+def test_the_sketches_decide(spark, monkeypatch):
+    """Junk and prose are told apart by the tails; with sketches of something else the tails decide nothing."""
+    data = [(i, TABLE if i % 5 == 0 else ordinary(i), "en") for i in range(400)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    by_tails = lambda: quality.quality(df, "doc_id", "text", "lang").filter("decided_by = 'tails'").count()
+    assert by_tails() > 350
+    levels_of = quality.levels_of
+    monkeypatch.setattr(quality, "levels_of", lambda s: levels_of(s).withColumn("ended_line_share", F.struct(F.lit(9.0).alias("mid"), F.lit(0.1).alias("spread"))).withColumn("common_word_share", F.struct(F.lit(0.0).alias("mid"), F.lit(0.01).alias("spread"))))
+    assert by_tails() == 0
+
+
+def test_without_enough_texts_no_tail_decides(spark):
+    df = spark.createDataFrame([(i, ordinary(i), "en") for i in range(20)] + [(50, TABLE, "en")], "doc_id long, text string, lang string")
+    out = {r.id: r for r in quality.quality(df, "doc_id", "text", "lang").collect()}
+    assert {r.decided_by for r in out.values()} == {"lines"} and [i for i, r in out.items() if r.not_prose] == [50]
 
 
 def test_quality_of_nothing(spark):
@@ -190,6 +214,8 @@ def test_quality_of_nothing(spark):
 
 
 def test_sketches_merge_to_the_whole(spark):
-    df = spark.range(5000).select(F.col("id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("lang"), *[F.col("id").cast("double").alias(s) for s in prose.STATISTICS]).filter("id > 0")
-    mid = {r.lang: r["values"][1] for r in quality.quantiles(quality.language_sketches(df)).filter("statistic = 'words'").collect()}
+    df = spark.range(5000).select(F.col("id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("lang"), *[F.col("id").cast("double").alias(s) for s in quality.STATISTICS if s != "common_word_share"], F.when(F.col("id") % 2 == 0, 0.5).otherwise(0.0).alias("common_word_share")).filter("id > 0")
+    sketches = quality.language_sketches(df)
+    assert {(r.lang, r.reads) for r in sketches.collect()} == {(x, y) for x in "ab*" for y in (True, False)}
+    mid = {r.lang: r["values"][1] for r in quality.quantiles(quality.merged(sketches, "lang")).filter("statistic = 'words'").collect()}
     assert all(abs(v - 2500) < 120 for v in mid.values()) and set(mid) == {"a", "b", "*"}

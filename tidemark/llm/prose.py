@@ -1,4 +1,4 @@
-"""How much of a text is running sentences, and simple counts of its words, symbols and lines."""
+"""How much of a text is running sentences."""
 
 from __future__ import annotations
 
@@ -22,7 +22,6 @@ WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _TAG = re.compile(r"<[^<>]*>")
 _BULLET = re.compile(r"^(?:[-*•·–—▪◦‣]|\(?\d{1,3}[.)]|[a-zA-Z][.)])\s+")
 _QUOTE = re.compile(r"^(?:>\s*)+|^(?:Q|A|P|R):\s+")
-_END = re.compile(r"[.!?…:][\"'”’»)\]]*$")
 _STOP = re.compile(r"[.!?…][\"'”’»)\]]*$")
 
 #: A line of running sentences has at least this share of common words, and of letters and blanks.
@@ -84,28 +83,8 @@ def prose_chars(lines: list[str], words: list[list[str]]) -> tuple[int, int]:
     return inside, total
 
 
-STATISTICS = ("words", "mean_word_length", "symbol_ratio", "digit_ratio", "lines", "ended_line_share", "common_word_share", "short_line_share", "longest_word", "prose_share")
-
-
-def statistics(text: str | None) -> list[float]:
-    """The values of STATISTICS; null and empty texts have zeros."""
-    text = text or ""
+def prose_share(text: str) -> float:
+    """The share of a text's characters in running sentences; zero for a text without any."""
     lines = [x for x in lines_of(text) if x]
-    by_line = [words_of(x) for x in lines]
-    lengths = [len(w) for ws in by_line for w in ws]
-    letters, n, m = sum(lengths), len(lengths), len(lines)
-    solid = sum(map(len, text.split()))
-    digits = sum(map(text.count, "0123456789"))
-    inside, total = prose_chars(lines, by_line)
-    return [
-        float(n),
-        letters / n if n else 0.0,
-        max(solid - letters - digits, 0) / solid if solid else 0.0,
-        digits / solid if solid else 0.0,
-        float(m),
-        sum(bool(_END.search(x)) for x in lines) / m if m else 0.0,
-        sum(sum(map(_is_common, ws)) for ws in by_line) / n if n else 0.0,
-        sum(len(x) < 40 for x in lines) / m if m else 0.0,
-        float(max(lengths, default=0)),
-        inside / total if total else 0.0,
-    ]
+    inside, total = prose_chars(lines, [words_of(x) for x in lines])
+    return inside / total if total else 0.0

@@ -1,15 +1,19 @@
 """Per-document text statistics, and how unusual each is in the document's language.
 
-Statistics come from one pass over whole texts in Arrow batches. Per language and statistic a
-mergeable quantile sketch is built map-side and merged once; the sketches give median and
-quartiles, values become robust z-scores, and values far in the tails are flagged, in the
-language's distribution or in that of all documents. Sketches have a fixed size, so only
-languages x statistics of them are moved, however many documents there are.
-
-Defined results: null and empty texts have no word and zeros for all statistics, and take no
-part in the sketches; an unknown language is 'und'; a language of fewer than ``least`` documents
-is compared with all documents only; a spread of zero counts as a hundredth of the statistic's
-usual range, given in SPREAD_FLOOR.
+Statistics are built-in expressions over whole texts. Per language and statistic a mergeable
+quantile sketch is built map-side, apart for texts that read as language (a share of common
+words) and for others; merged, they are the distributions of all texts. Median and quartiles of
+the former turn values into robust z-scores, so that junk, however common, does not widen them.
+Sketches have a fixed size, so only languages x statistics of them are moved.
+
+The tails decide: a text with words but far too few common ones is junk; a text whose statistics
+all lie inside the tails, and within BOUNDS that hold whatever the sketches say, is prose. Only
+the texts left open are classified line by line, in Arrow batches over whole texts.
+
+Defined results: null and empty texts have no word, zeros for all statistics, and take no part in
+the sketches; an unknown language is 'und'; a language of fewer than ``least`` reading texts is
+compared with all reading texts, and if these are fewer than that too, no tail decides; a spread
+of zero counts as that of SPREAD_FLOOR.
 """
 
 from __future__ import annotations
@@ -18,37 +22,64 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.prose import STATISTICS, statistics
+from tidemark.llm.prose import COMMON_SHARE, COMMON_WORDS, prose_share
 from tidemark.session import durable
 
+STATISTICS = ("words", "mean_word_length", "symbol_ratio", "digit_ratio", "lines", "ended_line_share", "common_word_share", "short_line_share", "longest_word")
 #: The least spread by which a statistic's deviations are scaled.
 SPREAD_FLOOR = {
-    "words": 20.0, "mean_word_length": 0.3, "symbol_ratio": 0.02, "digit_ratio": 0.02, "lines": 2.0, "ended_line_share": 0.05, "common_word_share": 0.03,
-    "short_line_share": 0.05, "longest_word": 2.0, "prose_share": 0.05,
+    "words": 20.0, "mean_word_length": 0.3, "symbol_ratio": 0.01, "digit_ratio": 0.02, "lines": 2.0, "ended_line_share": 0.05, "common_word_share": 0.03,
+    "short_line_share": 0.05, "longest_word": 2.0,
 }
+#: The statistics that tell prose from other text, and the side on which their tail tells against prose.
+AGAINST = {"symbol_ratio": 1, "digit_ratio": 1, "ended_line_share": -1, "common_word_share": -1, "short_line_share": 1, "mean_word_length": 0}
+#: A text outside these is never called prose by its tails: most lines end as sentences do, few are short, and it reads as language.
+BOUNDS = {"ended_line_share": (0.75, 1.0), "short_line_share": (0.0, 0.5), "common_word_share": (COMMON_SHARE, 1.0), "symbol_ratio": (0.0, 0.12)}
+#: A text with a smaller share of common words cannot be prose by half: running lines have COMMON_SHARE of them, and at least a quarter of the words.
+NO_LANGUAGE = 0.03
+#: z-scores within which a statistic speaks for prose, and beyond which it speaks for junk.
+NEAR, FAR = 3.5, 5.0
 #: Languages that are joined back by broadcast; more are joined by key.
 BROADCAST_LANGUAGES = 5000
 ALL = "*"
 
 
-def text_statistics(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
-    """id, lang and the STATISTICS of each document's whole text."""
-
-    @F.pandas_udf("array<double>")
-    def measure(texts: pd.Series) -> pd.Series:
-        return pd.Series([statistics(t) for t in texts], dtype=object)
-
+def with_statistics(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
+    """id, lang, text and the STATISTICS of each document's whole text."""
     language = F.coalesce(F.nullif(F.lower(F.trim(F.col(lang))), F.lit("")), F.lit("und"))
-    measured = docs.select(F.col(doc_id).alias("id"), language.alias("lang"), measure(F.col(text)).alias("_s"))
-    return measured.select("id", "lang", *[F.element_at("_s", i + 1).alias(s) for i, s in enumerate(STATISTICS)])
+    rows = docs.select(F.col(doc_id).alias("id"), language.alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    lines = F.filter(F.transform(F.split("text", r"\R"), lambda x: F.btrim(x, F.lit("﻿ \t "))), lambda x: x != "")
+    rows = rows.withColumns({"_words": F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+(?:['’]\p{L}+)*"), F.lit(0)), "_lines": lines})
+    share = lambda n, of: F.when(of > 0, n / of).otherwise(0.0)
+    rows = rows.withColumns({
+        "_n": F.size("_words").cast("double"), "_letters": F.length(F.array_join("_words", "")), "_m": F.size("_lines").cast("double"),
+        "_solid": F.length(F.regexp_replace("text", r"\s+", "")), "_digits": F.length("text") - F.length(F.translate("text", "0123456789", "")),
+        "_common": F.size(F.filter("_words", lambda w: w.isin(*sorted(COMMON_WORDS)))),
+        "_ended": F.size(F.filter("_lines", lambda x: x.rlike(r"[.!?…:][\"'”’»)\]]*$"))), "_short": F.size(F.filter("_lines", lambda x: F.length(x) < 40)),
+        "_longest": F.coalesce(F.array_max(F.transform("_words", lambda w: F.length(w))), F.lit(0)).cast("double"),
+    })
+    c = F.col
+    return rows.select(
+        "id", "lang", "text", c("_n").alias("words"), share(c("_letters"), c("_n")).alias("mean_word_length"),
+        share(F.greatest(c("_solid") - c("_letters") - c("_digits"), F.lit(0)), c("_solid")).alias("symbol_ratio"), share(c("_digits"), c("_solid")).alias("digit_ratio"), c("_m").alias("lines"),
+        share(c("_ended"), c("_m")).alias("ended_line_share"), share(c("_common"), c("_n")).alias("common_word_share"), share(c("_short"), c("_m")).alias("short_line_share"), c("_longest").alias("longest_word"),
+    )
 
 
 def language_sketches(stats: DataFrame) -> DataFrame:
-    """lang, documents and a quantile sketch per statistic, over documents with a word; lang '*' merges all languages."""
-    per = stats.filter("words > 0").groupBy("lang").agg(F.count("*").alias("documents"), *[F.kll_sketch_agg_double(s).alias(s) for s in STATISTICS])
+    """lang, reads, documents and a quantile sketch per statistic, over documents with a word; lang '*' merges all languages.
+
+    ``reads``: texts with a share of common words as running lines have it, and the others.
+    """
+    reads = (F.col("common_word_share") >= COMMON_SHARE).alias("reads")
+    per = stats.filter("words > 0").groupBy("lang", reads).agg(F.count("*").alias("documents"), *[F.kll_sketch_agg_double(s).alias(s) for s in STATISTICS])
     per = durable(per)
-    whole = per.groupBy(F.lit(ALL).alias("lang")).agg(F.sum("documents").alias("documents"), *[F.kll_merge_agg_double(s).alias(s) for s in STATISTICS])
-    return per.unionByName(whole)
+    return per.unionByName(merged(per.withColumn("lang", F.lit(ALL)), "lang", "reads"))
+
+
+def merged(sketches: DataFrame, *by: str) -> DataFrame:
+    """The sketches of the groups ``by``, from those of their parts."""
+    return sketches.groupBy(*by).agg(F.sum("documents").alias("documents"), *[F.kll_merge_agg_double(s).alias(s) for s in STATISTICS])
 
 
 def quantiles(sketches: DataFrame, ranks: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
@@ -58,38 +89,60 @@ def quantiles(sketches: DataFrame, ranks: tuple[float, ...] = (0.25, 0.5, 0.75))
     return sketches.select("lang", "documents", F.explode(rows).alias("r")).select("lang", "documents", "r.*")
 
 
-def _wide(levels: DataFrame, prefix: str) -> DataFrame:
-    """One row per language: prefix_statistic = struct(mid, spread)."""
+def levels_of(sketches: DataFrame) -> DataFrame:
+    """lang, documents and statistic = struct(mid, spread) of texts that read as language."""
     v = F.col("values")
     floor: Column = F.lit(0.0)
     for s, f in SPREAD_FLOOR.items():
         floor = F.when(F.col("statistic") == s, F.lit(f)).otherwise(floor)
-    scaled = levels.select("lang", "documents", "statistic", F.struct(F.element_at(v, 2).alias("mid"), F.greatest((F.element_at(v, 3) - F.element_at(v, 1)) / 1.349, floor).alias("spread")).alias("level"))
-    return scaled.groupBy(F.col("lang").alias(f"{prefix}_lang")).agg(F.max("documents").alias(f"{prefix}_n"), *[F.max(F.when(F.col("statistic") == s, F.col("level"))).alias(f"{prefix}_{s}") for s in STATISTICS])
+    scaled = quantiles(sketches.filter("reads")).select("lang", "documents", "statistic", F.struct(F.element_at(v, 2).alias("mid"), F.greatest((F.element_at(v, 3) - F.element_at(v, 1)) / 1.349, floor).alias("spread")).alias("level"))
+    return scaled.groupBy("lang").agg(F.max("documents").alias("documents"), *[F.max(F.when(F.col("statistic") == s, F.col("level"))).alias(s) for s in STATISTICS])
+
+
+def scored(stats: DataFrame, levels: DataFrame, least: int) -> DataFrame:
+    """``stats`` with z_ of every statistic, null where nothing can be compared; ``levels``: of :func:`levels_of`, by language and for all."""
+    own = levels.filter(F.col("lang") != ALL).filter(F.col("documents") >= least).select(F.col("lang").alias("_l"), *[F.col(s).alias(f"_own_{s}") for s in STATISTICS])
+    own = F.broadcast(own) if own.count() <= BROADCAST_LANGUAGES else own
+    every = levels.filter(F.col("lang") == ALL).filter(F.col("documents") >= least).select(F.lit(1).alias("_one"), *[F.col(s).alias(f"_all_{s}") for s in STATISTICS])
+    both = stats.join(own, F.col("lang") == F.col("_l"), "left").withColumn("_k", F.lit(1)).join(F.broadcast(every), F.col("_k") == F.col("_one"), "left")  # one row
+    z = {}
+    for s in STATISTICS:
+        level = F.coalesce(f"_own_{s}", f"_all_{s}")
+        z[f"z_{s}"] = F.when(F.col("words") > 0, (F.col(s) - level["mid"]) / level["spread"])
+    return both.select(*stats.columns, *[c.alias(n) for n, c in z.items()])
+
+
+def verdict_by_tails(near: float = NEAR, far: float = FAR) -> Column:
+    """'junk' or 'prose' where the tails decide, null where they leave a text open."""
+    inside = F.lit(True)
+    for s, side in AGAINST.items():
+        z = F.abs(f"z_{s}") if side == 0 else F.col(f"z_{s}") * side
+        inside = inside & (z <= near)
+    for s, (low, high) in BOUNDS.items():
+        inside = inside & F.col(s).between(low, high)
+    speechless = (F.col("common_word_share") < NO_LANGUAGE) & (F.col("z_common_word_share") <= -far)
+    return F.when(F.col("words") == 0, "junk").when(speechless, "junk").when(inside, "prose")
 
 
 def quality(docs: DataFrame, doc_id: str, text: str, lang: str, tail: float = 3.5, least: int = 50) -> DataFrame:
-    """id, lang, the statistics, z_ of each in the language, tails (names beyond ``tail``), and not_prose.
+    """id, lang, the statistics, z_ of each in the language, tails (names beyond ``tail``), decided_by, prose_share, not_prose.
 
-    ``not_prose`` marks documents that hold no word at all, or of whose characters more than half
-    are outside running sentences, whatever their tails: spreads widen with the share of junk.
+    ``decided_by``: 'tails' or 'lines'; ``prose_share``, the share of characters in running
+    sentences, is measured where the tails leave a text open, and null elsewhere. ``not_prose``
+    marks documents that hold no word at all, or of which more than half is not running sentences.
     """
-    stats = durable(text_statistics(docs, doc_id, text, lang))
-    levels = durable(quantiles(language_sketches(stats)))
-    own = _wide(levels.filter(F.col("lang") != ALL), "own")
-    own = F.broadcast(own) if levels.count() <= BROADCAST_LANGUAGES * len(STATISTICS) else own
-    whole = levels.filter(F.col("lang") == ALL).select("statistic", "values").collect()  # a row per statistic
-    pooled = {r["statistic"]: (r["values"][1], max((r["values"][2] - r["values"][0]) / 1.349, SPREAD_FLOOR[r["statistic"]])) for r in whole}
-    joined = stats.join(own, F.col("lang") == F.col("own_lang"), "left")
-    z, beyond = {}, []
-    for s in STATISTICS:
-        mid, spread = pooled.get(s, (0.0, 1.0))
-        of_all = (F.col(s) - mid) / spread
-        of_own = (F.col(s) - F.col(f"own_{s}.mid")) / F.col(f"own_{s}.spread")
-        used = F.when(F.col("own_n") >= least, of_own).otherwise(of_all)
-        z[f"z_{s}"] = F.when(F.col("words") > 0, used)
-        beyond.append(F.when((F.abs(used) > tail) | (F.abs(of_all) > tail), F.lit(s)))
-    tails = F.when(F.col("words") > 0, F.array_compact(F.array(*beyond))).otherwise(F.array(F.lit("words")))
-    out = joined.withColumns(z | {"tails": tails})
-    junk = (F.col("words") == 0) | (F.col("prose_share") < 0.5)
-    return out.select("id", "lang", *STATISTICS, *z, "tails", junk.alias("not_prose"))
+    levels = durable(levels_of(language_sketches(with_statistics(docs, doc_id, text, lang).drop("text"))))
+    # Statistics are measured again rather than kept with their texts: no text is moved or written.
+    said = scored(with_statistics(docs, doc_id, text, lang), levels, least).withColumn("_said", verdict_by_tails())
+
+    @F.pandas_udf("double")
+    def lines(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else prose_share(t) for t in texts], dtype=float)
+
+    checked = said.withColumn("_open", F.when(F.col("_said").isNull(), F.col("text"))).withColumn("prose_share", lines("_open"))
+    beyond = F.array_compact(F.array(*[F.when(F.abs(f"z_{s}") > tail, F.lit(s)) for s in STATISTICS]))
+    return checked.select(
+        "id", "lang", *STATISTICS, *[f"z_{s}" for s in STATISTICS], F.when(F.col("words") > 0, beyond).otherwise(F.array(F.lit("words"))).alias("tails"),
+        F.when(F.col("_said").isNull(), "lines").otherwise("tails").alias("decided_by"), F.when(~F.isnan("prose_share"), F.col("prose_share")).alias("prose_share"),
+        F.coalesce(F.col("_said") == "junk", F.col("prose_share") < 0.5).alias("not_prose"),
+    )

@@ -146,6 +146,6 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("p10_quantiles")
 def p10_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantiles of every statistic per language, and over all ('*')."""
-    stats = quality.text_statistics(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    stats = quality.with_statistics(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").drop("text")
     ranks = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
-    return quality.quantiles(quality.language_sketches(stats), ranks).withColumn("ranks", F.array(*[F.lit(r) for r in ranks]))
+    return quality.quantiles(quality.merged(quality.language_sketches(stats), "lang"), ranks).withColumn("ranks", F.array(*[F.lit(r) for r in ranks]))
