@@ -83,7 +83,7 @@ def texts(spark, counts, seed=1):
         for _ in range(n):
             data.append((i, source, f"{source} {i}", rng.randint(5, 60)))
             i += 1
-    return spark.createDataFrame(data + [(i, "a", "a 0", 5), (i + 1, "unlisted", "u", 5), (i + 2, "a", None, 0), (i + 3, None, "q", 7)], "id long, source string, text string, tokens long")
+    return spark.createDataFrame(data + [(i, "a", "a 0", 5), (i + 1, "unlisted", "u", 5), (i + 2, "a", None, 0), (i + 3, None, "q", 7)], "id long, source string, hash string, tokens long")
 
 
 def test_shares_and_caps(spark):
@@ -103,7 +103,7 @@ def test_shares_and_caps(spark):
 
 def test_the_note_tells_a_shortfall(spark):
     rows = [(i, "a", f"a {i}", 10) for i in range(1000)] + [(2000, "long", "long text", 5000), (2001, "coarse", "coarse one", 60), (2002, "coarse", "coarse two", 700), (2003, "zero", "z", 10), (2004, "capped", "c", 10)]
-    df = spark.createDataFrame(rows, "id long, source string, text string, tokens long")
+    df = spark.createDataFrame(rows, "id long, source string, hash string, tokens long")
     mix = mixing.mix_sources(df, {"a": (0.8, 1), "long": (0.1, 1), "coarse": (0.1, 1), "zero": (0.0, 1), "capped": (0.1, 0), "none": (0.1, 1)}, total=5000)
     report = {r.source: r for r in mixing.share_report(mix).collect()}
     assert {s: r.note for s, r in report.items()} == {"a": "met", "long": "not used", "coarse": "short", "zero": "not used", "capped": "not used", "none": "no text"}
@@ -111,7 +111,7 @@ def test_the_note_tells_a_shortfall(spark):
 
 
 def test_a_text_in_two_sources_is_used_by_one(spark):
-    df = spark.createDataFrame([(1, "a", "same", 10), (2, "b", "same", 10), (3, "a", "same", 10), (4, "a", "other", 30), (5, "b", "third", 5)], "id long, source string, text string, tokens long")
+    df = spark.createDataFrame([(1, "a", "same", 10), (2, "b", "same", 10), (3, "a", "same", 10), (4, "a", "other", 30), (5, "b", "third", 5)], "id long, source string, hash string, tokens long")
     got = sorted((r.id, r.source, r.copies) for r in mixing.distinct_texts(df, {"a": (0.5, 1), "b": (0.5, 1)}).collect())
     assert got == [(2, "b", 3), (4, "a", 1), (5, "b", 1)]
 

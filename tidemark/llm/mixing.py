@@ -22,14 +22,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.skew import prefix_sums
 from tidemark.session import durable
 
-#: Listed sources are held by the driver; the list is a configuration, not data.
-MAX_SOURCES = 10_000
+#: Per-source numbers are joined by broadcast up to so many listed sources (about 1 MB), and by key beyond.
+BROADCAST_SOURCES = 10_000
 #: Texts per piece of a source's running sum.
 SHARD_TEXTS = 100_000
 #: Passes that fill the gap below the demand with smaller texts.
@@ -54,24 +54,22 @@ class Share:
     rest: int
 
 
-def _by_source(shares: list[Share], value, kind: str) -> Column:
-    """A column that is ``value(share)`` for rows of the share's source."""
-    pairs = [x for s in shares for x in (F.lit(s.source), F.lit(value(s)).cast(kind))]
-    return F.try_element_at(F.create_map(*pairs), F.col("source")) if pairs else F.lit(None).cast(kind)
+def _with_numbers(df: DataFrame, rows: list[tuple], names: str) -> DataFrame:
+    """``df`` with numbers of its rows' sources: ``rows`` of (source, numbers...), ``names`` the columns' types; rows of other sources are dropped."""
+    numbers = df.sparkSession.createDataFrame(rows, f"source string, {names}")
+    return df.join(F.broadcast(numbers) if len(rows) <= BROADCAST_SOURCES else numbers, "source")
 
 
 def distinct_texts(docs: DataFrame, targets: dict[str, tuple[float, int]]) -> DataFrame:
     """id, source, tokens, copies: one row per distinct text of the listed sources, at the source that has least text.
 
-    ``docs``: id, source, text, tokens.
+    ``docs``: id, source, hash (of the text), tokens.
     """
-    usable = docs.filter("tokens > 0 and id is not null").filter(F.col("source").isin(list(targets)))
-    held = usable.select("id", "source", "tokens", F.sha2("text", 256).alias("_text"))
+    held = _with_numbers(docs.filter("tokens > 0 and id is not null").select("id", "source", "hash", "tokens"), [(s, 0) for s in targets], "listed int").drop("listed")
     supply = held.groupBy("source").agg(F.sum("tokens").alias("n")).collect()  # a row per listed source
-    rank = F.lit(len(targets))
-    for i, r in enumerate(sorted(supply, key=lambda r: (r["n"], r["source"]))):
-        rank = F.when(F.col("source") == r["source"], F.lit(i)).otherwise(rank)
-    first = held.groupBy("_text").agg(F.min(F.struct(rank.alias("rank"), "id", "source", "tokens")).alias("t"), F.count("*").alias("copies"))
+    ranks = [(r["source"], i) for i, r in enumerate(sorted(supply, key=lambda r: (r["n"], r["source"])))]
+    ranked = _with_numbers(held, ranks, "rank int")
+    first = ranked.groupBy("hash").agg(F.min(F.struct("rank", "id", "source", "tokens")).alias("t"), F.count("*").alias("copies"))
     return first.select("t.id", "t.source", "t.tokens", "copies")
 
 
@@ -111,23 +109,21 @@ def _pieces(texts: int) -> int:
 def _partial_pass(texts: DataFrame, shares: list[Share], seed: int) -> DataFrame:
     """The texts of each source's last pass: a random prefix within the demand, then smaller texts into the gap."""
     u = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)).alias("u")
-    open_ = [s for s in shares if s.rest > 0]
-    pool = texts.filter(F.col("source").isin([s.source for s in open_]))
-    gap = {s.source: s.rest for s in open_}
-    chosen = None
+    pieces = {s.source: _pieces(s.texts) for s in shares}
+    gap = {s.source: s.rest for s in shares if s.rest > 0}
+    pool, chosen = texts, None
     for k in range(FILL_PASSES):
-        left = [s for s in open_ if gap[s.source] > 0]
+        left = [(s, n, pieces[s]) for s, n in gap.items() if n > 0]
         if not left:
             break
-        room = _by_source(left, lambda s: gap[s.source], "long")
-        fits = pool.filter(F.col("tokens") <= room).select("id", "source", "tokens", u).withColumn("_piece", F.floor(F.col("u") * _by_source(open_, lambda s: _pieces(s.texts), "int")))
+        fits = _with_numbers(pool.select("id", "source", "tokens", u), left, "room bigint, pieces int").filter("tokens <= room").withColumn("_piece", F.floor(F.col("u") * F.col("pieces")))
         sums = prefix_sums(fits, ["source"], ["u", "id"], "tokens", "upto", "_piece")
-        took = durable(sums.filter(F.col("upto") <= room).select("id", "source", "tokens"))
+        took = durable(sums.filter("upto <= room").select("id", "source", "tokens"))
         for r in took.groupBy("source").agg(F.sum("tokens").alias("n")).collect():  # a row per listed source
             gap[r["source"]] -= r["n"]
         chosen = took if chosen is None else chosen.unionByName(took)
         if k + 1 < FILL_PASSES:
-            pool = durable(pool.join(took.select("id"), "id", "left_anti"))
+            pool = durable(pool.select("id", "source", "tokens").join(took.select("id"), "id", "left_anti"))
     return chosen if chosen is not None else texts.limit(0).select("id", "source", "tokens")
 
 
@@ -140,26 +136,26 @@ class Mixture:
 
 
 def mix_sources(docs: DataFrame, targets: dict[str, tuple[float, int]], tilt: float = 0.6, total: int | None = None, seed: int = 7) -> Mixture:
-    """Place texts of ``docs`` (id, source, text, tokens) so that sources meet ``targets`` (share, most repeats)."""
-    if len(targets) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} listed sources")
+    """Place texts of ``docs`` (id, source, hash, tokens) so that sources meet ``targets`` (share, most repeats).
+
+    Texts are known by their hash, so no text is kept, moved or written. The driver holds a few
+    numbers per listed source: the list is a configuration.
+    """
     texts = durable(distinct_texts(docs, targets))
     found = texts.groupBy("source").agg(F.sum("tokens").alias("n"), F.count("*").alias("c"), F.avg("tokens").alias("m")).collect()  # a row per listed source
     shares = plan_shares({r["source"]: (r["n"], r["c"], r["m"]) for r in found}, targets, tilt, total)
-    passes = _by_source(shares, lambda s: s.passes, "int")
-    whole = texts.filter(passes > 0).select("id", "source", "tokens", F.explode(F.sequence(F.lit(1), passes)).alias("copy"))
-    last = _partial_pass(texts, shares, seed).select("id", "source", "tokens", (passes + 1).alias("copy"))
-    used = whole.unionByName(last)
+    planned = _with_numbers(texts, [(s.source, s.passes, _pieces(s.texts)) for s in shares], "passes int, pieces int")
+    whole = planned.filter("passes > 0").select("id", "source", "tokens", F.explode(F.sequence(F.lit(1), F.col("passes"))).alias("copy"), "pieces")
+    last = _with_numbers(_partial_pass(texts, shares, seed), [(s.source, s.passes + 1, _pieces(s.texts)) for s in shares], "copy int, pieces int").select("id", "source", "tokens", "copy", "pieces")
     u = F.pmod(F.xxhash64("id", "copy", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    pieces = _by_source(shares, lambda s: _pieces(s.texts), "int")
-    used = used.withColumn("u", u).withColumn("_piece", F.col("copy") * pieces + F.floor(F.col("u") * pieces))
+    used = whole.unionByName(last).withColumn("u", u).withColumn("_piece", F.col("copy") * F.col("pieces") + F.floor(F.col("u") * F.col("pieces")))
     used = durable(prefix_sums(used, ["source"], ["copy", "u", "id"], "tokens", "upto", "_piece"))
     sums = {r["source"]: r["n"] for r in used.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}  # a row per listed source
-    share = (F.col("upto") - F.col("tokens") / 2) / _by_source(shares, lambda s: float(max(sums.get(s.source, 1), 1)), "double")
-    a = _by_source(shares, lambda s: s.slope, "double")
+    placed = _with_numbers(used, [(s.source, float(max(sums.get(s.source, 1), 1)), s.slope) for s in shares], "total double, a double")
+    share, a = (F.col("upto") - F.col("tokens") / 2) / F.col("total"), F.col("a")
     # The inverse of D(t) = (1 + a) t - a t^2, in a form that holds for a = 0.
     position = 2 * share / ((1 + a) + F.sqrt((1 + a) * (1 + a) - 4 * a * share))
-    return Mixture(shares, used.select(position.alias("position"), "source", "id", "copy", "tokens"))
+    return Mixture(shares, placed.select(position.alias("position"), "source", "id", "copy", "tokens"))
 
 
 def share_report(mixture: Mixture) -> DataFrame:

@@ -97,11 +97,14 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_report(packed_documents(spark, sf_dir))
 
 
+# 9. Mixture
+
+
 def mixture(spark: SparkSession, sf_dir: str) -> mixing.Mixture:
-    targets = {r["source"]: (r["target_share"], r["max_repeats"]) for r in table(spark, sf_dir, "mix_targets").limit(mixing.MAX_SOURCES + 1).collect()}
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "text").filter(F.col("source").isin(list(targets)))
-    sized = durable(with_token_counts(docs, "text"))
-    return mixing.mix_sources(sized, targets)
+    targets = {r["source"]: (r["target_share"], r["max_repeats"]) for r in table(spark, sf_dir, "mix_targets").filter("source is not null").collect()}  # a fixed table
+    docs = table(spark, sf_dir, "documents").join(F.broadcast(table(spark, sf_dir, "mix_targets").select("source").distinct()), "source", "left_semi")  # a fixed table
+    sized = with_token_counts(docs.select(F.col("doc_id").alias("id"), "source", "text", F.sha2("text", 256).alias("hash")), "text").select("id", "source", "hash", "tokens")
+    return mixing.mix_sources(durable(sized), targets)
 
 
 @REGISTRY.query("p9_mix")
@@ -146,6 +149,6 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("p10_quantiles")
 def p10_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantiles of every statistic per language, and over all ('*')."""
-    stats = quality.with_statistics(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").drop("text")
+    stats = quality.text_statistics(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
     ranks = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
     return quality.quantiles(quality.merged(quality.language_sketches(stats), "lang"), ranks).withColumn("ranks", F.array(*[F.lit(r) for r in ranks]))
