@@ -1,4 +1,4 @@
-"""How much of a text is running sentences."""
+"""How much of a text is running sentences, and simple counts of its words, symbols and lines."""
 
 from __future__ import annotations
 
@@ -22,6 +22,7 @@ WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _TAG = re.compile(r"<[^<>]*>")
 _BULLET = re.compile(r"^(?:[-*•·–—▪◦‣]|\(?\d{1,3}[.)]|[a-zA-Z][.)])\s+")
 _QUOTE = re.compile(r"^(?:>\s*)+|^(?:Q|A|P|R):\s+")
+_END = re.compile(r"[.!?…:][\"'”’»)\]]*$")
 _STOP = re.compile(r"[.!?…][\"'”’»)\]]*$")
 
 #: A line of running sentences has at least this share of common words, and of letters and blanks.
@@ -88,3 +89,25 @@ def prose_share(text: str) -> float:
     lines = [x for x in lines_of(text) if x]
     inside, total = prose_chars(lines, [words_of(x) for x in lines])
     return inside / total if total else 0.0
+
+
+STATISTICS = ("words", "mean_word_length", "symbol_ratio", "digit_ratio", "lines", "ended_line_share", "common_word_share", "short_line_share", "longest_word")
+
+
+def statistics(text: str) -> list[float]:
+    """The values of STATISTICS; a text without words or lines has zeros."""
+    words, lines = words_of(text), [x for x in lines_of(text) if x]
+    lengths = list(map(len, words))
+    letters, n, m = sum(lengths), len(words), len(lines)
+    solid, digits = sum(map(len, text.split())), sum(map(text.count, "0123456789"))
+    return [
+        float(n),
+        letters / n if n else 0.0,
+        max(solid - letters - digits, 0) / solid if solid else 0.0,
+        digits / solid if solid else 0.0,
+        float(m),
+        sum(1 for x in lines if _END.search(x)) / m if m else 0.0,
+        sum(map(_is_common, words)) / n if n else 0.0,
+        sum(1 for x in lines if len(x) < 40) / m if m else 0.0,
+        float(max(lengths, default=0)),
+    ]

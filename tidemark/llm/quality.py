@@ -1,19 +1,20 @@
 """Per-document text statistics, and how unusual each is in the document's language.
 
-Statistics are built-in expressions over whole texts. Per language and statistic a mergeable
-quantile sketch is built map-side, apart for texts that read as language (a share of common
-words) and for others; merged, they are the distributions of all texts. Median and quartiles of
-the former turn values into robust z-scores, so that junk, however common, does not widen them.
-Sketches have a fixed size, so only languages x statistics of them are moved.
+Statistics come from one pass over whole texts in Arrow batches. Per language and statistic a
+mergeable quantile sketch is built map-side, apart for texts that read as language (a share of
+common words) and for others; merged, they are the distributions of all texts. Median and
+quartiles of the former turn values into robust z-scores, so that junk, however common, does not
+widen them. Sketches have a fixed size, so only languages x statistics of them are moved.
 
 The tails decide: a text with words but far too few common ones is junk; a text whose statistics
 all lie inside the tails, and within BOUNDS that hold whatever the sketches say, is prose. Only
-the texts left open are classified line by line, in Arrow batches over whole texts.
+texts left open are classified line by line: those outside the bounds, which no tail can call
+prose, while their statistics are taken, and those that only the sketches leave open afterwards.
 
 Defined results: null and empty texts have no word, zeros for all statistics, and take no part in
 the sketches; an unknown language is 'und'; a language of fewer than ``least`` reading texts is
 compared with all reading texts, and if these are fewer than that too, no tail decides; a spread
-of zero counts as that of SPREAD_FLOOR.
+of zero counts as that of SPREAD_FLOOR; ids are unique.
 """
 
 from __future__ import annotations
@@ -22,10 +23,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.prose import COMMON_SHARE, COMMON_WORDS, prose_share
+from tidemark.llm.prose import COMMON_SHARE, STATISTICS, prose_share, statistics
 from tidemark.session import durable
 
-STATISTICS = ("words", "mean_word_length", "symbol_ratio", "digit_ratio", "lines", "ended_line_share", "common_word_share", "short_line_share", "longest_word")
 #: The least spread by which a statistic's deviations are scaled.
 SPREAD_FLOOR = {
     "words": 20.0, "mean_word_length": 0.3, "symbol_ratio": 0.01, "digit_ratio": 0.02, "lines": 2.0, "ended_line_share": 0.05, "common_word_share": 0.03,
@@ -44,26 +44,26 @@ BROADCAST_LANGUAGES = 5000
 ALL = "*"
 
 
-def with_statistics(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
-    """id, lang, text and the STATISTICS of each document's whole text."""
+def always_open(values: list[float]) -> bool:
+    """Whether a text with these STATISTICS is left open whatever the sketches say."""
+    known = dict(zip(STATISTICS, values, strict=True))
+    return known["words"] > 0 and known["common_word_share"] >= NO_LANGUAGE and any(not low <= known[s] <= high for s, (low, high) in BOUNDS.items())
+
+
+def text_statistics(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
+    """id, lang, the STATISTICS of each document's whole text, and prose_share where the text is open whatever the sketches say."""
+
+    @F.pandas_udf("array<double>")
+    def measure(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            values = statistics(t)
+            out.append([*values, prose_share(t) if always_open(values) else None])
+        return pd.Series(out, dtype=object)
+
     language = F.coalesce(F.nullif(F.lower(F.trim(F.col(lang))), F.lit("")), F.lit("und"))
-    rows = docs.select(F.col(doc_id).alias("id"), language.alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    lines = F.filter(F.transform(F.split("text", r"\R"), lambda x: F.btrim(x, F.lit("﻿ \t "))), lambda x: x != "")
-    rows = rows.withColumns({"_words": F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+(?:['’]\p{L}+)*"), F.lit(0)), "_lines": lines})
-    share = lambda n, of: F.when(of > 0, n / of).otherwise(0.0)
-    rows = rows.withColumns({
-        "_n": F.size("_words").cast("double"), "_letters": F.length(F.array_join("_words", "")), "_m": F.size("_lines").cast("double"),
-        "_solid": F.length(F.regexp_replace("text", r"\s+", "")), "_digits": F.length("text") - F.length(F.translate("text", "0123456789", "")),
-        "_common": F.size(F.filter("_words", lambda w: w.isin(*sorted(COMMON_WORDS)))),
-        "_ended": F.size(F.filter("_lines", lambda x: x.rlike(r"[.!?…:][\"'”’»)\]]*$"))), "_short": F.size(F.filter("_lines", lambda x: F.length(x) < 40)),
-        "_longest": F.coalesce(F.array_max(F.transform("_words", lambda w: F.length(w))), F.lit(0)).cast("double"),
-    })
-    c = F.col
-    return rows.select(
-        "id", "lang", "text", c("_n").alias("words"), share(c("_letters"), c("_n")).alias("mean_word_length"),
-        share(F.greatest(c("_solid") - c("_letters") - c("_digits"), F.lit(0)), c("_solid")).alias("symbol_ratio"), share(c("_digits"), c("_solid")).alias("digit_ratio"), c("_m").alias("lines"),
-        share(c("_ended"), c("_m")).alias("ended_line_share"), share(c("_common"), c("_n")).alias("common_word_share"), share(c("_short"), c("_m")).alias("short_line_share"), c("_longest").alias("longest_word"),
-    )
+    measured = docs.select(F.col(doc_id).alias("id"), language.alias("lang"), measure(F.coalesce(F.col(text), F.lit(""))).alias("_s"))
+    return measured.select("id", "lang", *[F.element_at("_s", i + 1).alias(s) for i, s in enumerate([*STATISTICS, "prose_share"])])
 
 
 def language_sketches(stats: DataFrame) -> DataFrame:
@@ -131,18 +131,19 @@ def quality(docs: DataFrame, doc_id: str, text: str, lang: str, tail: float = 3.
     sentences, is measured where the tails leave a text open, and null elsewhere. ``not_prose``
     marks documents that hold no word at all, or of which more than half is not running sentences.
     """
-    levels = durable(levels_of(language_sketches(with_statistics(docs, doc_id, text, lang).drop("text"))))
-    # Statistics are measured again rather than kept with their texts: no text is moved or written.
-    said = scored(with_statistics(docs, doc_id, text, lang), levels, least).withColumn("_said", verdict_by_tails())
+    stats = durable(text_statistics(docs, doc_id, text, lang))  # numbers only: no text is moved or written
+    levels = durable(levels_of(language_sketches(stats)))
+    said = scored(stats, levels, least).withColumn("_said", verdict_by_tails())
 
     @F.pandas_udf("double")
     def lines(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else prose_share(t) for t in texts], dtype=float)
+        return pd.Series([prose_share(t) for t in texts], dtype=float)
 
-    checked = said.withColumn("_open", F.when(F.col("_said").isNull(), F.col("text"))).withColumn("prose_share", lines("_open"))
+    left = said.filter("_said is null and prose_share is null").select(F.col("id").alias("_id")).distinct()
+    looked = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(left, "_id", "left_semi").select("_id", lines("_text").alias("_share"))
+    checked = said.join(looked, F.col("id") == F.col("_id"), "left").withColumn("prose_share", F.when(F.col("_said").isNull(), F.coalesce("prose_share", "_share")))
     beyond = F.array_compact(F.array(*[F.when(F.abs(f"z_{s}") > tail, F.lit(s)) for s in STATISTICS]))
     return checked.select(
         "id", "lang", *STATISTICS, *[f"z_{s}" for s in STATISTICS], F.when(F.col("words") > 0, beyond).otherwise(F.array(F.lit("words"))).alias("tails"),
-        F.when(F.col("_said").isNull(), "lines").otherwise("tails").alias("decided_by"), F.when(~F.isnan("prose_share"), F.col("prose_share")).alias("prose_share"),
-        F.coalesce(F.col("_said") == "junk", F.col("prose_share") < 0.5).alias("not_prose"),
+        F.when(F.col("_said").isNull(), "lines").otherwise("tails").alias("decided_by"), "prose_share", F.coalesce(F.col("_said") == "junk", F.col("prose_share") < 0.5).alias("not_prose"),
     )
