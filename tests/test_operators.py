@@ -221,7 +221,7 @@ def test_kappa_by_hand(spark):
 
 def test_holm_and_gap(spark):
     df = spark.createDataFrame([(1, "f", 0.01), (2, "f", 0.04), (3, "f", 0.03), (4, "f", None)], "k int, f string, p double")
-    assert {r.k: r.p_holm for r in stats.holm(df, ["f"], "p", "k").collect()} == {1: pytest.approx(0.03), 2: pytest.approx(0.06), 3: pytest.approx(0.06), 4: None}
+    assert {r.k: r.p_holm for r in stats.holm(df, ["f"], "p").collect()} == {1: pytest.approx(0.03), 2: pytest.approx(0.06), 3: pytest.approx(0.06), 4: None}
     g = spark.createDataFrame([(5.0, 4.0, 6.0), (6.0, 6.0, 6.0), (None, 1.0, 2.0)], "p double, f double, y double")
     assert [r[0] for r in g.select(stats.gap_closed("p", "f", "y")).collect()] == [0.5, None, None]
 
@@ -248,8 +248,6 @@ def test_hot_corner(spark):
     assert max(z, key=z.get) == 9 and z[63] < 0
     quadrant = {r.k: r.quadrant for r in spatial.local_moran(cells, edges, "k", "v").collect()}
     assert quadrant[9] == "HH" and quadrant[63] == "LL"
-    p = {r.k: r.p for r in spatial.permutation_p(cells, edges, "k", "v").collect()}
-    assert p[9] < 0.01
 
 
 def test_ridge_against_numpy(spark):

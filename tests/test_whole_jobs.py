@@ -76,10 +76,27 @@ def test_each_rung_is_tested_against_the_first_and_the_one_below(spark, sf_small
 
 
 def test_permutations_draw_from_the_whole_map(spark):
-    """p is that of draws from all of 30,000 values, in the order of the cells' hashes."""
-    v = spark.range(30_000).select(F.col("id").alias("k"), (F.col("id") * 1.0).alias("v"))
-    edges = spark.createDataFrame([(1, 25_000)], "src long, dst long")
-    p = spatial.permutation_p(v, edges, "k", "v").first()["p"]
+    """p and z are those of draws from all of 3,000 values but the cell's own, in the order of the cells' hashes."""
+    v = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 1.0).alias("v"))
+    edges = spark.createDataFrame([(1, 2500), (1, 2600), (7, 2)], "src long, dst long")
+    got = {r.k: r for r in spatial.permutation_test(v, edges, "k", "v", rounds=999).collect()}
     order = np.array([r[0] for r in v.orderBy(F.xxhash64("k", F.lit(4109)), "k").select("v").collect()])
-    draws = order[np.random.default_rng(4110).choice(30_000, size=(999, 1))].mean(axis=1)
-    assert p == min(1.0, 2 * (min((draws >= 25_000).sum(), (draws <= 25_000).sum()) + 1) / 1000)
+    _, draws = spatial._draws(v, [1, 2], 999, 4109)
+    ranks, values = draws[2]
+    assert (order[ranks] == values).all() and all(len(set(r)) == 3 for r in ranks)
+    means = np.where((values[:, :2] == 1.0).any(axis=1), np.where(values[:, :2] == 1.0, values[:, 2:], values[:, :2]).mean(axis=1), values[:, :2].mean(axis=1))
+    assert got[1].p == min(1.0, 2 * (min((means >= 2550).sum(), (means <= 2550).sum()) + 1) / 1000)
+    assert abs(got[1].z - (2550 - means.mean()) / means.std()) < 1e-9 and set(got) == {1, 7} and got[7].z < -1.5
+
+
+def test_planted_cluster_is_hot_and_islands_are_tied(spark):
+    rows = [(8 * r + c, r, c, (10.0 if r < 3 and c < 3 else 1.0) + 0.01 * ((r * 5 + c * 3) % 7)) for r in range(8) for c in range(8)] + [(99, 20, 20, 1.0)]
+    df = spark.createDataFrame(rows, "k int, r int, c int, v double")
+    edges, islands = spatial.attach_islands(spatial.grid_edges(df, "k", "r", "c"), df, "k", "c", "r", 1.5)
+    assert [r.k for r in islands.collect()] == [99]
+    assert {(r.src, r.dst) for r in edges.collect() if 99 in (r.src, r.dst)} == {(99, 63), (63, 99)}
+    kinds = {r.k: r["class"] for r in spatial.hot_spots(df, edges, "k", "v", rounds=999).collect()}
+    assert len(kinds) == 65 and all(kinds[8 * r + c] == "Hot spot 99%" for r in range(2) for c in range(2)) and kinds[62] == "Not significant"
+    lisa = {r.k: r["class"] for r in spatial.local_clusters(df, edges, "k", "v", rounds=999).collect()}
+    assert lisa[0] == lisa[9] == "High-High" and lisa[62] == "Not significant"
+    assert spatial.clusters(df.limit(2), edges, "k", "v", "level", 99).collect() == []

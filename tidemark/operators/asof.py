@@ -77,3 +77,20 @@ def asof_join(
     matched = merged.withColumn("_m", F.last("_v", ignorenulls=True).over(merge)).filter("_kind = 1")
     found = F.when(usable, F.struct(F.col("_m.valid_from").alias("valid_from"), F.col("_m._v.order").alias("order"), *[F.col(f"_m._v.{c}").alias(c) for c in carry]))
     return matched.select("_event.*", F.when(F.col("_m").isNotNull(), found).alias(out))
+
+
+def range_join(left: DataFrame, right: DataFrame, keys: list[str], low: Column, high: Column, at: str, bucket_days: int = 7) -> DataFrame:
+    """Rows of ``left`` with the rows of ``right`` of the same keys whose date ``at`` is between ``low`` and ``high``, dates of ``left``.
+
+    Both sides meet in buckets of days, a row of ``left`` in each that its range touches, so the
+    join is by equal keys and buckets and no key's rows meet as a whole. Null keys and dates match
+    nothing. The columns of ``left`` come first, then those of ``right`` that are no keys.
+    """
+    bucket = lambda d: F.floor(F.unix_date(d) / bucket_days).cast("int")
+    asked = left.withColumns({"_low": low, "_high": high}).filter("_low <= _high")
+    asked = asked.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_low")), bucket(F.col("_high")))))
+    held = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys], bucket(F.col(at)).alias("_b"))
+    on = (F.col("_bucket") == F.col("_b")) & F.col(at).between(F.col("_low"), F.col("_high"))
+    for k in keys:
+        on = (F.col(k) == F.col(f"_r_{k}")) & on
+    return asked.join(held, on).select(*[F.col(c) for c in left.columns], *[c for c in right.columns if c not in keys])

@@ -14,43 +14,68 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ridge_fit(df: DataFrame, by: list[str], features: list[str], target: str, ridge: float = 1.0, free: tuple[str, ...] = ()) -> DataFrame:
-    """by, n, beta (intercept first): standardised ridge, penalty on the sum-of-squares scale.
+def ridge_sums(df: DataFrame, by: list[str], features: list[str], target: str) -> DataFrame:
+    """by, n and the sums of rows and of their products that a ridge needs, in named columns, so that they add up over groups.
 
-    The intercept and ``free`` features are not penalised; deviations are population ones, and a
-    constant feature counts as deviation one. ``beta`` is on the features' own scale. Rows with a
-    null feature or target are left out.
+    Rows with a null feature or target are left out.
     """
     rows = df.select(*by, *[F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)], F.col(target).cast("double").alias("_y"))
-    names = [f"_x{i}" for i in range(len(features))]
-    for n in [*names, "_y"]:
+    names = [*[f"_x{i}" for i in range(len(features))], "_y"]
+    for n in names:
         rows = rows.filter(F.col(n).isNotNull())
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    sums = rows.groupBy(*by).agg(
-        F.count("*").alias("n"), F.array(*[F.sum(c) for c in [*names, "_y"]]).alias("s"), F.array(*[F.sum(F.col(a) * F.col(b)) for a, b in pairs]).alias("xx"), F.array(*[F.sum(F.col(a) * F.col("_y")) for a in names]).alias("xy")
-    )
+    sums = [F.sum(a).alias(f"s{a}") for a in names] + [F.sum(F.col(a) * F.col(b)).alias(f"p{a}{b}") for i, a in enumerate(names) for b in names[i:]]
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), *sums)
+
+
+def running_sums(sums: DataFrame, time: str, days: int, dates: list) -> DataFrame:
+    """origin and the added sums of all rows of ``sums`` whose ``time`` is at least ``days`` before it; ``dates`` is a calendar, as the rows are."""
+    values = [c for c in sums.columns if c not in (time,)]
+    origins = F.array(*[F.lit(d).cast("date") for d in dates])
+    seen = sums.withColumn("origin", F.explode(F.filter(origins, lambda o: F.col(time) <= F.date_sub(o, days))))
+    return seen.groupBy("origin").agg(*[F.sum(c).alias(c) for c in values])
+
+
+def other_sums(sums: DataFrame, group: str) -> DataFrame:
+    """For each group the sums of all other groups: the total less its own."""
+    values = [c for c in sums.columns if c != group]
+    total = sums.agg(*[F.sum(c).alias(f"_t_{c}") for c in values])
+    return sums.withColumn("_one", F.lit(1)).join(F.broadcast(total.withColumn("_1", F.lit(1))), F.col("_one") == F.col("_1")).select(group, *[(F.col(f"_t_{c}") - F.col(c)).alias(c) for c in values])  # one row
+
+
+def ridge_solve(sums: DataFrame, by: list[str], features: list[str], ridge: float = 1.0, free: tuple[str, ...] = ()) -> DataFrame:
+    """by, n, beta (intercept first) of the sums: standardised ridge, penalty on the sum-of-squares scale.
+
+    The intercept and ``free`` features are not penalised; deviations are population ones, and a
+    constant feature counts as deviation one. ``beta`` is on the features' own scale.
+    """
+    names = [*[f"_x{i}" for i in range(len(features))], "_y"]
     k = len(features)
-    upper = np.triu_indices(k)
+    upper = np.triu_indices(k + 1)
     penalty = np.array([0.0 if f in free else ridge for f in features])
 
     @F.pandas_udf("array<double>")
-    def solve(n: pd.Series, s: pd.Series, xx: pd.Series, xy: pd.Series) -> pd.Series:
+    def solve(n: pd.Series, s: pd.Series, p: pd.Series) -> pd.Series:
         out = []
-        for m, t, p, q in zip(n, s, xx, xy, strict=True):
-            t, q = np.asarray(t), np.asarray(q)
-            mean = t / m
-            full = np.zeros((k, k))
-            full[upper] = p
+        for m, t, q in zip(n, s, p, strict=True):
+            mean = np.asarray(t) / m
+            full = np.zeros((k + 1, k + 1))
+            full[upper] = q
             full = full + np.triu(full, 1).T
-            cov = full - m * np.outer(mean[:k], mean[:k])
-            sd = np.sqrt(np.maximum(np.diag(cov) / m, 0))
+            cov = full - m * np.outer(mean, mean)
+            sd = np.sqrt(np.maximum(np.diag(cov)[:k] / m, 0))
             sd[sd < 1e-12] = 1.0
-            a = cov / np.outer(sd, sd) + np.diag(penalty + 1e-8)
-            b = np.linalg.solve(a, (q - m * mean[:k] * mean[k]) / sd) / sd
+            a = cov[:k, :k] / np.outer(sd, sd) + np.diag(penalty + 1e-8)
+            b = np.linalg.solve(a, cov[:k, k] / sd) / sd
             out.append(np.r_[mean[k] - b @ mean[:k], b])
         return pd.Series(out, dtype=object)
 
-    return sums.select(*by, "n", solve("n", "s", "xx", "xy").alias("beta"))
+    products = F.array(*[F.col(f"p{a}{b}") for i, a in enumerate(names) for b in names[i:]])
+    return sums.filter("n > 0").select(*by, "n", solve("n", F.array(*[f"s{a}" for a in names]), products).alias("beta"))
+
+
+def ridge_fit(df: DataFrame, by: list[str], features: list[str], target: str, ridge: float = 1.0, free: tuple[str, ...] = ()) -> DataFrame:
+    """by, n, beta (intercept first): a ridge per group, from sums that are combined map-side; see :func:`ridge_solve`."""
+    return ridge_solve(ridge_sums(df, by, features, target), by, features, ridge, free)
 
 
 def linear(beta: str | Column, features: list[str]) -> Column:

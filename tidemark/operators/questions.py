@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import injection_mark, squeeze
+from tidemark.operators.stats import quantiles
 
 # Words that name a signal, a direction or a measure.
 SIGNALS = {"ed_covid": ("covid", "coronavirus"), "ed_flu": ("flu", "influenza"), "ed_rsv": ("rsv",)}
@@ -148,7 +149,10 @@ def top_places(q: Question, answered: DataFrame) -> DataFrame:
 
 def counts(answered: DataFrame) -> DataFrame:
     """One row: places, how many rose and fell, median value and change."""
-    return answered.agg(F.count("*").alias("places"), F.count_if(F.col("change") > 0).alias("rose"), F.count_if(F.col("change") < 0).alias("fell"), F.median("value").alias("median_value"), F.median("change").alias("median_change"))
+    whole = answered.agg(F.count("*").alias("places"), F.count_if(F.col("change") > 0).alias("rose"), F.count_if(F.col("change") < 0).alias("fell")).withColumn("_all", F.lit(1))
+    for c in ("value", "change"):
+        whole = whole.join(quantiles(answered.withColumn("_all", F.lit(1)), ["_all"], c, {f"median_{c}": 0.5}), "_all", "left")
+    return whole.drop("_all")
 
 
 def sentences(q: Question, top: list, total) -> list[str]:

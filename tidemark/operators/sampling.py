@@ -76,3 +76,29 @@ def shuffles_within(df: DataFrame, group: str, slot: str, value: str, seeds: lis
     drawn = [F.transform(F.array_sort(F.transform("_rows", lambda x, k=k: F.struct(hash_order(F.concat_ws("|", F.col(group).cast("string"), x["s"].cast("string")), k).alias("h"), x["r"][value].alias("v")))), lambda y: y["v"]) for k in seeds]
     made = g.select("_rows", *[d.alias(f"_d{k}") for k, d in zip(seeds, drawn, strict=True)]).select(F.posexplode("_rows").alias("_i", "_x"), *[f"_d{k}" for k in seeds])
     return made.select("_x.r.*", F.array(F.col(f"_x.r.{value}"), *[F.get(f"_d{k}", F.col("_i")) for k in seeds]).alias("values"))
+
+
+def place_synthetic(weeks: DataFrame, group: str, time: str, value: str, real: str, precision: float | Column, scale: float | Column, seed: int | Column, run: str | None = None, top_share: float = 0.1) -> DataFrame:
+    """``weeks`` with ``placed``: 'rise', 'other' or null, where synthetic signals of a known worth go.
+
+    Per group there are ``scale`` times as many as weeks with ``real`` > 0, one at least and at
+    most all; a share of ``precision`` of them lies in weeks drawn from the greatest rises of the
+    logarithm of ``value`` (their top share, or more if that is too few), the others in other
+    weeks. Draws follow hashes of group, week and seed. ``run`` names a column of runs, each with
+    settings of its own. Groups are weeks of a place: bounded.
+    """
+    by = [group] if run is None else [group, run]
+    precision, scale, seed = (x if isinstance(x, Column) else F.lit(x) for x in (precision, scale, seed))
+    line, whole = Window.partitionBy(*by).orderBy(time), Window.partitionBy(*by)
+    drawn_by = lambda k: F.md5(F.concat_ws("|", F.col(group).cast("string"), F.col(time).cast("string"), (seed + k).cast("string")))
+    rows = weeks.withColumn("_log", F.when(F.col(value) > 0, F.ln(value))).withColumn("_rise", F.col("_log") - F.lag("_log").over(line))
+    rows = rows.withColumns({"_real": F.sum(F.when(F.col(real) > 0, 1).otherwise(0)).over(whole), "_weeks": F.count("*").over(whole), "_rises": F.count("_rise").over(whole)})
+    k = F.least(F.greatest(F.round(F.col("_real") * scale).cast("long"), F.lit(1)), "_weeks")
+    rows = rows.withColumn("_k", k).withColumn("_hits", F.least(F.round(F.col("_k") * precision).cast("long"), "_rises"))
+    rank = F.when(F.col("_rise").isNotNull(), F.row_number().over(whole.orderBy(F.col("_rise").desc_nulls_last(), time)))
+    rows = rows.withColumn("_pool", F.coalesce(rank <= F.greatest(F.col("_hits"), F.ceil(F.col("_rises") * top_share)), F.lit(False)))
+    drawn = F.row_number().over(Window.partitionBy(*by, "_pool").orderBy(drawn_by(0)))
+    rows = rows.withColumn("_hit", F.col("_pool") & (drawn <= F.col("_hits")))
+    other = F.row_number().over(Window.partitionBy(*by, "_hit").orderBy(drawn_by(1)))
+    placed = F.when(F.col("_hit"), "rise").when(other <= F.col("_k") - F.col("_hits"), "other")
+    return rows.withColumn("placed", placed).select(*weeks.columns, "placed")

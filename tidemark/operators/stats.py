@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ def gap_closed(pred: str | Column, first: str | Column, final: str | Column) ->
 
 
 def metrics(pred: str = "pred", final: str = "final", first: str = "first") -> list[Column]:
-    """n, mae, rmse, r2, gap_total, gap_median as aggregate expressions."""
+    """n, mae, rmse, r2, gap_total as aggregate expressions."""
     e, y = _c(pred) - _c(final), _c(final)
     n, var = F.count(e), F.sum(F.when(e.isNotNull(), y * y)) - F.count(e) * F.avg(F.when(e.isNotNull(), y)) ** 2
     gap = F.abs(_c(first) - y)
@@ -32,7 +34,6 @@ def metrics(pred: str = "pred", final: str = "final", first: str = "first") -> l
         F.sqrt(F.avg(e * e)).alias("rmse"),
         (1 - F.sum(e * e) / F.when(var > 1e-12, var)).alias("r2"),
         (1 - F.sum(F.when(closes, F.abs(e))) / F.sum(F.when(closes & e.isNotNull(), gap))).alias("gap_total"),
-        F.median(gap_closed(pred, first, final)).alias("gap_median"),
     ]
 
 
@@ -54,26 +55,51 @@ def complete_pairs(df: DataFrame, key: list[str], model: str, models: int) -> Da
     return df.join(whole.select(*key), key, "left_semi")
 
 
-#: Value ranges that the ranks of one group are cut into.
-RANK_PIECES = 32
-
-
-def average_ranks(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
-    """``df`` with average ranks of ``value`` within ``by``, and _ties, the rows that share the value.
+def counted_values(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, value, _ties, _upto: how many rows of a group hold each value, and how many hold it or a lesser one.
 
     Values are counted first, so ties never meet in one task; the running counts of a group are
     cut into ranges of its approximate quantiles and summed in two levels, so no group is sorted
-    as a whole. The cuts decide only how work is divided.
+    as a whole. The cuts decide only how work is divided; there are twice as many as tasks.
     """
     counts = df.groupBy(*by, value).agg(F.count("*").alias("_ties"))
-    steps = F.array(*[F.lit(i / RANK_PIECES) for i in range(1, RANK_PIECES)])
-    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, steps, 500).alias("_cuts"))
-    placed = counts.join(cuts, by).withColumn("_piece", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-    ranks = prefix_sums(placed, by, [value], "_ties", "_upto", "_piece")
-    ranks = ranks.select(*by, value, "_ties", (F.col("_upto") - (F.col("_ties") - 1) / 2).alias(out))
+    pieces = max(8, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    steps = F.lit([i / pieces for i in range(1, pieces)])
+    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, steps, max(500, 4 * pieces)).alias("_cuts"))
+    on = counts
+    for k in by:
+        on = on.withColumnRenamed(k, f"_v_{k}")
+    match = F.lit(True)
+    for k in by:
+        match = match & F.col(k).eqNullSafe(F.col(f"_v_{k}"))
+    placed = on.join(cuts, match).withColumn("_piece", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).select(*by, value, "_ties", "_piece")
+    return prefix_sums(placed, by, [value], "_ties", "_upto", "_piece").select(*by, value, "_ties", "_upto")
+
+
+def average_ranks(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
+    """``df`` with average ranks of ``value`` within ``by``, and _ties, the rows that share the value."""
+    ranks = counted_values(df, by, value).select(*by, value, "_ties", (F.col("_upto") - (F.col("_ties") - 1) / 2).alias(out))
     return df.join(ranks, [*by, value]).select(*df.columns, out, "_ties")
 
 
+def quantiles(df: DataFrame, by: list[str], value: str, ranks: dict[str, float]) -> DataFrame:
+    """by and one column per entry of ``ranks``: exact quantiles with linear interpolation, nulls left out; groups without a value have no row."""
+    known = df.select(*by, F.col(value).cast("double").alias("_x")).filter("_x is not null")
+    counted = counted_values(known, by, "_x")
+    sizes = known.groupBy(*[F.col(k).alias(f"_g_{k}") for k in by]).agg(F.count("*").alias("_n"))
+    match = F.lit(True)
+    for k in by:
+        match = match & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
+    both = counted.join(sizes, match)
+    at = {n: (F.col("_n") - 1) * F.lit(float(p)) for n, p in ranks.items()}
+    found = []
+    for n, place in at.items():
+        low = F.floor(place)
+        found += [F.min(F.when(F.col("_upto") > low, F.col("_x"))).alias(f"_lo_{n}"), F.min(F.when(F.col("_upto") > F.least(low + 1, F.col("_n") - 1), F.col("_x"))).alias(f"_hi_{n}")]
+    per = both.groupBy(*by, "_n").agg(*found)
+    return per.select(*by, *[(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * (place - F.floor(place))).alias(n) for n, place in at.items()])
+
+
 def normal_tail(z: Column) -> Column:
     """The two-sided p of a normal deviate, by the complementary error function's rational approximation (error below 1.5e-7)."""
     x = F.abs(z) / math.sqrt(2)
@@ -82,10 +108,34 @@ def normal_tail(z: Column) -> Column:
     return F.least(F.lit(1.0), poly * F.exp(-x * x))
 
 
+#: Differences up to which the signed-rank test is exact; without ties.
+EXACT_PAIRS = 50
+
+
+def _exact_tails(m: pd.Series, w: pd.Series) -> pd.Series:
+    """Two-sided p of signed-rank sums ``w`` over ``m`` untied differences: counts of the subsets of 1..m by their sum."""
+    known: dict[int, np.ndarray] = {}
+    out = []
+    for size, total in zip(m, w, strict=True):
+        if size is None or total is None or np.isnan(total) or not 0 < size <= EXACT_PAIRS:
+            out.append(None)
+            continue
+        size, total = int(size), int(round(total))
+        if size not in known:
+            ways = np.ones(1)
+            for k in range(1, size + 1):
+                ways = np.pad(ways, (0, k)) + np.pad(ways, (k, 0))
+            known[size] = ways / ways.sum()
+        share = known[size]
+        out.append(float(min(1.0, 2 * min(share[: total + 1].sum(), share[total:].sum()))))
+    return pd.Series(out, dtype=float)
+
+
 def wilcoxon(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """by, n, m, w, z, p of the paired signed-rank test per group (one column at least).
 
-    Zeros are dropped, ties corrected, the normal approximation used; all ties give p = 1.
+    Zeros are dropped. p is exact up to EXACT_PAIRS differences without ties, and from the normal
+    approximation with ties corrected else; z is of the approximation always. All ties give p = 1.
     """
     d = df.select(*by, F.round(F.col(a) - F.col(b), 6).alias("_d")).filter("_d is not null")
     signed = d.filter("_d <> 0").withColumn("_a", F.abs("_d"))
@@ -95,25 +145,44 @@ def wilcoxon(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     var = m * (m + 1) * (2 * m + 1) / 24 - F.col("t") / 48
     z = (F.col("w") - m * (m + 1) / 4) / F.sqrt(F.when(var > 0, var))
     whole = d.groupBy(*by).agg(F.count("*").alias("n"))
-    joined = whole.join(sums, by, "left")
-    return joined.select(*by, "n", F.coalesce("m", F.lit(0)).alias("m"), "w", z.alias("z"), F.coalesce(normal_tail(z), F.lit(1.0)).alias("p"))
+    exact = F.pandas_udf(_exact_tails, "double")
+    joined = whole.join(sums, by, "left").withColumn("_exact", exact(F.when((F.col("t") == 0) & (F.col("m") <= EXACT_PAIRS), F.col("m").cast("double")), F.col("w")))
+    p = F.coalesce(F.when(~F.isnan("_exact"), F.col("_exact")), normal_tail(z), F.lit(1.0))
+    return joined.select(*by, "n", F.coalesce("m", F.lit(0)).alias("m"), "w", z.alias("z"), p.alias("p"))
+
+
+def _distinct_p(df: DataFrame, family: list[str], p: str) -> tuple[DataFrame, list[str]]:
+    """Families as _f0.., _p, how many tests have it (_ties), how many have it or a lesser one (_upto), and the family's tests (_m).
+
+    Equal p have equal adjustments, so windows run over distinct values only.
+    """
+    names = [f"_f{i}" for i in range(len(family))]
+    known = df.filter(F.col(p).isNotNull()).groupBy(*[F.col(f).alias(n) for f, n in zip(family, names, strict=True)], F.col(p).alias("_p")).agg(F.count("*").alias("_ties"))
+    line = Window.partitionBy(*names).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    return known.withColumns({"_upto": F.sum("_ties").over(line), "_m": F.sum("_ties").over(Window.partitionBy(*names))}), names
+
+
+def _adjusted(df: DataFrame, family: list[str], p: str, steps: DataFrame, names: list[str], out: str) -> DataFrame:
+    on = F.col(p) == F.col("_p")
+    for f, n in zip(family, names, strict=True):
+        on = F.col(f).eqNullSafe(F.col(n)) & on
+    return df.join(steps.select(*names, "_p", "_adjusted"), on, "left").select(*df.columns, F.least(F.lit(1.0), "_adjusted").alias(out)).withColumn(out, F.when(F.col(p).isNotNull(), F.col(out)))
 
 
-def holm(df: DataFrame, family: list[str], p: str, order: str) -> DataFrame:
+def holm(df: DataFrame, family: list[str], p: str) -> DataFrame:
     """``df`` with p_holm: step-down adjustment within a family; nulls stay null and do not count."""
-    w = Window.partitionBy(*family, F.col(p).isNull()).orderBy(p, order)
-    m = F.count(p).over(Window.partitionBy(*family, F.col(p).isNull()))
-    ranked = df.withColumn("_step", F.col(p) * (m - F.row_number().over(w) + 1))
-    highest = F.max("_step").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("p_holm", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), highest))).drop("_step")
-
-
-def benjamini_hochberg(df: DataFrame, family: list[str], p: str, order: str) -> DataFrame:
-    """``df`` with p_fdr: step-up adjustment within a family."""
-    w = Window.partitionBy(*family, F.col(p).isNull()).orderBy(p, order)
-    m = F.count(p).over(Window.partitionBy(*family, F.col(p).isNull()))
-    ranked = df.withColumn("_step", F.col(p) * m / F.row_number().over(w))
-    return ranked.withColumn("p_fdr", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("_step").over(w.rowsBetween(0, Window.unboundedFollowing))))).drop("_step")
+    steps, names = _distinct_p(df, family, p)
+    line = Window.partitionBy(*names).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    steps = steps.withColumn("_adjusted", F.max(F.col("_p") * (F.col("_m") - F.col("_upto") + F.col("_ties"))).over(line))
+    return _adjusted(df, family, p, steps, names, "p_holm")
+
+
+def benjamini_hochberg(df: DataFrame, family: list[str], p: str) -> DataFrame:
+    """``df`` with p_fdr: step-up adjustment within a family; nulls stay null and do not count."""
+    steps, names = _distinct_p(df, family, p)
+    line = Window.partitionBy(*names).orderBy("_p").rowsBetween(0, Window.unboundedFollowing)
+    steps = steps.withColumn("_adjusted", F.min(F.col("_p") * F.col("_m") / F.col("_upto")).over(line))
+    return _adjusted(df, family, p, steps, names, "p_fdr")
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:

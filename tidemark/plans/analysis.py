@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import labels
+from tidemark.functions.calendar import harmonics
 from tidemark.operators import dedupe, models, sampling, spatial, stats, votes
 from tidemark.plans.point_in_time import _EXAMPLES, examples, weekly
 from tidemark.plans.registry import Registry
 from tidemark.plans.relational import r6
+from tidemark.session import durable
 from tidemark.sources.tables import table
 
 REGISTRY = Registry()
@@ -222,12 +224,44 @@ def spatial_local_moran(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(spatial.local_moran(c, spatial.grid_edges(c, "k", "row", "col"), "k", "v"), "i")
 
 
-@query("spatial_permutation")
-def spatial_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Permutation test of neighbours' means, with false discovery adjustment over the map."""
+def tied_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Cells, and the links of those that touch, islands tied to the nearest cell."""
+    c = durable(cells(spark, sf_dir))
+    edges, _ = spatial.attach_islands(spatial.grid_edges(c, "k", "row", "col"), c, "k", "col", "row", 1.5)
+    return c, edges
+
+
+@query("spatial_hot_spots")
+def spatial_hot_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hot and cold spots by 9,999 permutations, with the false discovery rate over the map."""
+    c, edges = tied_cells(spark, sf_dir)
+    return spatial.hot_spots(c, edges, "k", "v")
+
+
+@query("spatial_clusters")
+def spatial_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters and outliers by local Moran's I, with 9,999 permutations."""
+    c, edges = tied_cells(spark, sf_dir)
+    return spatial.local_clusters(c, edges, "k", "v")
+
+
+_TIED = _CELLS + """
+    , d as (select a.k as src, b.k as dst, row_number() over (partition by a.k order by sqrt((a.row - b.row) ** 2 + (a.col - b.col) ** 2), b.k) as rn from cell a join cell b on a.k <> b.k where a.k not in (select src from e)),
+    tied as (select src, dst from e union select src, dst from d where rn = 1 union select dst, src from d where rn = 1)"""
+
+
+@query("spatial_islands", _TIED + " select src, dst from tied")
+def spatial_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cells, with those that touch no other tied to the nearest."""
+    return tied_cells(spark, sf_dir)[1]
+
+
+@query("spatial_ring_edges", _CELLS + " select src, dst from e")
+def spatial_ring_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells as square shapes that share a point of their rings."""
     c = cells(spark, sf_dir)
-    tested = spatial.permutation_p(c, spatial.grid_edges(c, "k", "row", "col"), "k", "v")
-    return stats.benjamini_hochberg(tested.withColumn("map", F.lit("all")), ["map"], "p", "k")
+    corner = lambda a, b: F.array((F.col("col") + a).cast("double"), (F.col("row") + b).cast("double"))
+    return spatial.ring_edges(c.withColumn("ring", F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0))), "k", "ring")
 
 
 @query("spatial_near_edges", "select a.fips as src, b.fips as dst, round(sqrt((a.lon - b.lon) ** 2 + (a.lat - b.lat) ** 2), 6) as distance from counties a join counties b on a.fips <> b.fips and sqrt((a.lon - b.lon) ** 2 + (a.lat - b.lat) ** 2) <= 0.7")
@@ -297,17 +331,33 @@ def model_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit.select("grp", "n", F.round(F.element_at("beta", 2), 5).alias("slope"), F.round(F.element_at("beta", 1), 5).alias("intercept"))
 
 
+#: The rungs of the ladder: features of each model.
+RUNGS = {"level": ["level"], "momentum": ["level", "d1", "d2"], "season": ["level", "d1", "d2", "sin1", "cos1"]}
+
+
 @query("model_rolling")
 def model_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rolling origins in one plan: per origin a ridge on what had settled, scored on the week after."""
-    e = examples(spark, sf_dir)
+    """The ladder over all origins: each rung is refitted every four weeks on what had settled two weeks before, and scored at every origin.
+
+    Sums of products per week add up to those of every fit, so rows are read once and never
+    repeated; a feature that a rung lacks is a constant.
+    """
+    h = harmonics("time", 1)
+    e = examples(spark, sf_dir).withColumns({"sin1": h["sin1"], "cos1": h["cos1"]})
     days = sorted(r[0] for r in e.select("time").distinct().toLocalIterator())[6:]  # a calendar
-    calendar = F.array(*[F.lit(d).cast("date") for d in days])
-    train = e.withColumn("origin", F.explode(F.filter(calendar, lambda o: F.col("time") <= F.date_sub(o, 14))))
-    fits = models.ridge_fit(train, ["origin"], ["level", "d1", "d2"], "y")
-    test = e.withColumn("origin", F.col("time"))
-    scored = models.grouped_predict(test, fits, ["origin"], ["level", "d1", "d2"]).withColumn("value", F.col("last") * F.exp("pred"))
-    return scored.groupBy("origin").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("value") - F.col("final"))), 6).alias("mae"), F.round(F.avg(F.abs(F.col("last") - F.col("final"))), 6).alias("naive_mae"))
+    fit_of = models.refit_schedule(days)
+    every = RUNGS["season"]
+    sums = durable(models.ridge_sums(e, ["time"], every, "y"))  # a row per week
+    at_fit = durable(models.running_sums(sums, "time", 14, sorted(set(fit_of.values()))))
+    calendar = spark.createDataFrame([(d, f) for d, f in fit_of.items()], "time date, origin date")
+    scored = None
+    for rung, features in RUNGS.items():
+        kept = [every.index(f) for f in features]
+        named = {**{f"s_x{i}": f"s_x{j}" for j, i in enumerate(kept)}, "s_y": "s_y", **{f"p_x{i}_x{k}": f"p_x{j}_x{m}" for j, i in enumerate(kept) for m, k in enumerate(kept) if k >= i}, **{f"p_x{i}_y": f"p_x{j}_y" for j, i in enumerate(kept)}, "p_y_y": "p_y_y"}
+        fits = models.ridge_solve(at_fit.select("origin", "n", *[F.col(a).alias(b) for a, b in named.items()]), ["origin"], features)
+        part = models.grouped_predict(e.join(F.broadcast(calendar), "time"), fits, ["origin"], features).select("time", F.lit(rung).alias("rung"), "last", "final", (F.col("last") * F.exp("pred")).alias("value"))  # a row per week
+        scored = part if scored is None else scored.unionByName(part)
+    return scored.groupBy(F.col("time").alias("origin"), "rung").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("value") - F.col("final"))), 6).alias("mae"), F.round(F.avg(F.abs(F.col("last") - F.col("final"))), 6).alias("naive_mae"))
 
 
 @query("model_autoregression")

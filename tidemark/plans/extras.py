@@ -65,17 +65,6 @@ def quote_names_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.join(c, "w").select("article_id", "fips")
 
 
-@query("source_shared_sites", """
-    with s as (select s_suppkey as site, s_acctbal as v, greatest(s_acctbal, 0) as w, unnest([s_nationkey, (s_nationkey + 1) % 25]) as county from supplier), k as (select county, site, least(v, 5000) as v, w from s)
-    select county, count(distinct site) as sites, round(case when sum(w) > 0 then sum(w * v) / sum(w) else avg(v) end, 6) as mean from k group by county
-    """)
-def source_shared_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sites that serve several counties count fully in each: capped values, weighted by population, plain mean without weights."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site"), F.least("s_acctbal", F.lit(5000.0)).alias("v"), F.greatest("s_acctbal", F.lit(0.0)).alias("w"), F.explode(F.array("s_nationkey", (F.col("s_nationkey") + 1) % 25)).alias("county"))
-    mean = F.when(F.sum("w") > 0, F.sum(F.col("w") * F.col("v")) / F.when(F.sum("w") > 0, F.sum("w"))).otherwise(F.avg("v"))
-    return s.groupBy("county").agg(F.count_distinct("site").alias("sites"), F.round(mean, 6).alias("mean"))
-
-
 @query("text_fold", "select n_nationkey, trim(regexp_replace(regexp_replace(lower(n_name || ' Ste. O''Côté'), '[.'']', '', 'g'), '[^a-z0-9ôé]+', ' ', 'g')).replace('ô', 'o').replace('é', 'e') as folded from nation")
 def text_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names without case, accents and signs."""
@@ -110,11 +99,10 @@ def model_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("model_leave_one_out")
 def model_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each metro predicted by a model that has not seen it: rows go to the fits of all other metros."""
+    """Each metro predicted by a model that has not seen it: sums of products of all less its own."""
     d = design(spark, sf_dir)
-    metros = sorted(r[0] for r in d.select("metro").filter("metro is not null").distinct().collect())  # a fixed table
-    others = F.filter(F.array(*[F.lit(m) for m in metros]), lambda m: m != F.col("metro"))
-    fits = models.ridge_fit(d.withColumn("holdout", F.explode(others)), ["holdout"], VARIANTS["full"], "y")
+    sums = models.ridge_sums(d.filter("metro is not null"), ["metro"], VARIANTS["full"], "y")
+    fits = models.ridge_solve(models.other_sums(sums, "metro"), ["metro"], VARIANTS["full"]).withColumnRenamed("metro", "holdout")
     scored = models.grouped_predict(d.withColumn("holdout", F.col("metro")), fits, ["holdout"], VARIANTS["full"])
     value = F.col("last") * F.exp("pred")
     return scored.groupBy("holdout").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(value - F.col("final"))), 6).alias("mae"), F.round(F.avg(F.abs(F.col("last") - F.col("final"))), 6).alias("naive_mae"))
@@ -153,21 +141,12 @@ def model_season_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit.select("grp", "n", F.round(F.element_at("beta", 1), 4).alias("intercept"), F.round(F.element_at("beta", 2), 4).alias("slope"))
 
 
-@query("power_table", """
-    with r as (select p_size % 3 as scale, p_size % 2 as precision, p_retailprice / 1000 - 1 as gain, p_retailprice % 10 / 100 as p from part)
-    select scale, precision, count(*) as runs, round(avg(gain), 6) as mean_gain, round(median(gain), 6) as median_gain, round(median(p), 6) as median_p, round(avg((p < 0.05)::int), 6) as detected from r group by all
-    """)
-def power_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gains, p-values and the share detected over repeated runs of a setting."""
-    r = table(spark, sf_dir, "part").select((F.col("p_size") % 3).alias("scale"), (F.col("p_size") % 2).alias("precision"), (F.col("p_retailprice") / 1000 - 1).alias("gain"), (F.col("p_retailprice") % 10 / 100).alias("p"))
-    out = r.groupBy("scale", "precision").agg(F.count("*").alias("runs"), F.avg("gain").alias("mean_gain"), F.median("gain").alias("median_gain"), F.median("p").alias("median_p"), F.avg((F.col("p") < 0.05).cast("int")).alias("detected"))
-    return r6(out, "mean_gain", "median_gain", "median_p", "detected")
-
-
-@query("small_groups", "select o_custkey % 400 as grp, count(*) as n from orders group by 1 having count(*) < 36")
+@query("small_groups", "select metro, category, count(*) as n, round(avg(label), 6) as mean from (select distinct f.finding_id, f.category, f.label, w.metro from findings f join (select site_id, max(metro) as metro from county_week group by site_id) w on w.site_id = f.site_id) group by all having count(*) >= 30")
 def small_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups too small to report."""
-    return table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 400).alias("grp")).agg(F.count("*").alias("n")).filter("n < 36")
+    """Groups of findings that are large enough to report."""
+    sites = table(spark, sf_dir, "county_week").groupBy("site_id").agg(F.max("metro").alias("metro"))
+    f = table(spark, sf_dir, "findings").select("finding_id", "site_id", "category", "label").distinct().join(sites, "site_id").select("finding_id", "category", "label", "metro").distinct()
+    return r6(f.groupBy("metro", "category").agg(F.count("*").alias("n"), F.avg("label").alias("mean")).filter("n >= 30"), "mean")
 
 
 @query("feature_availability", """

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import harmonics
-from tidemark.operators import snapshot_changes, stats, vintage
+from tidemark.operators import asof, snapshot_changes, stats, vintage
 from tidemark.plans.registry import Registry
 from tidemark.plans.relational import r6
 from tidemark.sources.tables import number, table
@@ -187,7 +187,7 @@ def availability_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily records become visible seven days later: the last five weeks as each origin saw them."""
     d = table(spark, sf_dir, "ed_readings").select("reading_id", "site_id", F.col("week_end").cast("date").alias("day"), "ed_resp").distinct().filter("ed_resp between 0 and 100")
     o = table(spark, sf_dir, "origins").select("origin_id", "site_id", "as_of").filter("as_of is not null").distinct()
-    seen = o.join(d, "site_id").filter(vintage.visible_until("day", 7, "as_of") & (F.col("day") >= F.date_sub("as_of", 35)))
+    seen = asof.range_join(o, d, ["site_id"], F.date_sub("as_of", 35), F.date_sub("as_of", 7), "day")
     return r6(seen.groupBy("origin_id").agg(F.count("*").alias("visible"), F.avg("ed_resp").alias("mean")), "mean")
 
 
@@ -215,7 +215,9 @@ def revision_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     final = vintage.load_vintage(r).select("geo", "time", F.col("value").alias("f"))
     j = r.join(final, ["geo", "time"]).filter("value is not null and f is not null")
     j = j.select((F.datediff("issue", "time") / 7).cast("int").alias("lag"), F.when(F.col("f") != 0, F.col("value") / F.col("f") - 1).alias("rel"))
-    return r6(j.groupBy("lag").agg(F.count("*").alias("n"), F.median("rel").alias("median_rel"), F.median(F.abs("rel")).alias("median_abs"), F.avg(F.when(F.abs("rel") > 0.05, 1.0).otherwise(0.0)).alias("share_over_5")), "median_rel", "median_abs", "share_over_5")
+    per = j.groupBy("lag").agg(F.count("*").alias("n"), F.avg(F.when(F.abs("rel") > 0.05, 1.0).otherwise(0.0)).alias("share_over_5"))
+    middles = stats.quantiles(j, ["lag"], "rel", {"median_rel": 0.5}).join(stats.quantiles(j.withColumn("size", F.abs("rel")), ["lag"], "size", {"median_abs": 0.5}), "lag")
+    return r6(per.join(middles, "lag", "left").select("lag", "n", "median_rel", "median_abs", "share_over_5"), "median_rel", "median_abs", "share_over_5")
 
 
 @query("official_coverage", REV + """
@@ -349,8 +351,10 @@ def metrics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """)
 def metrics_gap_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of the gap between first and final value each model closes."""
-    m = predictions(spark, sf_dir).groupBy("model").agg(*stats.metrics())
-    return r6(m.select("model", "n", "gap_total", "gap_median"), "gap_total", "gap_median")
+    p = predictions(spark, sf_dir)
+    m = p.groupBy("model").agg(*stats.metrics())
+    middle = stats.quantiles(p.withColumn("closed", stats.gap_closed("pred", "first", "final")), ["model"], "closed", {"gap_median": 0.5})
+    return r6(m.join(middle, "model", "left").select("model", "n", "gap_total", "gap_median"), "gap_total", "gap_median")
 
 
 @query("metrics_complete_pairs", _PRED + """
@@ -388,13 +392,14 @@ def sanity_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     , d as (select metro, round(abs(a.pred - a.final) - abs(b.pred - b.final), 6) as d from p a join p b on a.geo = b.geo and a.time = b.time and a.model = 'mean3' and b.model = 'naive' join site s on s.geo = a.geo),
     r as (select metro, d, rank() over (partition by metro order by abs(d)) + (count(*) over (partition by metro, abs(d)) - 1) / 2.0::double as rk, count(*) over (partition by metro, abs(d)) as t from d where d <> 0),
     s as (select metro, count(*) as m, sum(case when d > 0 then rk else 0 end) as w, sum(t * t - 1)::double as tt from r group by metro), n as (select metro, count(*) as n from d group by metro)
-    select n.metro, n.n, s.m, w, round((w - m * (m + 1) / 4.0::double) / sqrt(m::double * (m + 1) * (2 * m + 1) / 24.0::double - tt / 48.0::double), 6) as z from n join s on n.metro = s.metro
+    select n.metro, n.n, s.m, w, round(z, 6) as z, round(least(1, u * (0.254829592::double + u * (-0.284496736::double + u * (1.421413741::double + u * (-1.453152027::double + u * 1.061405429::double)))) * exp(-z * z / 2)), 3) as p
+    from (select *, 1 / (1 + abs(z) / sqrt(2.0::double) * 0.3275911::double) as u from (select *, (w - m * (m + 1) / 4.0::double) / sqrt(m::double * (m + 1) * (2 * m + 1) / 24.0::double - tt / 48.0::double) as z from s)) s join n on n.metro = s.metro
     """)
 def paired_wilcoxon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paired signed-rank test of two models per metro, by the normal approximation."""
+    """Paired signed-rank test of two models per metro; p is exact for few pairs without ties, else by the normal approximation."""
     p = predictions(spark, sf_dir).withColumn("e", F.abs(F.col("pred") - F.col("final")))
     wide = p.groupBy("metro", "geo", "time").agg(*[F.max(F.when(F.col("model") == m, F.col("e"))).alias(m) for m in ("mean3", "naive")])
-    return stats.wilcoxon(wide, ["metro"], "mean3", "naive").select("metro", "n", "m", "w", F.round("z", 6).alias("z"))
+    return stats.wilcoxon(wide, ["metro"], "mean3", "naive").select("metro", "n", "m", "w", F.round("z", 6).alias("z"), F.round("p", 3).alias("p"))
 
 
 #: The models from the simplest up; each is tested against the first and against the one before it.
@@ -409,7 +414,7 @@ def ladder_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     tests = [(m, vs) for below, m in zip(LADDER, LADDER[1:]) for vs in dict.fromkeys((LADDER[0], below))]
     rows = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(vs).alias("vs"), F.col(m).alias("e"), F.col(vs).alias("base")) for m, vs in tests])
     tested = stats.wilcoxon(wide.select("metro", F.explode(rows).alias("r")).select("metro", "r.*"), ["metro", "model", "vs"], "e", "base")
-    return stats.holm(tested.withColumn("_test", F.concat_ws("|", "model", "vs")), ["metro"], "p", "_test").drop("_test")
+    return stats.holm(tested, ["metro"], "p")
 
 
 _P = "with t as (select p_partkey as k, p_brand as fam, case when p_partkey % 97 = 0 then null else 1.0::double / (p_partkey % 1000 + 2) * (1 + p_size) / 60 end as p from part)"
@@ -427,7 +432,7 @@ def p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """)
 def adjust_holm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holm's step-down adjustment within families; nulls do not count."""
-    return stats.holm(p_values(spark, sf_dir), ["fam"], "p", "k").select("k", "fam", F.round("p_holm", 9).alias("p_holm"))
+    return stats.holm(p_values(spark, sf_dir), ["fam"], "p").select("k", "fam", F.round("p_holm", 9).alias("p_holm"))
 
 
 @query("adjust_false_discovery", _P + """
@@ -436,7 +441,7 @@ def adjust_holm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """)
 def adjust_false_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Step-up false discovery adjustment within families."""
-    return stats.benjamini_hochberg(p_values(spark, sf_dir), ["fam"], "p", "k").select("k", "fam", F.round("p_fdr", 9).alias("p_fdr"))
+    return stats.benjamini_hochberg(p_values(spark, sf_dir), ["fam"], "p").select("k", "fam", F.round("p_fdr", 9).alias("p_fdr"))
 
 
 @query("rank_correlation", """

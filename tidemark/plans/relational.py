@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import week_end
-from tidemark.operators import stats, vintage
+from tidemark.operators import asof, stats, vintage
 from tidemark.plans.registry import Registry
 from tidemark.sources.tables import table
 
@@ -53,14 +53,15 @@ def join_inner_three(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("join_left_grid", """
     select s.site_id, w.week::date as week_end, count(r.reading_id) as readings from (select distinct site_id from ed_readings) s
-    cross join (select unnest(generate_series(date '2025-10-04', date '2025-12-27', interval 7 day)) as week) w
+    cross join (select unnest(generate_series(min(week_end)::date + ((6 - dayofweek(min(week_end)::date)) % 7)::integer, max(week_end)::date + 6, interval 7 day)) as week from ed_readings) w
     left join (select distinct reading_id, site_id, week_end from ed_readings) r on r.site_id = s.site_id and r.week_end >= w.week - interval 6 day and r.week_end < w.week + interval 1 day
     group by all
     """)
 def join_left_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A grid of sites and weeks, with the readings of each cell; empty cells stay."""
     r = table(spark, sf_dir, "ed_readings").select("reading_id", "site_id", "week_end").distinct()
-    weeks = F.explode(F.expr("sequence(date '2025-10-04', date '2025-12-27', interval 7 days)"))
+    first, last = r.agg(F.min(week_end("week_end")), F.max(week_end("week_end"))).first()  # a calendar
+    weeks = F.explode(F.sequence(F.lit(first), F.lit(last), F.expr("interval 7 days"))) if first else F.lit(None).cast("date")
     grid = r.select("site_id").distinct().select("site_id", weeks.alias("week_end"))
     counts = r.groupBy("site_id", week_end("week_end").alias("week_end")).agg(F.count("*").alias("readings"))
     return grid.join(counts, ["site_id", "week_end"], "left").fillna(0, ["readings"])
@@ -100,7 +101,7 @@ def join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each origin with the weeks of its site in a window before it."""
     o = table(spark, sf_dir, "origins").select("origin_id", "site_id", "as_of").distinct()
     w = table(spark, sf_dir, "county_week").select("site_id", "week_end", "ed_resp_final").distinct()
-    near = o.join(w, "site_id").filter("week_end between date_sub(as_of, 56) and date_sub(as_of, 14)")
+    near = asof.range_join(o, w, ["site_id"], F.date_sub("as_of", 56), F.date_sub("as_of", 14), "week_end")
     return r6(near.groupBy("origin_id").agg(F.count("*").alias("examples"), F.avg("ed_resp_final").alias("mean_final")), "mean_final")
 
 
@@ -110,9 +111,14 @@ def join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """)
 def join_asof_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first day on or after each origin on which its site published, else its last."""
-    k = table(spark, sf_dir, "findings").select("site_id", F.try_to_date(F.substring(F.trim("known_by"), 1, 10), "yyyy-MM-dd").alias("day")).filter("day is not null").distinct()
+    day = F.try_to_date(F.substring(F.trim("known_by"), 1, 10), "yyyy-MM-dd")
+    k = table(spark, sf_dir, "findings").select("site_id", day.alias("day")).filter("day is not null and site_id is not null").distinct()
     o = table(spark, sf_dir, "origins").select("origin_id", "site_id", "as_of").filter("as_of is not null").distinct()
-    return o.join(k, "site_id").groupBy("origin_id").agg(F.coalesce(F.min(F.when(F.col("day") >= F.col("as_of"), F.col("day"))), F.max("day")).alias("day"))
+    # Time reversed: the latest version at or before the negative of a day is the earliest on or after it.
+    back = lambda df, c: df.withColumn("_back", -F.unix_date(c))
+    found = asof.asof_join(back(o, "as_of"), back(k, "day"), ["site_id"], "_back", "origin_id", "_back", "day", [])
+    last = k.groupBy("site_id").agg(F.max("day").alias("last"))
+    return found.join(last, "site_id").select("origin_id", F.coalesce("version.order", "last").alias("day"))
 
 
 @query("join_self_offset", """
@@ -194,8 +200,7 @@ def agg_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """)
 def agg_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact quantiles with linear interpolation."""
-    q = [F.round(F.percentile("o_totalprice", p), 6).alias(n) for n, p in (("q10", 0.1), ("q50", 0.5), ("q90", 0.9))]
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(*q)
+    return r6(stats.quantiles(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", {"q10": 0.1, "q50": 0.5, "q90": 0.9}), "q10", "q50", "q90")
 
 
 @query("agg_peak_week", """
