@@ -41,6 +41,8 @@ NO_LANGUAGE = 0.03
 NEAR, FAR = 3.5, 5.0
 #: Languages that are joined back by broadcast; more are joined by key.
 BROADCAST_LANGUAGES = 5000
+#: Ids of texts that are looked at again by broadcast (about 16 MB); more are joined by key.
+BROADCAST_IDS = 1_000_000
 ALL = "*"
 
 
@@ -139,7 +141,8 @@ def quality(docs: DataFrame, doc_id: str, text: str, lang: str, tail: float = 3.
     def lines(texts: pd.Series) -> pd.Series:
         return pd.Series([prose_share(t) for t in texts], dtype=float)
 
-    left = said.filter("_said is null and prose_share is null").select(F.col("id").alias("_id")).distinct()
+    left = durable(said.filter("_said is null and prose_share is null").select(F.col("id").alias("_id")).distinct())
+    left = F.broadcast(left) if left.count() <= BROADCAST_IDS else left
     looked = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(left, "_id", "left_semi").select("_id", lines("_text").alias("_share"))
     checked = said.join(looked, F.col("id") == F.col("_id"), "left").withColumn("prose_share", F.when(F.col("_said").isNull(), F.coalesce("prose_share", "_share")))
     beyond = F.array_compact(F.array(*[F.when(F.abs(f"z_{s}") > tail, F.lit(s)) for s in STATISTICS]))
