@@ -22,7 +22,9 @@ UPWARD = ("rising", "rise", "increase", "increasing", "up", "growing", "surge",
 DOWNWARD = ("falling", "fall", "decrease", "decreasing", "down", "declining", "drop", "lowest", "least", "best")
 CHANGE = ("rising", "rise", "increase", "increasing", "growing", "surge", "climbing", "falling", "fall", "decrease", "decreasing", "declining", "drop", "change", "changed", "trend")
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
-HOLIDAYS = {"christmas": (12, 25), "new year": (1, 1), "halloween": (10, 31), "independence day": (7, 4)}
+NUMBERS = {"a": 1, "an": 1, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "twelve": 12}
+HOLIDAYS = {"christmas": (12, 25), "xmas": (12, 25), "new year's eve": (12, 31), "new year": (1, 1), "halloween": (10, 31), "independence day": (7, 4), "fourth of july": (7, 4), "thanksgiving": None}
+PARTS = {"first week": 7, "early": 7, "beginning": 7, "start": 7, "second week": 14, "mid": 15, "middle": 15, "third week": 21}
 #: Percent over three weeks beyond which a trend rises or falls.
 TREND_PCT = 15.0
 
@@ -38,6 +40,7 @@ class Question:
     place: str | None = None
     week_end: dt.date | None = None
     peak: bool = False
+    season: str | None = None
     notes: tuple[str, ...] = field(default=())
 
 
@@ -46,70 +49,137 @@ def saturday(day: dt.date) -> dt.date:
     return day + dt.timedelta(days=(5 - day.weekday()) % 7)
 
 
-def _latest_year(month: int, day: int, latest: dt.date) -> dt.date:
-    """The month and day in the most recent year that is not after the data; an impossible day is the month's last."""
-    for year in (latest.year, latest.year - 1):
-        last = (dt.date(year + month // 12, month % 12 + 1, 1) - dt.timedelta(days=1)).day
-        found = dt.date(year, month, min(day, last))
-        if found <= latest + dt.timedelta(days=6):
-            return found
-    return found
+def last_day(year: int, month: int) -> int:
+    return (dt.date(year + month // 12, month % 12 + 1, 1) - dt.timedelta(days=1)).day
+
+
+def holiday(name: str, year: int) -> dt.date:
+    """The day of a holiday; Thanksgiving is the fourth Thursday of November."""
+    fixed = HOLIDAYS[name]
+    first = dt.date(year, 11, 1)
+    return dt.date(year, *fixed) if fixed else first + dt.timedelta(days=(3 - first.weekday()) % 7 + 21)
+
+
+def season_of(day: dt.date) -> str:
+    """The season of a day, October to September, such as 2025-26."""
+    year = day.year if day.month >= 10 else day.year - 1
+    return f"{year}-{(year + 1) % 100:02}"
+
+
+def season_span(season: str) -> tuple[dt.date, dt.date]:
+    """The first and last day of a season."""
+    year = int(season[:4])
+    return dt.date(year, 10, 1), dt.date(year + 1, 9, 30)
+
+
+def _recent(make, latest: dt.date) -> dt.date:
+    """``make(year)`` for the most recent year in which the data reaches it."""
+    year = latest.year
+    while make(year) > latest + dt.timedelta(days=6):
+        year -= 1
+    return make(year)
+
+
+def _month(text: str) -> int:
+    return next(i for i, m in enumerate(MONTHS, 1) if m.startswith(text[:3]))
+
+
+_NAMED = rf"(?P<month>{'|'.join(sorted({*MONTHS, *(m[:3] for m in MONTHS), 'sept'}, key=len, reverse=True))})\.?"
+_YEAR = r"(?P<year>20\d\d)"
+#: Ways to name a time, tried in this order; groups say what is known of it.
+WHEN = tuple(re.compile(p) for p in (
+    rf"\b{_YEAR}-(?P<number>\d{{1,2}})-(?P<day>\d{{1,2}})\b",
+    r"\b(?P<number>\d{1,2})/(?P<day>\d{1,2})(?:/(?P<year>20\d\d|\d\d))?\b",
+    rf"\b{_NAMED}\s+(?P<day>\d{{1,2}})(?:st|nd|rd|th)?\b(?:,?\s*{_YEAR})?",
+    rf"\b(?P<day>\d{{1,2}})(?:st|nd|rd|th)?\s+{_NAMED}\b(?:,?\s*{_YEAR})?",
+    rf"\b(?P<holiday>{'|'.join(sorted(HOLIDAYS, key=len, reverse=True))})(?:'?s)?(?: day)?\b(?:\s*(?:of\s*)?{_YEAR})?",
+    rf"\b(?:(?P<part>{'|'.join(PARTS)})\b(?:[- ](?:of|in))?[- ]?\s*)?\b{_NAMED}(?:\s+(?:of|in))?,?\s+{_YEAR}\b",
+    rf"\bin\s+{_NAMED}\b(?!\s*\d)",
+    rf"\b(?P<count>\d+|{'|'.join(NUMBERS)})\s+(?P<unit>week|month|year)s?\s+ago\b",
+    r"\b(?P<last>last|previous|prior) (?P<span>week|month|year)\b",
+))
+
+
+def _read_when(found: dict, latest: dt.date) -> dt.date:
+    """The day that the groups of a pattern of WHEN name; ValueError if there is no such day."""
+    weeks = {"week": 1, "month": 4, "year": 52}
+    if found.get("count"):
+        n = int(found["count"]) if found["count"].isdigit() else NUMBERS[found["count"]]
+        return latest - dt.timedelta(weeks=weeks[found["unit"]] * n)
+    if found.get("last"):
+        return latest - dt.timedelta(weeks=weeks[found["span"]])
+    year = int(found["year"]) % 100 + 2000 if found.get("year") else None
+    if found.get("holiday"):
+        return holiday(found["holiday"], year) if year else _recent(lambda y: holiday(found["holiday"], y), latest)
+    month = int(found["number"]) if found.get("number") else _month(found["month"])
+    if found.get("day"):
+        day = int(found["day"])
+        return dt.date(year, month, day) if year else _recent(lambda y: dt.date(y, month, min(day, last_day(y, month))), latest)
+    if year is None:
+        year = latest.year if month <= latest.month else latest.year - 1
+    end = dt.date(year, month, PARTS[found["part"]] if found.get("part") else last_day(year, month))
+    return end if found.get("part") else end - dt.timedelta(days=(end.weekday() - 5) % 7)
 
 
 def parse(text: str, places: dict[str, str], latest: dt.date) -> Question:
-    """A question from its words. ``places`` maps lower-case names to keys; the longest name found wins."""
-    clean = " ".join(text.split())
+    """A question from its words. ``places`` maps lower-case names to keys; the longest name found wins.
+
+    'may' alone is a verb more often than a month, and counts only with a day or year.
+    """
+    clean = " ".join(text.replace("’", "'").split())
     if not 1 <= len(clean) <= 500:
         raise ValueError("a question has 1 to 500 characters")
     low = clean.lower()
     words = set(re.findall(r"[a-z]+", low))
-    q = Question()
+    notes: list[str] = []
     named = [s for s, keys in SIGNALS.items() if words & set(keys)]
-    if len(named) == 1:
-        q = replace(q, signal=named[0])
-    elif len(named) > 1:
-        q = replace(q, notes=(*q.notes, "several illnesses are named; all respiratory visits are shown"))
-    if words & set(CHANGE):
-        q = replace(q, measure="change")
-    if words & set(DOWNWARD) and not words & set(UPWARD):
-        q = replace(q, direction="low")
-    if m := re.search(r"\b(?:top|first|worst|best)\s+(\d{1,3})\b|\b(\d{1,3})\s+(?:counties|places|sites)\b", low):
-        q = replace(q, top=max(1, min(int(m[1] or m[2]), 50)))
+    if len(named) > 1:
+        notes.append("several illnesses are named; all respiratory visits are shown")
+    top = 5
+    if m := re.search(r"\b(?:top|first|worst|best)\s+(\d{1,3})\b|\b(\d{1,3})\s+(?:counties|places|areas|sites|highest|worst|most|biggest)\b", low):
+        top = max(1, min(int(m[1] or m[2]), 50))
+        low = low[: m.start()] + "#" * (m.end() - m.start()) + low[m.end() :]  # "top 10 Dec 2025" is not Dec 10
     hits = sorted((n for n in places if re.search(rf"\b{re.escape(n)}\b", low)), key=len, reverse=True)
-    if hits:
-        q = replace(q, place=places[hits[0]])
+    season = None
+    if (m := re.search(r"\b(20\d\d)\s*[-–/]\s*(20\d\d|\d\d)\b(?!-)", low)) and int(m[2][-2:]) == (int(m[1]) + 1) % 100:
+        season, low = f"{m[1]}-{m[2][-2:]}", low[: m.start()] + low[m.end() :]
+    elif re.search(r"\blast (?:flu |respiratory )?season\b", low):
+        season = season_of(latest.replace(year=latest.year - 1, day=min(latest.day, 28)))
     day = None
-    if m := re.search(r"\b(20\d\d)-(\d\d)-(\d\d)\b", low):
+    for pattern in WHEN:
+        m = pattern.search(low)
+        if m is None or m.groupdict().get("month") == "may" and not (m.groupdict().get("day") or m.groupdict().get("year")):
+            continue
         try:
-            day = dt.date(int(m[1]), int(m[2]), int(m[3]))
+            day = _read_when(m.groupdict(), latest)
         except ValueError:
-            q = replace(q, notes=(*q.notes, f"{m[0]} is no date; the latest week is shown"))
-    elif m := re.search(rf"\b({'|'.join(MONTHS)})(?:\s+(\d{{1,2}}))?(?:,?\s+(20\d\d))?\b", low):
-        month = MONTHS.index(m[1]) + 1
-        if m[3]:
-            last = (dt.date(int(m[3]) + month // 12, month % 12 + 1, 1) - dt.timedelta(days=1)).day
-            day = dt.date(int(m[3]), month, min(int(m[2] or last), last))
-        else:
-            day = _latest_year(month, int(m[2] or 31), latest)
-    else:
-        for name, (month, d) in HOLIDAYS.items():
-            if name in low:
-                day = _latest_year(month, d, latest)
-        if "last week" in low:
-            day = latest - dt.timedelta(days=7)
-    if "peak" in words:
-        q = replace(q, peak=True)
-    return replace(q, week_end=saturday(day) if day else None)
+            notes.append(f"{m[0]} is no date; the latest week is shown")
+        break
+    down = bool(words & set(DOWNWARD) and not words & set(UPWARD))
+    peak = "peak" in words or bool(re.search(r"\b(?:worst|highest) week\b", low))
+    return Question(named[0] if len(named) == 1 else "ed_resp", "change" if words & set(CHANGE) else "level", "low" if down else "high", top, places[hits[0]] if hits else None, saturday(day) if day else None, peak, season, tuple(notes))
+
+
+def gazetteer(counties: DataFrame, metros: DataFrame) -> dict[str, str]:
+    """Lower-case names of counties, with and without their ending, and of metros -> keys, for :func:`parse`; a name that several places share is left out.
+
+    The driver holds names of places: a fixed table.
+    """
+    bare = F.trim(F.regexp_replace("county_name", r"(?i)\s+(city and borough|census area|municipality|municipio|borough|county|parish)$", ""))
+    rows = counties.select(F.explode(F.array_distinct(F.array(F.lower("county_name"), F.lower(bare), F.lower(F.concat_ws(", ", bare, "state"))))).alias("name"), F.col("fips").alias("key"))
+    rows = rows.unionByName(metros.select(F.lower("metro_name").alias("name"), F.col("metro").alias("key")))
+    alone = rows.filter("name is not null and name <> ''").groupBy("name").agg(F.count_distinct("key").alias("n"), F.min("key").alias("key")).filter("n = 1")
+    return {r["name"]: r["key"] for r in alone.collect()}
 
 
 def from_fields(data: dict, text: str, latest: dt.date) -> Question:
     """A question from a model's fields; any field outside its closed set is an error, so the caller falls back to :func:`parse`."""
     allowed = {"signal": {"ed_resp", *SIGNALS}, "measure": {"level", "change"}, "direction": {"high", "low"}}
-    unknown = set(data) - {*allowed, "top", "place", "week_end", "peak"}
+    unknown = set(data) - {*allowed, "top", "place", "week_end", "peak", "season"}
     if unknown or any(k in data and data[k] not in v for k, v in allowed.items()):
         raise ValueError(f"fields outside the schema for {text[:40]!r}")
     week = data.get("week_end")
-    return Question(data.get("signal", "ed_resp"), data.get("measure", "level"), data.get("direction", "high"), max(1, min(int(data.get("top", 5)), 50)), data.get("place"), saturday(min(dt.date.fromisoformat(week), latest)) if week else None, bool(data.get("peak", False)))
+    return Question(data.get("signal", "ed_resp"), data.get("measure", "level"), data.get("direction", "high"), max(1, min(int(data.get("top", 5)), 50)), data.get("place"), saturday(min(dt.date.fromisoformat(week), latest)) if week else None, bool(data.get("peak", False)), data.get("season"))
 
 
 def resolve(q: Question, values: DataFrame) -> Question:
@@ -119,6 +189,8 @@ def resolve(q: Question, values: DataFrame) -> Question:
     """
     mine = values if q.place is None else values.filter((F.col("metro") == q.place) | (F.col("fips") == q.place))
     known = mine.filter(F.col(q.signal).isNotNull())
+    if q.season:
+        known = known.filter(F.col("week_end").between(*(F.lit(d) for d in season_span(q.season))))
     if q.peak:
         weekly = known.groupBy("week_end").agg(F.avg(q.signal).alias("m"))
         week = weekly.agg(F.max_by("week_end", F.struct("m", "week_end"))).first()[0]

@@ -76,13 +76,16 @@ def cleaned(text: str | Column) -> Column:
 
 
 def read_parts(text: Column) -> Column:
-    """The struct of text parts of the first pattern that matches a cleaned text, null if none does."""
+    """The array of pattern name and text parts, in the order of _PARTS, of the first pattern that matches a cleaned text; null if none does.
+
+    A match is rewritten once, as its parts with a control character between them; the patterns let none through.
+    """
     chosen = None
     for p in CASCADE:
-        got = {part: F.nullif(F.regexp_extract(text, p.regex, i + 1), F.lit("")) for i, part in enumerate(p.parts)}
-        whole = F.struct(F.lit(p.name).alias("pattern"), *[got.get(part, F.lit(None).cast("string")).alias(part) for part in _PARTS])
-        chosen = F.when(text.rlike(p.regex), whole) if chosen is None else chosen.when(text.rlike(p.regex), whole)
-    return chosen
+        groups = {part: f"${i + 1}" for i, part in enumerate(p.parts)}
+        parted = F.regexp_replace(text, p.regex, "\x01".join([p.name, *[groups.get(part, "") for part in _PARTS]]))
+        chosen = F.when(text.rlike(p.regex), parted) if chosen is None else chosen.when(text.rlike(p.regex), parted)
+    return F.split(chosen, "\x01")
 
 
 def _month(parts: Column) -> Column:
@@ -138,7 +141,9 @@ def utc_seconds(df: DataFrame, text: str, zone: str, first_year: int = 2000, las
     midnight; instants outside the years given, in UTC, are none.
     """
     # The generator keeps the parts from being computed again for each use and in pushed-down filters.
-    parts = df.withColumn("_text", cleaned(text)).select("*", F.explode(F.array(read_parts(F.col("_text")))).alias("_p"))
+    parts = df.withColumn("_text", cleaned(text)).select("*", F.explode(F.array(read_parts(F.col("_text")))).alias("_r"))
+    named = F.struct(*[F.nullif(F.get("_r", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(("pattern", *_PARTS))])
+    parts = parts.select(*df.columns, F.explode(F.array(named)).alias("_p"))
     p = F.col("_p")
     placed = parts.withColumns({"_wall": wall_seconds(p), "_offset": _zone_seconds(p["zone"])})
     local = wall_to_utc(F.col("_wall"), F.col(zone), ambiguous, nonexistent)

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import week_end
+from tidemark.session import file_system
 
 KEY = ("geo", "time")
 
@@ -59,6 +60,30 @@ def write_snapshot(df: DataFrame, root: str, source: str) -> str:
     raise SnapshotError(f"{source} {issue} exists with other content")
 
 
+def list_snapshots(spark: SparkSession, root: str) -> list[tuple[str, dt.date]]:
+    """source and issue of every stored snapshot, from the names of folders: nothing is read."""
+    fs, path = file_system(spark, root)
+    found = fs.globStatus(path(f"{root}/source=*/issue=*")) or []
+    parts = [f.getPath() for f in found]
+    return sorted((p.getParent().getName().split("=", 1)[1], dt.date.fromisoformat(p.getName().split("=", 1)[1])) for p in parts)
+
+
+def read_snapshots(spark: SparkSession, root: str, source: str, schema: str, as_of: dt.date | None = None) -> DataFrame:
+    """The log of a source from its stored snapshots, issues up to ``as_of`` only: others are not opened. ``schema``: of the rows without issue."""
+    issues = [d for s, d in list_snapshots(spark, root) if s == source and (as_of is None or d <= as_of)]
+    columns = [c.strip().split(" ")[0] for c in schema.split(",")]
+    if not issues:
+        return spark.createDataFrame([], f"{schema}, issue date")
+    files = [f"{root}/source={source}/issue={d}" for d in issues]
+    return spark.read.schema(f"{schema}, issue date").option("basePath", f"{root}/source={source}").parquet(*files).select(*columns, "issue")
+
+
+def write_history(log: DataFrame, root: str, source: str) -> dict[dt.date, str]:
+    """Write every issue of a log that is not stored yet; issue -> 'written' or 'exists'. Issues are a calendar; each is checked and written by itself."""
+    issues = sorted(r[0] for r in log.select("issue").distinct().toLocalIterator())
+    return {d: write_snapshot(log.filter(F.col("issue") == F.lit(d)), root, source) for d in issues}
+
+
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """Whether two frames hold the same rows equally often."""
     b = b.select(*a.columns)

@@ -33,7 +33,8 @@ def values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest.groupBy("fips", "week_end").agg(F.max("metro").alias("metro"), *[F.avg(f"t.{s}").alias(s) for s in ("ed_covid", "ed_flu", "ed_resp")])
 
 
-PLACES = {"ashmere": "ash", "bryndale": "bry", "corvale": "cor", "dunmarsh": "dun", "elmhaven": "elm", "fenbridge": "fen"}
+def places(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    return ask.gazetteer(table(spark, sf_dir, "counties"), table(spark, sf_dir, "metros"))
 
 
 @query("question_peak", _VALUES + """
@@ -44,7 +45,7 @@ PLACES = {"ashmere": "ash", "bryndale": "bry", "corvale": "cor", "dunmarsh": "du
 def question_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     """'Top 7 counties in Ashmere at the peak': parsed, resolved against the data and answered."""
     v = values(spark, sf_dir)
-    q = ask.resolve(ask.parse("Top 7 counties in Ashmere at the peak", PLACES, dt.date(2026, 3, 14)), v)
+    q = ask.resolve(ask.parse("Top 7 counties in Ashmere at the peak", places(spark, sf_dir), dt.date(2026, 3, 14)), v)
     return r6(ask.top_places(q, ask.answer(q, v)), "value", "before", "change")
 
 
@@ -56,7 +57,7 @@ def question_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
 def question_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     """'Where is flu rising at Christmas, top 10': change against the week before."""
     v = values(spark, sf_dir)
-    q = ask.resolve(ask.parse("Where is flu rising at Christmas, top 10?", PLACES, dt.date(2026, 3, 14)), v)
+    q = ask.resolve(ask.parse("Where is flu rising at Christmas, top 10?", places(spark, sf_dir), dt.date(2026, 3, 14)), v)
     return r6(ask.top_places(q, ask.answer(q, v)), "value", "before", "change")
 
 
@@ -68,7 +69,7 @@ def question_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 def question_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many counties rose and fell in a week."""
     v = values(spark, sf_dir)
-    q = ask.resolve(ask.parse("How did things change by 2026-01-17?", PLACES, dt.date(2026, 3, 14)), v)
+    q = ask.resolve(ask.parse("How did things change by 2026-01-17?", places(spark, sf_dir), dt.date(2026, 3, 14)), v)
     return r6(ask.counts(ask.answer(q, v)), "median_value", "median_change")
 
 
@@ -192,6 +193,13 @@ def source_case_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsers.case_lines(c, "fips", "n", "day")
 
 
+@query("source_scan_lines", "select fips || ' 2025 ' || population::varchar as value from counties where population is not null union all select fips || ' ' || printf('%.6f', lat) || ' ' || printf('%.6f', lon) from counties")
+def source_scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a population file and of a coordinates file."""
+    c = table(spark, sf_dir, "counties")
+    return parsers.population_lines(c, "fips", "population", 2025).unionByName(parsers.coordinate_lines(c, "fips", "lat", "lon"))
+
+
 @query("source_feed_files", "select strftime(t, '%Y%m%d%H%M%S') as stamp from (select unnest(generate_series(timestamp '2025-12-01', timestamp '2025-12-03', interval 60 minute)) as t)")
 def source_feed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fourth quarter-hour file of two days."""

@@ -60,12 +60,12 @@ def calendar_month_end(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("calendar_holidays", """
     with y as (select distinct year(o_orderdate) as yr from orders)
-    select yr, make_date(yr, 12, 25) as christmas, make_date(yr, 1, 1) as new_year, (make_date(yr, 11, 1) + ((4 - dayofweek(make_date(yr, 11, 1)) + 7) % 7)::integer + 21)::date as thanksgiving from y
+    select yr, make_date(yr, 12, 25) as christmas, make_date(yr, 1, 1) as new_year, make_date(yr, 12, 31) as new_years_eve, make_date(yr, 10, 31) as halloween, make_date(yr, 7, 4) as independence_day, (make_date(yr, 11, 1) + ((4 - dayofweek(make_date(yr, 11, 1)) + 7) % 7)::integer + 21)::date as thanksgiving from y
     """)
 def calendar_holidays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed and floating holidays of each year."""
     y = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("yr")).distinct()
-    return y.select("yr", F.make_date("yr", F.lit(12), F.lit(25)).alias("christmas"), F.make_date("yr", F.lit(1), F.lit(1)).alias("new_year"), cal.thanksgiving("yr").alias("thanksgiving"))
+    return y.select("yr", F.make_date("yr", F.lit(12), F.lit(25)).alias("christmas"), F.make_date("yr", F.lit(1), F.lit(1)).alias("new_year"), *[F.make_date("yr", F.lit(m), F.lit(d)).alias(n) for n, m, d in (("new_years_eve", 12, 31), ("halloween", 10, 31), ("independence_day", 7, 4))], cal.thanksgiving("yr").alias("thanksgiving"))
 
 
 @query("calendar_year_chunks", """

@@ -155,6 +155,65 @@ def case_lines(df: DataFrame, geo: str, cases: str, day: str) -> DataFrame:
     return df.filter(F.col(cases) > 0).select(F.concat_ws(" ", F.col(geo), F.col(cases).cast("long").cast("string"), F.date_format(day, "yyyy/MM/dd")).alias("value"))
 
 
+def population_lines(df: DataFrame, geo: str, population: str, year: int) -> DataFrame:
+    """Lines '<geo> <year> <population>', for a scan program's population file; unknown populations are left out."""
+    return df.filter(F.col(population).isNotNull()).select(F.concat_ws(" ", F.col(geo), F.lit(str(year)), F.col(population).cast("long").cast("string")).alias("value"))
+
+
+def coordinate_lines(df: DataFrame, geo: str, lat: str, lon: str) -> DataFrame:
+    """Lines '<geo> <latitude> <longitude>', for a scan program's coordinates file."""
+    return df.select(F.concat_ws(" ", F.col(geo), F.format_string("%.6f", F.col(lat).cast("double")), F.format_string("%.6f", F.col(lon).cast("double"))).alias("value"))
+
+
+# Numbers of a scan program's probability models, and the keys of a session for space and time.
+SCAN_MODELS = {"poisson": 0, "permutation": 2}
+SCAN_KEYS = {
+    "Input": ("CaseFile", "PrecisionCaseTimes", "StartDate", "EndDate", "PopulationFile", "CoordinatesFile", "UseGridFile", "CoordinatesType"),
+    "Analysis": ("AnalysisType", "ModelType", "ScanAreas", "TimeAggregationUnits", "TimeAggregationLength"),
+    "Output": ("ResultsFile", "MostLikelyClusterEachCentroidASCII", "CensusAreasReportedClustersASCII", "OutputShapefiles", "OutputGoogleEarthKML"),
+    "Spatial Window": ("MaxSpatialSizeInPopulationAtRisk", "SpatialWindowShapeType"),
+    "Temporal Window": ("MinimumTemporalClusterSize", "MaxTemporalSizeInterpretation", "MaxTemporalSize"),
+    "Inference": ("MonteCarloReps",),
+}
+
+
+def scan_parameters(case_file: str, coordinates_file: str, results_file: str, start, end, model: str = "permutation", population_file: str = "", rounds: int = 999, spatial_pct: float = 10, temporal_pct: float = 50) -> str:
+    """The session of a scan program: retrospective clusters of high rates in space and time, in blocks of weeks."""
+    if model not in SCAN_MODELS:
+        raise ValueError(f"model is one of {sorted(SCAN_MODELS)}, not {model!r}")
+    if model == "poisson" and not population_file:
+        raise ValueError("the Poisson model needs a population file")
+    values = {
+        "CaseFile": case_file, "PrecisionCaseTimes": 3, "StartDate": f"{start:%Y/%m/%d}", "EndDate": f"{end:%Y/%m/%d}", "PopulationFile": population_file, "CoordinatesFile": coordinates_file, "UseGridFile": "n", "CoordinatesType": 1,
+        "AnalysisType": 3, "ModelType": SCAN_MODELS[model], "ScanAreas": 1, "TimeAggregationUnits": 3, "TimeAggregationLength": 7, "ResultsFile": results_file, "MostLikelyClusterEachCentroidASCII": "y",
+        "CensusAreasReportedClustersASCII": "y", "OutputShapefiles": "n", "OutputGoogleEarthKML": "n", "MaxSpatialSizeInPopulationAtRisk": f"{spatial_pct:g}", "SpatialWindowShapeType": 0, "MinimumTemporalClusterSize": 1,
+        "MaxTemporalSizeInterpretation": 0, "MaxTemporalSize": f"{temporal_pct:g}", "MonteCarloReps": rounds,
+    }
+    return "\n".join(f"[{section}]\n" + "".join(f"{k}={values[k]}\n" for k in keys) for section, keys in SCAN_KEYS.items())
+
+
+# Columns of a scan program's cluster file where it has no header.
+COLUMN_FILE = ("CLUSTER", "LOC_ID", "LATITUDE", "LONGITUDE", "RADIUS", "START_DATE", "END_DATE", "NUMBER_LOC", "LLR", "P_VALUE", "OBSERVED", "EXPECTED", "ODE")
+
+
+def column_file(spark: SparkSession, path: str) -> DataFrame:
+    """A scan program's cluster file, fields apart by blanks, with or without a header: columns are numbers where every value is one.
+
+    The widest line and the first one reach the driver; further columns are COL13 and on.
+    """
+    lines = spark.read.text(path).filter("trim(value) <> ''").withColumn("f", F.split(F.trim("value"), r"\s+"))
+    first = lines.select("f").first()
+    if first is None:
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in COLUMN_FILE))
+    header = not first["f"][0].lstrip("-").replace(".", "", 1).isdigit()
+    body = lines.filter(F.col("f") != F.array(*[F.lit(x) for x in first["f"]])) if header else lines
+    width = body.agg(F.max(F.size("f"))).first()[0] or len(first["f"])
+    names = list(first["f"]) if header else [*COLUMN_FILE, *[f"COL{i}" for i in range(len(COLUMN_FILE), width)]][:width]
+    texts = body.select(*[F.get("f", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    bad = texts.agg(*[F.count_if(F.col(f"`{n}`").isNull() | F.col(f"`{n}`").try_cast("double").isNull()).alias(n) for n in names]).first().asDict()
+    return texts.select(*[F.col(f"`{n}`").cast("double").alias(n) if not bad[n] else F.col(f"`{n}`") for n in names])
+
+
 def weekly_means(days: DataFrame, key: str, day: str, values: list[str]) -> DataFrame:
     """Weekly means per key of daily records, with the days that had the first value."""
     return days.groupBy(key, week_end(day).alias("week_end")).agg(*[F.avg(v).alias(v) for v in values], F.count(values[0]).alias("days"))
