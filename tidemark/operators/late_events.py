@@ -27,7 +27,7 @@ from tidemark.session import file_system, scratch_path
 from tidemark.sources.tables import number
 
 #: Days of arrival time that make a batch of a replay.
-BATCH_DAYS = 91
+BATCH_DAYS = 182
 
 
 def arrivals(df: DataFrame, key: str, period: str, arrived: str, record_id: str, value: str, unit: str | None = None, early_days: int = 6) -> DataFrame:
