@@ -305,7 +305,11 @@ def spatial_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.outline_edges(spatial.grid_edges(c, "k", "row", "col"), groups, "k", "g")
 
 
-@query("spatial_projection")
+@query("spatial_projection", """
+    with k as (select radians(29.5) as p1, radians(45.5) as p2, radians(23) as p0, 6371.0::double as r), c as (select *, (sin(p1) + sin(p2)) / 2 as n, cos(p1) ** 2 + (sin(p1) + sin(p2)) * sin(p1) as c from k),
+    t as (select fips, n * radians(lon + 96) as th, r * sqrt(c - 2 * n * sin(radians(lat))) / n as rho, r * sqrt(c - 2 * n * sin(p0)) / n as rho0 from counties, c)
+    select fips, round(rho * sin(th), 6) as x, round(rho0 - rho * cos(th), 6) as y from t
+    """)
 def spatial_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal-area coordinates of county centres."""
     x, y = spatial.albers(F.col("lon"), F.col("lat"))

@@ -55,14 +55,16 @@ def quote_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("quote_names_place", """
     with c as (select fips, lower(regexp_replace(county_name, ' (County|Parish|city)$', '')) as name from counties), f as (select distinct article_id, title from articles where title is not null)
-    select f.article_id, c.fips from f join c on contains(' ' || trim(regexp_replace(lower(f.title), '[^a-z]+', ' ', 'g')) || ' ', ' ' || c.name || ' ')
+    select distinct f.article_id, c.fips from f join c on contains(' ' || trim(regexp_replace(lower(f.title), '[^a-z]+', ' ', 'g')) || ' ', ' ' || c.name || ' ')
     """)
 def quote_names_place(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counties that a title names, by whole words: words look counties up, so titles and counties are never paired."""
-    c = table(spark, sf_dir, "counties").select("fips", F.lower(F.regexp_replace("county_name", " (County|Parish|city)$", "")).alias("w"))
-    words = F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower("title"), "[^a-z]+", " ")), " "))
-    t = table(spark, sf_dir, "articles").filter("title is not null").select("article_id", "title").distinct().select("article_id", F.explode(words).alias("w"))
-    return t.join(c, "w").select("article_id", "fips")
+    """Counties that a title names, by whole words: runs of words look counties up, so titles and counties are never paired."""
+    c = table(spark, sf_dir, "counties").select("fips", F.lower(F.regexp_replace("county_name", " (County|Parish|city)$", "")).alias("name"))
+    most = c.agg(F.max(F.size(F.split("name", " ")))).first()[0] or 1  # one number
+    words = F.split(F.trim(F.regexp_replace(F.lower("title"), "[^a-z]+", " ")), " ")
+    runs = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, i, n), " ")))))
+    t = table(spark, sf_dir, "articles").filter("title is not null").select("article_id", "title").distinct().select("article_id", F.explode(runs).alias("name"))
+    return t.join(c, "name").select("article_id", "fips").distinct()
 
 
 @query("text_fold", "select n_nationkey, trim(regexp_replace(regexp_replace(lower(n_name || ' Ste. O''Côté'), '[.'']', '', 'g'), '[^a-z0-9ôé]+', ' ', 'g')).replace('ô', 'o').replace('é', 'e') as folded from nation")

@@ -183,6 +183,20 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagged_readings(spark, sf_dir).select("reading_id")
 
 
+@REGISTRY.query(
+    "p7_bounds_and_runs",
+    """
+    with r as (select distinct site_id, week_end, reading_id, ed_resp as v from ed_readings where ed_resp is not null and not isnan(ed_resp) and site_id is not null and week_end is not null),
+    g as (select *, row_number() over (partition by site_id order by week_end, reading_id) - row_number() over (partition by site_id, v order by week_end, reading_id) as run from r),
+    n as (select *, count(*) over (partition by site_id, v, run) as length from g)
+    select reading_id, v < 0 or v > 100 as impossible, length >= 6 as stuck from n where v < 0 or v > 100 or length >= 6
+    """,
+)
+def p7_bounds_and_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readings that bounds and runs of zero details flag, which SQL can say."""
+    return flagged_readings(spark, sf_dir).filter("impossible or stuck").select("reading_id", "impossible", "stuck")
+
+
 @REGISTRY.query("p7_by_county")
 def p7_by_county(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per county, its sites' readings and how many of them each rule flags; a reading's county is its site's most named."""

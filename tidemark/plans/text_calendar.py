@@ -292,8 +292,9 @@ def quote_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("label_validate", """
-    select label_id, relevant_ok, concern_ok, case when r = 'n' and c not in ('0') then 'not relevant but concern' when r = 'y' and i = 'none' then 'relevant without illness' end as conflict from (
+    select label_id, relevant_ok, concern_ok, fips_ok, week_ok, case when r = 'n' and c not in ('0') then 'not relevant but concern' when r = 'y' and i = 'none' then 'relevant without illness' end as conflict from (
         select distinct label_id, lower(trim(relevant)) in ('y', 'yes', 'true', '1', 't', 'n', 'no', 'false', '0', 'f') as relevant_ok, regexp_full_match(trim(concern), '[+]?0*[0-3]([.]0*)?') as concern_ok,
+               regexp_full_match(trim(fips), '[0-9]{1,5}([.]0)?') as fips_ok, case when event_week is not null then regexp_full_match(trim(event_week), '[0-9]{4}-[0-9]{2}-[0-9]{2}') and try_cast(trim(event_week) as date) is not null end as week_ok,
                case when lower(trim(relevant)) in ('y', 'yes', 'true', '1', 't') then 'y' when lower(trim(relevant)) in ('n', 'no', 'false', '0', 'f') then 'n' end as r,
                case when regexp_full_match(trim(concern), '[+]?0*[0-3]([.]0*)?') then left(ltrim(regexp_replace(trim(concern), '[.]0*$', ''), '+'), 1) end as c, lower(trim(illness)) as i from human_labels)
     """)
@@ -305,4 +306,5 @@ def label_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, i, c = lb.relevant_answer("relevant"), lb.illness_answer("illness"), lb.concern_answer("concern")
     said = lambda x, parsed: F.when(F.col(x).isNotNull(), parsed.isNotNull())
     conflict = F.when((r == "n") & (c != "0"), "not relevant but concern").when((r == "y") & (i == "none"), "relevant without illness")
-    return h.select("label_id", said("relevant", r).alias("relevant_ok"), said("concern", c).alias("concern_ok"), conflict.alias("conflict")).distinct()
+    week = F.when(F.trim("event_week").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(F.trim("event_week"), "yyyy-MM-dd"))
+    return h.select("label_id", said("relevant", r).alias("relevant_ok"), said("concern", c).alias("concern_ok"), said("fips", fips_text("fips")).alias("fips_ok"), said("event_week", week).alias("week_ok"), conflict.alias("conflict")).distinct()
