@@ -13,6 +13,7 @@ from tidemark.operators import timestamps
 from tidemark.operators.asof import known_day
 from tidemark.plans.registry import Registry
 from tidemark.plans.relational import SAT, r6
+from tidemark.session import scratch_path
 from tidemark.sources import parsers
 from tidemark.sources.tables import table
 from tidemark.streaming import feeds
@@ -206,18 +207,24 @@ def source_feed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsers.feed_files(spark, "2025-12-01 00:00:00", "2025-12-03 00:00:00", 4)
 
 
-# Streams, as the batch plan they share
+# Streams over the events there are, run to their end
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table, a file or a folder of part files, as a stream; the pattern lets a single file be one."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/events.parque[t]")
 
 
 @query("stream_weekly_window", f"select {SAT.format('ts')} as week_end, event_type, count(*) as n, round(sum(value), 6) as total from events group by all")
 def stream_weekly_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sunday-to-Saturday sums by event time."""
-    e = table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
-    return r6(feeds.weekly_windows(e, "at", ["event_type"], "value"), "total")
+    """Sunday-to-Saturday sums by event time, from a stream of events."""
+    e = event_stream(spark, sf_dir).withColumn("at", F.col("ts").cast("timestamp"))
+    return r6(feeds.settled_table(feeds.weekly_windows(e, "at", ["event_type"], "value"), scratch_path(spark, "stream")), "total")
 
 
-@query("stream_newest", "select user_id, event_type, max(ts::date) as issue, count(*) over () * 0 as zero from events group by all".replace(", count(*) over () * 0 as zero", ""))
+@query("stream_newest", "select user_id, event_type, max(ts::date) as issue from events group by all")
 def stream_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest record per key."""
-    e = table(spark, sf_dir, "events").select("user_id", "event_type", F.col("ts").cast("date").alias("issue"), "value")
-    return feeds.newest_per_key(e, ["user_id", "event_type"], "issue", "value").select("user_id", "event_type", "issue")
+    """The newest record per key, from a stream of events."""
+    e = event_stream(spark, sf_dir).select("user_id", "event_type", F.col("ts").cast("date").alias("issue"), "value")
+    return feeds.settled_table(feeds.newest_per_key(e, ["user_id", "event_type"], "issue", "value"), scratch_path(spark, "stream")).select("user_id", "event_type", "issue")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import late_events
+from tidemark.session import file_system
 
 
 def weekly_windows(df: DataFrame, time: str, keys: list[str], value: str, delay: str = "14 days") -> DataFrame:
@@ -55,6 +56,20 @@ def gap_marks(df: DataFrame, key: str, time: str, most_days: int) -> DataFrame:
     return df.select(key, time).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, after date, until date", "last string", "append", "NoTimeout")
 
 
+def settled_table(stream: DataFrame, root: str) -> DataFrame:
+    """Run an aggregating stream over all that its source holds now, and the whole result as it then stands.
+
+    Each micro-batch writes the result so far to a folder of its own under ``root``, so a batch
+    that is run again writes the same folder; the state lies beside it. An empty source gives no rows.
+    """
+    spark = stream.sparkSession
+    query = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
+    query.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{root}/result-{n}")).start().awaitTermination()
+    fs, path = file_system(spark, root)
+    done = [int(f.getPath().getName().split("-")[1]) for f in fs.globStatus(path(f"{root}/result-*")) or []]
+    return spark.read.schema(stream.schema).parquet(f"{root}/result-{max(done)}") if done else spark.createDataFrame([], stream.schema)
+
+
 def late_corrections(stream: DataFrame, root: str, checkpoint: str, cutoff_days: int = 28):
     """A writer of :func:`late_events.arrivals` rows into the value-count state under ``root``, batch by batch; start it with ``.start()``.
 
