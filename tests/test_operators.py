@@ -55,6 +55,14 @@ def test_later_issues_change_nothing_before_them(spark, log):
     assert rows(vintage.as_of_each(more, [I1, I2, I3])) == rows(vintage.as_of_each(log, [I1, I2, I3]))
 
 
+def test_issues_may_be_weeks(spark):
+    log = spark.createDataFrame([("a", W1, 202602, 1.0), ("a", W1, 202604, 1.5), ("a", W2, 202603, 2.0), ("b", W1, 202605, 9.0)], "geo string, time date, issue int, value double")
+    assert rows(vintage.load_vintage_week(log, 202602)) == [("a", W1, 202602, 1.0)]
+    assert rows(vintage.load_vintage_week(log, "202604")) == [("a", W1, 202604, 1.5), ("a", W2, 202603, 2.0)]
+    with pytest.raises(ValueError):
+        vintage.load_vintage_week(log, "2026-01-31")
+
+
 def test_first_prints_and_holes(log):
     assert rows(vintage.first_prints(log)) == [("a", W1, I1, 4.1), ("a", W2, I2, 3.9), ("b", W1, I1, 2.0)]
     assert {(r.time, r.late) for r in vintage.archive_holes(log, 5).collect()} == {(W1, True), (W2, True)}
@@ -361,6 +369,9 @@ def test_exports(spark, tmp_path):
     (tmp_path / "w.csv").write_text('State/Territory,Counties_Served,Site,Population_Served,Site_WVAL,Week_End,Pathogen_Target,date_updated\nMissouri,"St. Louis, Jackson",7,"1,000.5",3.5,2025-01-04,RSV ,2025-01-10\n')
     r = parsers.site_export(spark, str(tmp_path / "w.csv")).first()
     assert (r.population, r.value, r.pathogen, r.week_end) == (1000.5, 3.5, "rsv", D(2025, 1, 4))
+    assert parsers.site_export(spark, str(tmp_path / "w.csv"), ("rsv", "flu")).first().pathogen == "rsv"
+    with pytest.raises(Exception, match="unknown pathogen rsv"):
+        parsers.site_export(spark, str(tmp_path / "w.csv"), ("flu",)).collect()
     (tmp_path / "v.csv").write_text("week_end,county,fips,percent_visits_covid,percent_visits_influenza\n2025-01-04,All,0,1,1\n2025-01-04,X,1001,2.5,\n")
     assert rows(parsers.wide_export(spark, str(tmp_path / "v.csv"), {"percent_visits_covid": "covid", "percent_visits_influenza": "flu"}, "2025-01-10")) == [("01001", D(2024, 12, 29), "covid", 2.5, D(2025, 1, 10))]
 

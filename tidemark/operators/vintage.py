@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import week_end
+from tidemark.operators.guards import epiweek_argument
 from tidemark.session import file_system
 
 KEY = ("geo", "time")
@@ -98,6 +99,14 @@ def load_vintage(log: DataFrame, as_of: str | dt.date | None = None) -> DataFram
     return top.select(*KEY, "_top.issue", *[f"_top.{c}" for c in rest])
 
 
+def load_vintage_week(log: DataFrame, as_of) -> DataFrame:
+    """:func:`load_vintage` of a log whose issues are epidemiological weeks as YYYYWW; a date is an error, as it would read as a week far ahead."""
+    week = epiweek_argument(as_of)
+    rest = [c for c in log.columns if c not in (*KEY, "issue")]
+    top = log.filter(F.col("issue") <= week).groupBy(*KEY).agg(F.max_by(F.struct("issue", *rest), "issue").alias("_top"))
+    return top.select(*KEY, "_top.issue", *[f"_top.{c}" for c in rest])
+
+
 def first_prints(log: DataFrame) -> DataFrame:
     """Per key the row of its earliest issue."""
     rest = [c for c in log.columns if c not in (*KEY, "issue")]

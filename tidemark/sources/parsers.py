@@ -43,12 +43,18 @@ def tidy_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip().lower().replace("/", "_").replace(" ", "_") for c in df.columns])
 
 
-def site_export(spark: SparkSession, paths) -> DataFrame:
-    """A wastewater export, plain or gzip: site, state, counties, population, value, week_end, pathogen, issue."""
+def site_export(spark: SparkSession, paths, known: tuple[str, ...] | None = None) -> DataFrame:
+    """A wastewater export, plain or gzip: site, state, counties, population, value, week_end, pathogen, issue.
+
+    With ``known`` pathogens, a row of any other is an error when it is read.
+    """
+    pathogen = F.lower(F.trim("pathogen_target"))
+    if known:
+        pathogen = F.when(pathogen.isin(*known), pathogen).otherwise(F.raise_error(F.concat(F.lit("unknown pathogen "), F.coalesce(pathogen, F.lit("(none)")))))
     raw = tidy_headers(spark.read.option("header", True).csv(paths))
     return raw.select(
         F.trim("site").alias("site"), F.trim("state_territory").alias("state"), F.trim("counties_served").alias("counties"), text_number("population_served").alias("population"),
-        text_number("site_wval").alias("value"), F.try_to_date("week_end", "yyyy-MM-dd").alias("week_end"), F.lower(F.trim("pathogen_target")).alias("pathogen"), F.try_to_date("date_updated", "yyyy-MM-dd").alias("issue"),
+        text_number("site_wval").alias("value"), F.try_to_date("week_end", "yyyy-MM-dd").alias("week_end"), pathogen.alias("pathogen"), F.try_to_date("date_updated", "yyyy-MM-dd").alias("issue"),
     )
 
 
