@@ -62,6 +62,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/tidemark-{label}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` in the shared folder and read from there: planned with the size it has, and to be removed once used."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def file_system(spark: SparkSession, root: str):
     """The Hadoop file system of ``root``, and a maker of its paths."""
     path = spark._jvm.org.apache.hadoop.fs.Path
