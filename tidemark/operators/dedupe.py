@@ -15,7 +15,7 @@ from tidemark.session import durable, remove, scratch_path, stored
 
 #: Texts that share a shingle of their prefixes up to which all are paired.
 PAIRED_TEXTS = 1000
-#: Items of which the texts are taken apart again up to which the items are broadcast.
+#: Copies to leave out, or items of which the texts are taken apart again, up to which they are broadcast.
 BROADCAST_ASKED = 100_000
 #: Slots of the table of rarity, and how many of them are summed at once.
 SLOTS, CHUNK = 1 << 22, 1 << 14
@@ -127,20 +127,26 @@ def _prefixes(texts: DataFrame, rarity, k: int, threshold: float) -> DataFrame:
     return texts.select("item", "cls", "text").mapInArrow(take, schema)
 
 
-def _sets(texts: DataFrame, k: int) -> DataFrame:
-    """item, s: the distinct hashed shingles of (item, text)."""
-    schema = StructType([texts.schema["item"]]).add("s", ArrayType(LongType()))
+def _shared(pairs: DataFrame, k: int) -> DataFrame:
+    """a, b, sa, sb, shared: how many distinct shingles the texts ta and tb of each pair have, and share."""
+    kinds = {f.name: f for f in pairs.schema}
+    schema = StructType([kinds["a"], kinds["b"]]).add("sa", IntegerType()).add("sb", IntegerType()).add("shared", IntegerType())
 
     def take(batches):
         for batch in batches:
             at = 0
-            for part in parts_of(batch.column(1)):
-                doc, s = shingle_sets(part, k)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(part)))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.ListArray.from_arrays(ends, s.view(np.int64))], ["item", "s"])
+            for part in parts_of(batch.column(2)):
+                other = batch.column(3).slice(at, len(part)).cast(pa.large_string())
+                (x, s), (y, t) = shingle_sets(part, k), shingle_sets(other, k)
+                doc, both = np.concatenate([x, y]), np.concatenate([s, t])
+                order = np.lexsort((both, doc))
+                doc, both = doc[order], both[order]
+                twice = (doc[1:] == doc[:-1]) & (both[1:] == both[:-1])
+                counts = [pa.array(np.bincount(d, minlength=len(part)), pa.int32()) for d in (x, y, doc[1:][twice])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part)), *counts], schema.names)
                 at += len(part)
 
-    return texts.select("item", "text").mapInArrow(take, schema)
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(take, schema)
 
 
 def _within(threshold: float) -> float:
@@ -165,13 +171,18 @@ def _meeting(threshold: float, x: str, y: str, places: tuple[str, str]) -> tuple
 
 
 def _similar(pairs: DataFrame, rows: DataFrame, chosen: DataFrame, root: str, k: int, threshold: float) -> DataFrame:
-    """The ``pairs`` (a, b) whose shingle sets are similar enough; only their texts are taken apart again."""
+    """The ``pairs`` (a, b) whose shingle sets are similar enough; only their texts are taken apart again.
+
+    Texts are moved, not their shingles, which take several times their space.
+    """
     asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct().join(chosen, "item"), f"{root}/asked")
-    asked = F.broadcast(asked) if asked.count() <= BROADCAST_ASKED else asked
-    sets = stored(_sets(rows.join(asked, ["item", "cls"], "left_semi"), k).dropDuplicates(["item"]), f"{root}/sets")
-    both = pairs.join(sets.select(F.col("item").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("item").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return stored(both.filter(shared / (F.size("sa") + F.size("sb") - shared) >= threshold - 1e-9).select("a", "b"), f"{root}/similar")
+    looked = rows.join(F.broadcast(asked), ["item", "cls"], "left_semi") if asked.count() <= BROADCAST_ASKED else rows
+    for x in ("a", "b"):
+        pairs = pairs.join(asked.withColumnsRenamed({"item": x, "cls": f"c{x}"}), x)
+    for x in ("a", "b"):
+        pairs = pairs.join(looked, (F.col(x) == F.col("item")) & (F.col(f"c{x}") == F.col("cls"))).drop("item", "cls").withColumnRenamed("text", f"t{x}")
+    found = _shared(pairs, k).filter(F.col("shared") / (F.col("sa") + F.col("sb") - F.col("shared")) >= threshold - 1e-9)
+    return stored(found.select("a", "b").distinct(), f"{root}/similar")
 
 
 def near_duplicates(df: DataFrame, item: str, text: str, k: int = 5, threshold: float = 0.8, paired: int = PAIRED_TEXTS) -> DataFrame:
@@ -196,16 +207,24 @@ def near_duplicates(df: DataFrame, item: str, text: str, k: int = 5, threshold:
     root = scratch_path(spark, "near")
     try:
         rows = df.filter(F.col(text).isNotNull()).select(F.col(item).alias("item"), F.unhex(F.sha2(text, 256)).alias("cls"), F.lower(text).alias("text"))
-        keyed = stored(rows.select("item", "cls").distinct(), f"{root}/keyed")
+        keyed = stored(rows.groupBy("item", "cls").agg(F.count("*").alias("rows")), f"{root}/keyed")
         first = stored(keyed.groupBy("cls").agg(F.min("item").alias("representative")), f"{root}/first")
         members = durable(keyed.join(first, "cls").select("item", "representative"))
         # An item with several texts is compared by one of them.
         chosen = stored(first.groupBy(F.col("representative").alias("item")).agg(F.min("cls").alias("cls")), f"{root}/chosen")
+        copies = stored(keyed.join(chosen, ["item", "cls"], "left_anti").select("item", "cls"), f"{root}/copies")
+        few = copies.count() <= BROADCAST_ASKED
+        rows = rows.join(F.broadcast(copies), ["item", "cls"], "left_anti") if few else rows
         rarity = spark.sparkContext.broadcast(_rarity(rows, k))
-        whole = _prefixes(rows, rarity, k, threshold).join(chosen, ["item", "cls"], "left_semi").dropDuplicates(["item"])
+        whole = _prefixes(rows, rarity, k, threshold)
+        whole = whole if few else whole.join(chosen, ["item", "cls"], "left_semi")
+        whole = whole if keyed.filter("rows > 1").isEmpty() else whole.dropDuplicates(["item"])
         prefix = stored(whole.select("item", "n", "skip", F.posexplode("s").alias("i", "h")).select("h", "item", "n", (F.col("skip") + F.col("i") + 1).alias("place")), f"{root}/prefix")
         rarity.destroy()
+        remove(spark, f"{root}/keyed")
+        remove(spark, f"{root}/first")
         pairs, near = _pairs(prefix, rows, chosen, root, k, threshold, paired)
+        remove(spark, f"{root}/prefix")
         similar = _similar(pairs, rows, chosen, f"{root}/across", k, threshold)
         found = components(near.unionByName(similar) if near else similar)
         return members.join(found.select(F.col("item").alias("representative"), "c"), "representative", "left").select("item", F.coalesce("c", "representative").alias("class_id"))
