@@ -4,6 +4,7 @@ import itertools
 import random
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +58,13 @@ def test_plan_of_classes_is_of_its_size(spark, sf_small):
     assert estimate(all_queries()["near_duplicate_classes"].build(spark, sf_small)) < 2**100
 
 
+def test_plan_of_roots_is_of_its_size(spark, sf_small):
+    roots = all_queries()["near_duplicate_roots"].build(spark, sf_small)
+    assert estimate(roots) < 2**200
+    named = {r.dup_of for r in roots.collect() if r.dup_of is not None}
+    assert named and named <= {r.item for r in roots.filter("dup_of is null").collect()}
+
+
 @pytest.mark.parametrize("threshold", [0.6, 0.8, 1.0])
 def test_hot_shingles_give_the_same_classes(spark, threshold):
     texts = templated(int(10 * threshold))
@@ -103,3 +111,12 @@ def test_parts_keep_order_and_texts(monkeypatch):
     texts = ["a" * n for n in (3, 30, 0, 5, 5, 1, 0)]
     parts = [p.to_pylist() for p in shingle_sets.parts_of(pa.array(["z", *texts]).slice(1))]
     assert parts == [["aaa"], ["a" * 30], ["", "aaaaa", "aaaaa"], ["a", ""]]
+
+
+def test_order_where_leading_bits_are_equal():
+    rng = np.random.default_rng(5)
+    for docs, high in ((5, 2**10), (5, 2**64 - 1), (3_000_000, 4)):
+        doc, s, level = rng.integers(0, docs, 2000), rng.integers(0, high, 2000, np.uint64), rng.integers(0, 256, 2000).astype(np.uint8)
+        for by in ((doc, s), (doc, s, level)):
+            rows = list(zip(*[x.tolist() for x in ([doc, s] if len(by) == 2 else [doc, level, s])], strict=True))
+            assert [rows[i] for i in shingle_sets.order_of(*by)] == sorted(rows)

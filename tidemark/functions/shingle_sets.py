@@ -15,7 +15,7 @@ _WORD = np.zeros(256, bool)
 _WORD[[*b"0123456789abcdefghijklmnopqrstuvwxyz"]] = True
 
 #: Bytes of text that are taken apart at once; a longer text is on its own.
-PART_BYTES = 4_000_000
+PART_BYTES = 500_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -35,6 +35,23 @@ def parts_of(texts: pa.Array) -> Iterator[pa.Array]:
         at = to
 
 
+def order_of(doc: np.ndarray, s: np.ndarray, level: np.ndarray | None = None) -> np.ndarray:
+    """The order by text, level (a byte) and hash; equal rows in any.
+
+    One number holds the text, the level and the leading bits of the hash, which is far faster to sort;
+    where these bits leave the order open, all are compared.
+    """
+    if len(doc) and int(doc.max()) >> 20:
+        return np.lexsort((s, doc) if level is None else (s, level, doc))
+    key = doc.astype(np.uint64) << np.uint64(44)
+    key |= s >> np.uint64(20) if level is None else level.astype(np.uint64) << np.uint64(36) | s >> np.uint64(28)
+    order = np.argsort(key)
+    key, found = key[order], s[order]
+    if ((key[1:] == key[:-1]) & (found[1:] != found[:-1])).any():
+        return np.lexsort((s, doc) if level is None else (s, level, doc))
+    return order
+
+
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The number of a text in ``texts`` and a hash, for each distinct run of ``k`` words over a-z and 0-9; sorted by both.
 
@@ -69,7 +86,7 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
         s = _mixed(s * _STEP + hashed[j : j + m])
     whole = doc[:m] == doc[k - 1 :]
     doc, s = doc[:m][whole], s[whole]
-    order = np.lexsort((s, doc))
+    order = order_of(doc, s)
     doc, s = doc[order], s[order]
     new = np.ones(len(s), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (s[1:] != s[:-1])

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-from tidemark.functions.shingle_sets import parts_of, shingle_sets
+from tidemark.functions.shingle_sets import order_of, parts_of, shingle_sets
 from tidemark.session import durable, remove, scratch_path, stored
 
 #: Texts that share a shingle of their prefixes up to which all are paired.
@@ -111,7 +111,7 @@ def _prefixes(texts: DataFrame, rarity, k: int, threshold: float) -> DataFrame:
                 doc, s = shingle_sets(part, k)
                 n = np.bincount(doc, minlength=len(part))
                 level = level_of[slot_of(s)]
-                order = np.lexsort((s, level, doc))
+                order = order_of(doc, s, level)
                 doc, s, level = doc[order], s[order], level[order]
                 place = np.arange(len(doc)) - (np.cumsum(n) - n)[doc] + 1
                 first = place <= (n - np.ceil(n * within) + 1)[doc]
@@ -139,7 +139,7 @@ def _shared(pairs: DataFrame, k: int) -> DataFrame:
                 other = batch.column(3).slice(at, len(part)).cast(pa.large_string())
                 (x, s), (y, t) = shingle_sets(part, k), shingle_sets(other, k)
                 doc, both = np.concatenate([x, y]), np.concatenate([s, t])
-                order = np.lexsort((both, doc))
+                order = order_of(doc, both)
                 doc, both = doc[order], both[order]
                 twice = (doc[1:] == doc[:-1]) & (both[1:] == both[:-1])
                 counts = [pa.array(np.bincount(d, minlength=len(part)), pa.int32()) for d in (x, y, doc[1:][twice])]
