@@ -48,7 +48,7 @@ def templated(seed, groups=12, each=12):
 
 
 def test_estimated_sizes_do_not_grow_by_rounds(spark):
-    """Each round squared the estimate, a number that filled the driver's memory on long chains."""
+    """Each round squared the estimate, a number that the driver keeps."""
     links = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
     found = dedupe.components(links)
     assert estimate(found) < 2**63 and {r.c for r in found.collect()} == {0}

@@ -50,7 +50,7 @@ def components(links: DataFrame) -> DataFrame:
     Minimum over neighbours and a jump to the neighbour's own minimum, until nothing moves; each
     round is a join and an aggregate over the links. Rounds are written and read as tables: a
     checkpoint keeps the size that its plan was estimated at, a product over the joins whose digits
-    double in every round, until the driver has no memory for the number.
+    double in every round, in the driver's memory.
     """
     spark = links.sparkSession
     root = scratch_path(spark, "components")
